@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BPE = "word_bpe_49k.json"
@@ -41,8 +41,41 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import build_index, search
+
+    index = build_index(table(spark, sf_dir, "embeddings"))
+    return search(index, index.rows.where("vec_id % 20 = 0").select("vec_id", "vector"), 20)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    records = read_archives(write_archives(table(spark, sf_dir, "pages"), least_bytes=0), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import compare_with_edited
+
+    return compare_with_edited(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import as_text, find_pii
+
+    out = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("pii", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("pii")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op5_ann, op6_warc, op8_fingerprint, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
