@@ -41,6 +41,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import build_index, search
 
@@ -75,7 +81,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op5_ann, op6_warc, op8_fingerprint, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op4_minhash, op5_ann, op6_warc, op8_fingerprint, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
