@@ -61,12 +61,28 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_on, identify_pages
+
+    out = identify_pages(table(spark, sf_dir, "pages"), fit_on(table(spark, sf_dir, "documents")))
+    return out.select("page_id", "language_id.language", "language_id.confidence")
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import compare_with_edited
 
     return compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train_on
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs.select("doc_id", "text"), train_on(docs, table(spark, sf_dir, "labels")), out_col="score")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import as_text, find_pii
 
@@ -81,7 +97,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op4_minhash, op5_ann, op6_warc, op8_fingerprint, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op4_minhash, op5_ann, op6_warc, op7_langid, op8_fingerprint, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

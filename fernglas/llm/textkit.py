@@ -71,10 +71,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word ``[^\\x20\\x09-\\x0D]+`` and, per text, where its words begin (plus the end)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word and, per text, where its words begin (plus the end). is_word: the bytes of words,
+    by default ``[^\\x20\\x09-\\x0D]``."""
     inside = np.zeros(data.size + 2, dtype=bool)
-    inside[1:-1] = _IS_WORD[data]
+    inside[1:-1] = is_word[data]
     begins = inside[1:-1] & ~inside[:-2]
     first = offsets[:-1][offsets[:-1] < data.size]
     begins[first] = inside[1:-1][first]
