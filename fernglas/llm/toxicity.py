@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 
 from .textkit import blocks, mix64, powers, text_bytes, word_hashes, word_spans
 
-POSITIVE, NEGATIVE, LONGEST_SAMPLE = 2000, 3000, 60_000
+POSITIVE, NEGATIVE, LONGEST_SAMPLE = 1500, 2500, 60_000
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORDS, WORD_DIMS, TRIGRAMS, TRIGRAM_DIMS = 2048, 4, 4096, 4
 INPUT = 4 + WORD_DIMS + TRIGRAM_DIMS
-EPOCHS, BATCH, RATE = 14, 128, 0.02
+EPOCHS, BATCH, RATE = 12, 128, 0.02
 REMEMBERED = 400_000
+#: Weight decay of the network and of the learned vectors.
+DECAY = 0.01, 1.0
+#: Texts that a word's or n-gram's toxic share is smoothed with.
+PRIOR_TEXTS = 8
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -96,7 +100,7 @@ def _odds(hashes: np.ndarray, toxic: np.ndarray, share: float, least: int) -> Od
     """hashes: one a text and hash; toxic: of that text."""
     distinct, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
     t = np.bincount(which, weights=toxic, minlength=distinct.size)
-    value = np.log((t + 20 * share) / (n + 20)) - np.log(share)
+    value = np.log((t + PRIOR_TEXTS * share) / (n + PRIOR_TEXTS)) - np.log(share)
     keep = (n >= least) & (np.abs(value) > 0.15)
     return Odds(distinct[keep], value[keep].astype(np.float32))
 
@@ -309,11 +313,11 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     step = 0
     hint = plain[:, 0] + plain[:, 2]
     score = np.concatenate([np.where((v := words_in(np.arange(a, min(a + 65536, owner.size)))) >= 0, hint[v], -9).max(0) for a in range(0, owner.size, 65536)])
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    weight = np.where(y > 0, min(2.0, np.sqrt((1 - share) / share)), 1.0).astype(np.float32)
     tri_order = np.argsort(tri_owner, kind="stable")
     tri_sorted, tri_first = tri[tri_order], np.searchsorted(tri_owner[tri_order], np.arange(2 * rows.size + 1))
     for epoch in range(EPOCHS):
-        if epoch in (3, 6, 10):
+        if epoch in (2, 3, 5, 7, 9):
             x = model.inputs(plain, number, tri, tri_owner)
             score = np.concatenate([forward(model.p, x, words_in(np.arange(a, min(a + 8192, owner.size))), size[a : a + 8192])[0] for a in range(0, owner.size, 8192)])
         chosen = best_windows(score)
@@ -343,6 +347,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
                 a, b = state[k]
                 a += 0.1 * (v - a)
                 b += 0.01 * (v * v - b)
+                model.p[k] *= 1 - rate * DECAY[k in ("word", "trigram")]
                 model.p[k] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return model
 
