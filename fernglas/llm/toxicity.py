@@ -14,6 +14,7 @@ Null and empty texts are one window without words and get that window's score. E
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .textkit import blocks, mix64, powers, text_bytes, word_hashes, word_spans
 
-POSITIVE, NEGATIVE, LONGEST_SAMPLE = 1500, 2500, 60_000
+POSITIVE, NEGATIVE, LONGEST_SAMPLE = 1500, 3500, 60_000
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORDS, WORD_DIMS, TRIGRAMS, TRIGRAM_DIMS = 2048, 4, 4096, 4
 INPUT = 4 + WORD_DIMS + TRIGRAM_DIMS
@@ -32,8 +33,8 @@ EPOCHS, BATCH, RATE = 12, 128, 0.02
 REMEMBERED = 400_000
 #: Weight decay of the network and of the learned vectors.
 DECAY = 0.01, 1.0
-#: Texts that a word's or n-gram's toxic share is smoothed with.
-PRIOR_TEXTS = 8
+#: A word's or n-gram's toxic share is smoothed with as many texts as the toxic ones over PRIOR_PART, within PRIOR_RANGE.
+PRIOR_PART, PRIOR_RANGE = 60, (5, 20)
 
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -59,6 +60,36 @@ def words_of(texts: pa.Array) -> Words:
     return Words(which, at, hashes, data, start[first], end[first])
 
 
+def gather_words(texts: pa.Array) -> Words:
+    """words_of() for more texts than a block: only the bytes of distinct words are kept."""
+    sequence, counts, hashes, raw, sizes = [], [], [], [np.zeros(0, dtype=np.uint8)], []
+    known = np.zeros(0, dtype=np.uint64)
+    for part in blocks(texts, 1 << 20):
+        w = words_of(part)
+        sequence.append(w.hashes[w.which])
+        counts.append(np.diff(w.at))
+        new = np.flatnonzero(~np.isin(w.hashes, known))
+        size = (w.end - w.start)[new]
+        raw.append(w.data[np.repeat(w.start[new] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))])
+        sizes.append(size)
+        hashes.append(w.hashes[new])
+        known = np.union1d(known, w.hashes[new])
+    size = np.concatenate(sizes)
+    end = np.cumsum(size)
+    order = np.argsort(np.concatenate(hashes))
+    return Words(np.searchsorted(known, np.concatenate(sequence)), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), known, np.concatenate(raw), (end - size)[order], end[order])
+
+
+def grams_in_parts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """grams_of() all distinct words, some at a time."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for a in range(0, w.hashes.size, 1 << 15):
+        found = grams_of(w, np.arange(a, min(a + (1 << 15), w.hashes.size)))
+        for k, x in enumerate(found):
+            out[k].append((x + a if k % 2 else x).astype(np.uint64 if k == 0 else np.int32))
+    return tuple(np.concatenate(x) for x in out)
+
+
 def grams_of(w: Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Character n-grams (3 to 5 bytes, word edges marked) of the distinct words ``rows``: hashes and owners of all, and
     trigram buckets with their owners."""
@@ -96,13 +127,11 @@ class Odds:
         return np.where(known, self.values[at], 0).astype(np.float32), known
 
 
-def _odds(hashes: np.ndarray, toxic: np.ndarray, share: float, least: int) -> Odds:
-    """hashes: one a text and hash; toxic: of that text."""
-    distinct, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
-    t = np.bincount(which, weights=toxic, minlength=distinct.size)
-    value = np.log((t + PRIOR_TEXTS * share) / (n + PRIOR_TEXTS)) - np.log(share)
+def _odds(hashes: np.ndarray, n: np.ndarray, t: np.ndarray, share: float, least: int, prior: float) -> Odds:
+    """Of sorted hashes that n texts have, t of them toxic."""
+    value = np.log((t + prior * share) / (n + prior)) - np.log(share)
     keep = (n >= least) & (np.abs(value) > 0.15)
-    return Odds(distinct[keep], value[keep].astype(np.float32))
+    return Odds(hashes[keep], value[keep].astype(np.float32))
 
 
 @dataclass
@@ -271,30 +300,35 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
         p = initial(rng, 0)
         p["out"][:], p["out_bias"][:] = 0, np.log(share / (1 - share))
         return Model(none, none, np.zeros(0, dtype=np.uint64), p)
-    w = words_of(pa.array(texts, pa.large_string()))
+    w = gather_words(pa.array(texts, pa.large_string()))
     doc = np.repeat(np.arange(y.size), np.diff(w.at))
-    pair = np.unique(np.stack([doc, w.which]), axis=1)  # a text and one of its words
+    pair = np.divmod(np.unique(doc * w.hashes.size + w.which), w.hashes.size)  # a text and one of its words
     rows = np.arange(w.hashes.size)
-    grams, gram_owner, tri, tri_owner = grams_of(w, rows)
-    by_owner = np.argsort(gram_owner, kind="stable")
-    grams, gram_owner = grams[by_owner], gram_owner[by_owner]
-    first = np.searchsorted(gram_owner, np.arange(w.hashes.size + 1))
+    grams, gram_owner, tri, tri_owner = grams_in_parts(w)
+    gram_kinds, gram_which = np.unique(grams, return_inverse=True)
+    gram_which = gram_which.astype(np.int32)
+    del grams
     half = rng.permutation(y.size) % 2
+    prior = float(np.clip(y.sum() / PRIOR_PART, *PRIOR_RANGE))
 
     def odds(texts_in: np.ndarray, least: int) -> tuple[Odds, Odds]:
-        own = pair[:, texts_in[pair[0]]]
+        """Of words by texts; of n-grams by pairs of a text and a word that has them."""
+        own = texts_in[pair[0]]
+        n = np.bincount(pair[1][own], minlength=rows.size)
+        t = np.bincount(pair[1][own], weights=y[pair[0][own]], minlength=rows.size)
         mean = float(np.clip(y[texts_in].mean(), 1e-3, 1 - 1e-3))
-        word = _odds(w.hashes[own[1]], y[own[0]], mean, least)
-        counts = np.diff(first)[own[1]]
-        at = np.repeat(first[own[1]] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-        key = mix64(grams[at] + np.repeat(own[0], counts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-        _, once = np.unique(key, return_index=True)  # a text counts once for each n-gram
-        return word, _odds(grams[at][once], y[np.repeat(own[0], counts)[once]], mean, least)
+        sums = [np.bincount(gram_which, weights=x[gram_owner], minlength=gram_kinds.size) for x in (n, t)]
+        return _odds(w.hashes, n, t, mean, least, prior), _odds(gram_kinds, *sums, mean, least, prior)
 
     seen = np.bincount(pair[1], minlength=w.hashes.size)
     vocabulary = np.sort(w.hashes[np.argsort(-seen, kind="stable")[:WORDS]])
     model = Model(*odds(np.ones(y.size, dtype=bool), 3), vocabulary, initial(rng, vocabulary.size))
-    halves = [model.plain_inputs(w, rows, odds(half != k, 2)) for k in (0, 1)]  # inputs of half k: statistics of the other
+    halves = []  # inputs of half k come from statistics of the other
+    for k in (0, 1):
+        other = odds(half != k, 2)
+        parts = [model.plain_inputs(w, rows[a : a + (1 << 15)], other)[:2] for a in range(0, rows.size, 1 << 15)]
+        halves.append([np.concatenate(x) for x in zip(*parts)])
+    del gram_which, gram_owner, gram_kinds
     begin, size, owner = windows_of(w.at)
     number = np.concatenate([halves[0][1], halves[1][1]])
     plain = np.concatenate([halves[0][0], halves[1][0]])
@@ -364,9 +398,15 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     for label, most in ((1, POSITIVE), (0, NEGATIVE)):
         chosen += [(r["id"], label) for r in usable.where(F.col("toxic") == label).select("id").orderBy(F.xxhash64("id"), "id").limit(most).collect()]
     picked = spark.createDataFrame(chosen, "id long, toxic int")  # at most POSITIVE + NEGATIVE rows
-    found = texts.join(F.broadcast(picked), "id").where(F.octet_length("text") <= LONGEST_SAMPLE).collect()
-    found.sort(key=lambda r: (r["id"], r["text"]))
-    return train([r["text"] for r in found], [r["toxic"] for r in found])
+    found = texts.join(F.broadcast(picked), "id").where(F.octet_length("text") <= LONGEST_SAMPLE).select("id", "text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task holds the bounded sample; the driver gets the model alone
+    return pickle.loads(found.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
