@@ -15,7 +15,7 @@ from ..sources.writers import write_table
 
 def follow_files(spark: SparkSession, root: str) -> DataFrame:
     """New files as (path, mtime, size, photo_id)."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^file:/*", "/")
     return files.select(path.alias("path"), (F.unix_millis("modificationTime") / 1000.0).alias("mtime"), F.col("length").alias("size"), photo_id_for(path).alias("photo_id"))
 
