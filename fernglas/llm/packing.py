@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_batches, tokenizer
+from .textkit import release
 
 #: Items that wait in a task; more are packed as they come, so memory is bounded.
 WAITING = 4096
@@ -148,6 +149,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                         room -= p[2].size
                     put(own)
         yield flush()
+        release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,14 @@ _BYTE_CODE = np.random.default_rng(20240817).integers(1, 1 << 63, 256, dtype=np.
 BLOCK_BYTES = 2 << 20
 
 
+def release() -> None:
+    """Give freed memory back to the system; Python workers live on after a task and would keep it. Without glibc's
+    call nothing happens."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

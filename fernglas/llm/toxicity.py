@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import blocks, mix64, powers, text_bytes, word_hashes, word_spans
+from .textkit import blocks, mix64, powers, release, text_bytes, word_hashes, word_spans
 
-POSITIVE, NEGATIVE, LONGEST_SAMPLE = 1500, 3500, 60_000
+POSITIVE, NEGATIVE, LONGEST_SAMPLE = 1000, 2300, 60_000
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORDS, WORD_DIMS, TRIGRAMS, TRIGRAM_DIMS = 2048, 4, 4096, 4
 INPUT = 4 + WORD_DIMS + TRIGRAM_DIMS
@@ -183,8 +183,8 @@ class Model:
         begin, size, owner = windows_of(w.at)
         logits = np.empty(begin.size, dtype=np.float32)
         x = self.remembered_inputs(w)
-        for a in range(0, begin.size, 8192):
-            b = slice(a, a + 8192)
+        for a in range(0, begin.size, 2048):
+            b = slice(a, a + 2048)
             logits[b] = forward(self.p, x, window_words(w.which, begin[b], size[b]), size[b])[0]
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owner, logits)
@@ -353,7 +353,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     for epoch in range(EPOCHS):
         if epoch in (2, 3, 5, 7, 9):
             x = model.inputs(plain, number, tri, tri_owner)
-            score = np.concatenate([forward(model.p, x, words_in(np.arange(a, min(a + 8192, owner.size))), size[a : a + 8192])[0] for a in range(0, owner.size, 8192)])
+            score = np.concatenate([forward(model.p, x, words_in(np.arange(a, min(a + 2048, owner.size))), size[a : a + 2048])[0] for a in range(0, owner.size, 2048)])
         chosen = best_windows(score)
         extra = rng.permutation(np.flatnonzero(y[owner] == 0))[: y.size // 2]  # windows of harmless texts
         every, target = np.concatenate([chosen, extra]), np.concatenate([y, np.zeros(extra.size, dtype=np.float32)])
@@ -403,6 +403,7 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
         model = train([r[1] for r in rows], [r[2] for r in rows])
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # one task holds the bounded sample; the driver gets the model alone
@@ -420,5 +421,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         for column in columns:
             parts = [own.scores(part) for part in blocks(column.fill_null(""), 1 << 20)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        own.memo_hash, own.memo_row = np.zeros(0, dtype=np.uint64), np.zeros((0, INPUT), dtype=np.float32)
+        release()
 
     return docs.withColumn(out_col, run(F.col(text_col)))
