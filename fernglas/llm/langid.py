@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import blocks, text_bytes
+from .textkit import blocks, release, text_bytes
 
 SAMPLE, LONGEST_SAMPLE = 2000, 100_000
 BUCKETS, EFFECTIVE, DECLARED, SUFFIX, ACCEPT = 1 << 16, 60, 0.9, 0.8, 0.5
@@ -31,7 +31,7 @@ UND, UND_PRIOR, HOST_WEIGHT = "und", 0.01, 20.0
 #: Languages of country suffixes.
 COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt"}
 
-_CLASS = np.zeros(256, dtype=np.int64)  # 0: not a letter; ASCII letters fold their case
+_CLASS = np.zeros(256, dtype=np.uint32)  # 0: not a letter; ASCII letters fold their case
 for _b in range(256):
     _CLASS[_b] = _b | 32 if chr(_b).isascii() and chr(_b).isalpha() else (_b if _b >= 128 else 0)
 
@@ -40,14 +40,14 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of letters and word edges, and how many each text has (consecutive in the first)."""
     data, offsets = text_bytes(texts)
     if not data.size:
-        return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
     own = _CLASS[data]
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     before[offsets[:-1][offsets[:-1] < data.size]] = 0
     after[offsets[1:][offsets[1:] > 0] - 1] = 0
     at = np.flatnonzero(own)
-    grams = (((before[at] << 16) + (own[at] << 8) + after[at]) * 0x9E3779B1 >> 12) & (BUCKETS - 1)
+    grams = (((before[at] << 16) + (own[at] << 8) + after[at]).astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(12)).astype(np.int32) & (BUCKETS - 1)
     return grams, np.diff(np.searchsorted(at, offsets))
 
 
@@ -94,9 +94,10 @@ def _log_likelihoods(text: Column, model: LanguageModel) -> Column:
     @F.arrow_udf("array<double>")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            out = [model.likelihoods(part) for part in blocks(column.fill_null(""))]
+            out = [model.likelihoods(part) for part in blocks(column.fill_null(""), 1 << 19)]
             flat = np.concatenate(out) if out else np.zeros((0, len(model.languages) + 1))
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+        release()
 
     return run(text)
 

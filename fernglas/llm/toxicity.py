@@ -83,11 +83,11 @@ def gather_words(texts: pa.Array) -> Words:
 def grams_in_parts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """grams_of() all distinct words, some at a time."""
     out: list[list[np.ndarray]] = [[], [], [], []]
-    for a in range(0, w.hashes.size, 1 << 15):
-        found = grams_of(w, np.arange(a, min(a + (1 << 15), w.hashes.size)))
+    for a in range(0, w.hashes.size, 1 << 13):
+        found = grams_of(w, np.arange(a, min(a + (1 << 13), w.hashes.size)))
         for k, x in enumerate(found):
             out[k].append((x + a if k % 2 else x).astype(np.uint64 if k == 0 else np.int32))
-    return tuple(np.concatenate(x) for x in out)
+    return tuple(np.concatenate(out.pop(0)) for _ in range(4))
 
 
 def grams_of(w: Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -305,20 +305,23 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     pair = np.divmod(np.unique(doc * w.hashes.size + w.which), w.hashes.size)  # a text and one of its words
     rows = np.arange(w.hashes.size)
     grams, gram_owner, tri, tri_owner = grams_in_parts(w)
-    gram_kinds, gram_which = np.unique(grams, return_inverse=True)
-    gram_which = gram_which.astype(np.int32)
-    del grams
     half = rng.permutation(y.size) % 2
     prior = float(np.clip(y.sum() / PRIOR_PART, *PRIOR_RANGE))
 
     def odds(texts_in: np.ndarray, least: int) -> tuple[Odds, Odds]:
-        """Of words by texts; of n-grams by pairs of a text and a word that has them."""
+        """Of words by texts; of n-grams by pairs of a text and a word that has them, a range of hashes at a time."""
         own = texts_in[pair[0]]
         n = np.bincount(pair[1][own], minlength=rows.size)
         t = np.bincount(pair[1][own], weights=y[pair[0][own]], minlength=rows.size)
         mean = float(np.clip(y[texts_in].mean(), 1e-3, 1 - 1e-3))
-        sums = [np.bincount(gram_which, weights=x[gram_owner], minlength=gram_kinds.size) for x in (n, t)]
-        return _odds(w.hashes, n, t, mean, least, prior), _odds(gram_kinds, *sums, mean, least, prior)
+        parts = []
+        for k in range(16):
+            some = np.flatnonzero(grams >> _U(60) == _U(k))
+            kinds, which = np.unique(grams[some], return_inverse=True)
+            sums = [np.bincount(which, weights=x[gram_owner[some]], minlength=kinds.size) for x in (n, t)]
+            parts.append(_odds(kinds, *sums, mean, least, prior))
+        joined = Odds(np.concatenate([o.hashes for o in parts]), np.concatenate([o.values for o in parts]))
+        return _odds(w.hashes, n, t, mean, least, prior), joined
 
     seen = np.bincount(pair[1], minlength=w.hashes.size)
     vocabulary = np.sort(w.hashes[np.argsort(-seen, kind="stable")[:WORDS]])
@@ -326,13 +329,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     halves = []  # inputs of half k come from statistics of the other
     for k in (0, 1):
         other = odds(half != k, 2)
-        parts = [model.plain_inputs(w, rows[a : a + (1 << 15)], other)[:2] for a in range(0, rows.size, 1 << 15)]
+        parts = [model.plain_inputs(w, rows[a : a + (1 << 13)], other)[:2] for a in range(0, rows.size, 1 << 13)]
         halves.append([np.concatenate(x) for x in zip(*parts)])
-    del gram_which, gram_owner, gram_kinds
+    del grams, gram_owner
     begin, size, owner = windows_of(w.at)
     number = np.concatenate([halves[0][1], halves[1][1]])
     plain = np.concatenate([halves[0][0], halves[1][0]])
-    tri, tri_owner = np.concatenate([tri, tri]), np.concatenate([tri_owner, tri_owner + rows.size])
     shift = half * rows.size  # words of half 1 have rows of their own
 
     def words_in(some: np.ndarray) -> np.ndarray:
@@ -348,26 +350,34 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     hint = plain[:, 0] + plain[:, 2]
     score = np.concatenate([np.where((v := words_in(np.arange(a, min(a + 65536, owner.size)))) >= 0, hint[v], -9).max(0) for a in range(0, owner.size, 65536)])
     weight = np.where(y > 0, min(2.0, np.sqrt((1 - share) / share)), 1.0).astype(np.float32)
-    tri_order = np.argsort(tri_owner, kind="stable")
-    tri_sorted, tri_first = tri[tri_order], np.searchsorted(tri_owner[tri_order], np.arange(2 * rows.size + 1))
+    tri_first = np.searchsorted(tri_owner, np.arange(rows.size + 1))  # owners ascend
+
+    def learned_inputs(words: np.ndarray) -> tuple:
+        """Inputs of the words that windows hold, the windows by rows of these, and what the inputs are made of."""
+        used, local = np.unique(words, return_inverse=True)
+        local = local.reshape(words.shape)
+        if used.size and used[0] < 0:
+            used, local = used[1:], local - 1
+        first = tri_first[used % rows.size]
+        n_tri = tri_first[used % rows.size + 1] - first
+        own_tri = tri[np.repeat(first - np.cumsum(n_tri) + n_tri, n_tri) + np.arange(int(n_tri.sum()))]
+        own_owner = np.repeat(np.arange(used.size), n_tri)
+        return model.inputs(plain[used], number[used], own_tri, own_owner), local, used, n_tri, own_tri, own_owner
+
+    def window_scores(a: int) -> np.ndarray:
+        some = np.arange(a, min(a + 2048, owner.size))
+        x, local, *_ = learned_inputs(words_in(some))
+        return forward(model.p, x, local, size[some])[0]
+
     for epoch in range(EPOCHS):
         if epoch in (2, 3, 5, 7, 9):
-            x = model.inputs(plain, number, tri, tri_owner)
-            score = np.concatenate([forward(model.p, x, words_in(np.arange(a, min(a + 2048, owner.size))), size[a : a + 2048])[0] for a in range(0, owner.size, 2048)])
+            score = np.concatenate([window_scores(a) for a in range(0, owner.size, 2048)])
         chosen = best_windows(score)
         extra = rng.permutation(np.flatnonzero(y[owner] == 0))[: y.size // 2]  # windows of harmless texts
         every, target = np.concatenate([chosen, extra]), np.concatenate([y, np.zeros(extra.size, dtype=np.float32)])
         worth = np.concatenate([weight, weight[owner[extra]]])
         for some in np.array_split(rng.permutation(every.size), max(1, every.size // BATCH)):
-            words = words_in(every[some])
-            used, local = np.unique(words, return_inverse=True)
-            local = local.reshape(words.shape)
-            if used[0] < 0:
-                used, local = used[1:], local - 1
-            n_tri = np.diff(tri_first)[used]
-            own_tri = tri_sorted[np.repeat(tri_first[used] - np.cumsum(n_tri) + n_tri, n_tri) + np.arange(int(n_tri.sum()))]
-            own_owner = np.repeat(np.arange(used.size), n_tri)
-            x = model.inputs(plain[used], number[used], own_tri, own_owner)
+            x, local, used, n_tri, own_tri, own_owner = learned_inputs(words_in(every[some]))
             kept = forward(model.p, x, local, size[every[some]], keep=True)
             slope = ((_sigmoid(kept[0]) - target[some]) * worth[some] / some.size).astype(np.float32)
             g, d_x = backward(model.p, x, local, kept, slope)
