@@ -416,8 +416,9 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         release()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # one task holds the bounded sample; the driver gets the model alone
-    return pickle.loads(found.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    # one task holds the bounded sample; the driver gets the model alone; without rows there may be no task
+    made = found.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([], [])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
