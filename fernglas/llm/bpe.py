@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import blocks, mix64, powers
+from .textkit import BLOCK_BYTES, blocks, mix64, powers, release
 
 #: What the vocabulary's cutter takes for white space, and the endings it keeps with their apostrophe.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -310,10 +310,11 @@ def tokenizer(path: str) -> WordBpe:
     """Loaded once in each Python worker."""
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
+        release()  # what parsing the file took
     return _LOADED[path]
 
 
-def text_batches(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[pa.Array]:
+def text_batches(texts: pa.Array, most_bytes: int = BLOCK_BYTES) -> Iterator[pa.Array]:
     """Slices of bounded size of a string column; nulls become empty texts."""
     yield from blocks(texts.fill_null("").cast(pa.large_string()) if texts.null_count or not pa.types.is_large_string(texts.type) else texts, most_bytes)
 

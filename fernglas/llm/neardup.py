@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, materialise
-from .textkit import blocks, mix64, shingle_sets
+from .textkit import blocks, mix64, release, shingle_sets
 
 ROWS, BANDS = 5, 40
 #: Chance at which a pair that reaches the similarity may be pruned, for each batch.
@@ -132,6 +132,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(np.diff(at)), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "bands"])
                 done += len(part)
+        release()
 
     sketches = materialise(texts.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<bigint>"), "sketches")
     one = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n"))
@@ -173,6 +174,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
         out = finish()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        release()
 
     found = components(placed.mapInArrow(verify, "a long, b long"), "a", "b")
     label = one.join(found, F.col("vertex") == F.col("node"), "left").select("set_key", F.coalesce("component", "vertex").alias("label"))

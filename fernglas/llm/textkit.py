@@ -18,12 +18,13 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _BYTE_CODE = np.random.default_rng(20240817).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 #: Bytes of text hashed at once; bounds the working memory of a task.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def release() -> None:
     """Give freed memory back to the system; Python workers live on after a task and would keep it. Without glibc's
-    call nothing happens."""
+    call only Arrow's own pool is emptied."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -30,7 +30,7 @@ WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORDS, WORD_DIMS, TRIGRAMS, TRIGRAM_DIMS = 2048, 4, 4096, 4
 INPUT = 4 + WORD_DIMS + TRIGRAM_DIMS
 EPOCHS, BATCH, RATE = 12, 128, 0.02
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Weight decay of the network and of the learned vectors.
 DECAY = 0.01, 1.0
 #: A word's or n-gram's toxic share is smoothed with as many texts as the toxic ones over PRIOR_PART, within PRIOR_RANGE.
@@ -64,7 +64,7 @@ def gather_words(texts: pa.Array) -> Words:
     """words_of() for more texts than a block: only the bytes of distinct words are kept."""
     sequence, counts, hashes, raw, sizes = [], [], [], [np.zeros(0, dtype=np.uint8)], []
     known = np.zeros(0, dtype=np.uint64)
-    for part in blocks(texts, 1 << 20):
+    for part in blocks(texts):
         w = words_of(part)
         sequence.append(w.hashes[w.which])
         counts.append(np.diff(w.at))
@@ -430,7 +430,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
         for column in columns:
-            parts = [own.scores(part) for part in blocks(column.fill_null(""), 1 << 20)]
+            parts = [own.scores(part) for part in blocks(column.fill_null(""))]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
         own.memo_hash, own.memo_row = np.zeros(0, dtype=np.uint64), np.zeros((0, INPUT), dtype=np.float32)
         release()
