@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
 from .textkit import blocks, release, text_bytes
 
 SAMPLE, LONGEST_SAMPLE = 2000, 100_000
@@ -133,6 +134,7 @@ def host_priors(counted: DataFrame, names: list[str]) -> DataFrame:
 
 def identify(docs: DataFrame, model: LanguageModel, text: Column, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, domain: Column | None = None) -> DataFrame:
     """``docs`` with a struct column ``language_id`` of language ("und": rejected) and confidence, the posterior."""
+    bound_batches(docs.sparkSession)
     names = [*model.languages, UND]
     none = F.lit(None).cast("string")
     host = F.coalesce(host, F.lit("")) if host is not None else F.lit("")

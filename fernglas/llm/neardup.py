@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, materialise
+from .shared import bound_batches, components, materialise
 from .textkit import blocks, mix64, release, shingle_sets
 
 ROWS, BANDS = 5, 40
@@ -117,6 +117,7 @@ def links(ids: list, sets: list[np.ndarray], side: np.ndarray, across: bool, per
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: texts whose sets of ``words``-word shingles have
     100 * intersection >= percent * union are linked; component_id is the smallest id reachable, kept: doc_id is it."""
+    bound_batches(docs.sparkSession)
     keep = least_matches(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 

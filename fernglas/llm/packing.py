@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_batches, tokenizer
+from .shared import bound_batches
 from .textkit import release
 
 #: Items that wait in a task; more are packed as they come, so memory is bounded.
@@ -86,6 +87,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     limits = max_tokens, max_segments, max_loss or max_tokens
     whole = min(limits[0], limits[2])
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, packer, sequence = tokenizer(path), Packer(*limits, cut=True), _first_sequence()

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
 from .textkit import blocks, mix64, powers, release, text_bytes, word_hashes, word_spans
 
 POSITIVE, NEGATIVE, LONGEST_SAMPLE = 1000, 2300, 60_000
@@ -400,6 +401,7 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Train on a bounded sample of the labelled rows whose crc32(id as text) mod 5 is not 0. Rows of ``labels`` without
     id or label are left out; an id labelled twice is toxic if any row says so."""
     spark = docs.sparkSession
+    bound_batches(spark)
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
     marked = marked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -424,6 +426,7 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """``docs`` with a score from 0 to 1. An existing column of that name is replaced."""
 
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
