@@ -173,6 +173,14 @@ def search(index: Index, queries: DataFrame, k: int = 20, refine: int = REFINE)
     return every.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _inner_products(x: np.ndarray, near: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """(queries, near): summed from the first component to the last, so that a score is the same on every machine."""
+    out = np.zeros(near.shape)
+    for d in range(x.shape[1]):
+        out += x[:, d][near] * queries[:, d, None]
+    return out
+
+
 def _scan(model: Quantiser, sent, k: int, refine: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = sent.value
@@ -195,7 +203,7 @@ def _scan(model: Quantiser, sent, k: int, refine: int):
                 for m in range(code.shape[1]):
                     scores += tables[m][code[:, m]]
                 near = np.argpartition(-scores.T, take - 1, axis=1)[:, :take] if take < ids.size else np.tile(np.arange(ids.size), (len(own), 1))
-                exact = np.einsum("qrd,qd->qr", x[near], q)
+                exact = _inner_products(x, near, q)
                 exact[ids[near] == own[:, None]] = -np.inf
                 b = slice(a, a + len(own))
                 top_ids[b], top_scores[b] = _best(np.concatenate([top_ids[b], ids[near]], 1), np.concatenate([top_scores[b], exact], 1), k)
