@@ -4,6 +4,7 @@ Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-9
 and words just before a span raise the score of the weaker kinds. Positions come from the gaps between matches: the text
 split at a pattern gives the gaps, whose lengths and those of the matches sum up to each match's start. All patterns are
 possessive and start only at the head of a run or where the last match ended, so long runs cost no more than their length.
+An IBAN is matched by its head alone; from there every end of a word up to 34 characters is tried.
 
 Starts count code points from 0; ends are exclusive. A null text counts as an empty one and has no spans.
 """
@@ -49,12 +50,34 @@ class Kind:
     score: float = 1.0
     context: str = ""
     base: bool = False
+    longer: Callable[[Column, Column], Column] | None = None  # makes the found text of a match that is only a head
 
 
 def _parts_at_most_255(found: Column) -> Column:
     return F.forall(F.split(found, "\\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) < 3) | ((F.length(F.ltrim(p, F.lit("0"))) == 3) & (F.ltrim(p, F.lit("0")) <= "255")))
 
 
+#: Characters of an IBAN by country, from the ISO 13616 registry.
+IBAN_LENGTHS = {
+    n: codes.split()
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}"
+
+
+def _iban(ahead: Column, head: Column) -> Column:
+    """The IBAN at the start of a text, or null: mod-97 is tried at every end of a word from 15 to 34 characters. The
+    country's length comes first, then the longest, as words after an IBAN may be capitals or digits too."""
+    ends = F.array(*(F.regexp_extract(ahead, rf"^(?:\x20?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])", 0) for n in range(34, 14, -1)))
+    valid = F.filter(ends, lambda c: (c != "") & mod97(c))
+    usual = F.create_map(*(F.lit(x) for n, codes in IBAN_LENGTHS.items() for code in codes for x in (code, n)))
+    fits = F.filter(valid, lambda c: F.length(F.regexp_replace(c, " ", "")) == F.try_element_at(usual, F.substring(head, 1, 2)))
+    return F.coalesce(F.get(fits, F.lit(0)), F.get(valid, F.lit(0)))
+
+
 #: The four base kinds, in their listed order.
 BASE_KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", base=True),
@@ -64,11 +87,13 @@ BASE_KINDS = (
 )
 #: Kinds that the method adds; those whose score stays under the threshold need a context word within CONTEXT characters.
 MORE_KINDS = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "digit", mod97, 0.9),
+    Kind("iban", IBAN_HEAD + r"(?=(?:\x20?[A-Z0-9]){11})", "digit", None, 0.9, longer=_iban),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "digit", None, 0.3, r"(?i)ssn|social security|tax id|steuer"),
     Kind("local_phone", r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", "digit", None, 0.3, r"(?i)phone|call|tel\b|tel\.|mobile|fax"),
 )
 CONTEXT, CONTEXT_WORTH, THRESHOLD = 40, 0.4, 0.5
+#: Characters that a match may be made longer by: 34, a space before each but the first, and the one after.
+AHEAD = 68
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -87,9 +112,19 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(steps, empty, step)["out"]).otherwise(F.array().cast(_SPAN))
 
 
+def _lengthened(text: Column, heads: Column, kind: Kind) -> Column:
+    """Matches made longer from their heads on; those that come to nothing or start within the one before are left out."""
+    whole = F.transform(heads, lambda s: F.struct(s["start"].alias("start"), kind.longer(F.substr(text, s["start"] + 1, F.lit(AHEAD)), s["found"]).alias("found")))
+    spans = F.transform(F.filter(whole, lambda s: s["found"].isNotNull()), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["found"])).alias("stop"), s["found"].alias("found")))
+    apart = lambda out, s: F.when(s["start"] >= F.coalesce(F.get(out, F.size(out) - 1)["stop"], F.lit(0)), F.concat(out, F.array(s))).otherwise(out)
+    return F.aggregate(spans, F.array().cast(_SPAN), apart)
+
+
 def _spans(text: Column, kind: Kind, rank: int) -> Column:
     needs = text.rlike("[0-9]") if kind.needs == "digit" else F.contains(text, F.lit(kind.needs))
     found = F.when(needs, matches(text, kind.pattern)).otherwise(F.array().cast(_SPAN))
+    if kind.longer is not None:
+        found = _lengthened(text, found, kind)
     if kind.check is not None:
         found = F.filter(found, lambda s: kind.check(s["found"]))
 
