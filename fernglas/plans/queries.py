@@ -157,13 +157,14 @@ _add("prj2_display_rows", lambda s, d: views.corpus(s, d).select(*(c for c in se
 _add("prj3_photographer", lambda s, d: views.corpus(s, d).select("photo_id", text.photographer(None, F.col("photographer_first_name"), F.col("photographer_last_name")).alias("photographer"), text.slim_photographer(F.col("photographer_first_name"), F.col("photographer_last_name")).alias("slim_photographer")), f"{_CORPUS} select photo_id, {_FULL} as photographer, coalesce({_clean("coalesce(photographer_first_name, '') || ' ' || coalesce(photographer_last_name, '')")}, 'Unknown') as slim_photographer from corpus")
 
 
-def _taken_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = views._read(spark, sf_dir, "orders").where("o_orderkey < 2000")
+def _taken_at(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    raw = views._read(spark, sf_dir, "orders").where(where)
     stamp = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).when(F.col("o_orderkey") % 7 == 2, F.lit("0000:00:00 00:00:00")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
     return raw.select("o_orderkey", exif.parse_taken_at(stamp).alias("taken_at"))
 
 
-_add("dat1_taken_at", _taken_at, "select o_orderkey, case when o_orderkey % 3 < 2 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') end as taken_at from orders where o_orderkey < 2000")
+_add("dat1_taken_at", lambda s, d: _taken_at(s, d, "o_orderkey < 2000"), "select o_orderkey, case when o_orderkey % 3 < 2 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') end as taken_at from orders where o_orderkey < 2000")
+_add("dat1_taken_at_all", _taken_at, _SQL["dat1_taken_at"].removesuffix(" where o_orderkey < 2000"))
 _add("arr1_rationals", lambda s, d: views._read(s, d, "part").select("p_partkey", exif.rational(F.when(F.col("p_size") % 3 == 0, F.array(F.lit(1.0), F.col("p_size").cast("double"))).when(F.col("p_size") % 3 == 1, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.col("p_size").cast("double")))).alias("value")), "select p_partkey, case when p_size % 3 = 0 then 1.0::double / p_size when p_size % 3 = 2 then p_size::double end as value from part")
 
 # ---- text functions ----
@@ -173,13 +174,14 @@ _add("str9_tokenize", lambda s, d: views.captions(s, d).select("doc_id", F.size(
 _add("str11_photo_id", lambda s, d: views._read(s, d, "documents").selectExpr("doc_id", f"{views.PATH} as path").select("doc_id", text.photo_id_for(F.col("path")).alias("photo_id")), f"select doc_id, substr(sha1({views.PATH}), 1, 16) as photo_id from documents")
 
 
-def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = views._read(spark, sf_dir, "part").where("p_partkey < 150")
+def _numbers(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    raw = views._read(spark, sf_dir, "part").where(where)
     listed = F.concat(F.col("p_size").cast("string"), F.lit(", 3,"), (F.col("p_partkey") % 9).cast("string"), F.lit("-"), (F.col("p_partkey") % 12).cast("string"))
     return raw.select("p_partkey", F.array_join(F.transform(text.parse_numbers(listed), lambda x: x.cast("string")), " ").alias("numbers"))
 
 
-_add("str13_numbers", _numbers, "select p_partkey, array_to_string(list_sort(list_distinct([p_size, 3] || case when p_partkey % 9 <= p_partkey % 12 then range(cast(p_partkey % 9 as integer), cast(p_partkey % 12 + 1 as integer)) else [] end)), ' ') as numbers from part where p_partkey < 150")
+_add("str13_numbers", lambda s, d: _numbers(s, d, "p_partkey < 150"), "select p_partkey, array_to_string(list_sort(list_distinct([p_size, 3] || case when p_partkey % 9 <= p_partkey % 12 then range(cast(p_partkey % 9 as integer), cast(p_partkey % 12 + 1 as integer)) else [] end)), ' ') as numbers from part where p_partkey < 150")
+_add("str13_numbers_all", _numbers, _SQL["str13_numbers"].removesuffix(" where p_partkey < 150"))
 _add("str10_19_captions", lambda s, d: views.corpus(s, d).select("photo_id", text.caption(F.col("ai_description"), F.col("photo_description")).alias("caption"), text.short_caption(F.col("ai_description"), F.col("photo_description"), 12).alias("short")), f"{_CORPUS} select photo_id, coalesce(ai_description, '') || ' ' || coalesce(photo_description, '') as caption, substr(coalesce(nullif(ai_description, ''), nullif(photo_description, ''), ''), 1, 12) as short from corpus")
 _add("str16_escape_html", lambda s, d: views._read(s, d, "pages").select("page_id", F.md5(text.escape_html(F.col("html"))).alias("escaped_md5")), "select page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) as escaped_md5 from pages")
 _add("str17_urls", lambda s, d: views.corpus(s, d).select("photo_id", text.sized_url(F.col("photo_image_url"), 640).alias("sized"), text.credited_url(F.col("photo_url"), "app").alias("credited"), text.sized_url(F.concat(F.lit("/api/"), "photo_id"), 640).alias("local")), f"{_CORPUS} select photo_id, photo_image_url || case when contains(photo_image_url, '?') then '&' else '?' end || 'w=640&q=80&fm=jpg' as sized, photo_url || '?utm_source=app&utm_medium=referral' as credited, '/api/' || photo_id as local from corpus")
@@ -239,7 +241,15 @@ def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("flt16_unanswerable", lambda s, d: evaluate.drop_unanswerable(_judgments(s, d))[1].select("query_id"), "select cast(vec_id as varchar) as query_id from embeddings where vec_id < 50 and label = 7")
 _add("ret16_gap", lambda s, d: _rounded(evaluate.gap(_scored(s, d), evaluate.score_queries(_many(s, d, 10, FilterSpec(iso_max=2000)), views.query_vectors(s, d).select("query_id", "bucket"), views.qrels(s, d), 10)), *_MEAN_NAMES))
-_add("agg13_latency", lambda s, d: _rounded(evaluate.latency(views._read(s, d, "lineitem").where("l_orderkey < 500").select(F.col("l_quantity").alias("encode_ms"), (F.col("l_extendedprice") / 100).alias("search_ms"))), "encode_ms", "search_ms", "total_ms"), "select round(median(l_quantity), 6) as encode_ms, round(median(l_extendedprice / 100), 6) as search_ms, round(median(l_quantity + l_extendedprice / 100), 6) as total_ms from lineitem where l_orderkey < 500")
+
+
+def _latency(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    timings = views._read(spark, sf_dir, "lineitem").where(where).select(F.col("l_quantity").alias("encode_ms"), (F.col("l_extendedprice") / 100).alias("search_ms"))
+    return _rounded(evaluate.latency(timings), "encode_ms", "search_ms", "total_ms")
+
+
+_add("agg13_latency", lambda s, d: _latency(s, d, "l_orderkey < 500"), "select round(median(l_quantity), 6) as encode_ms, round(median(l_extendedprice / 100), 6) as search_ms, round(median(l_quantity + l_extendedprice / 100), 6) as total_ms from lineitem where l_orderkey < 500")
+_add("agg13_latency_all", _latency, _SQL["agg13_latency"].removesuffix(" where l_orderkey < 500"))
 
 
 def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
