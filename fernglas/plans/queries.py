@@ -117,25 +117,25 @@ for _name, _spec, _where in (("ret4_similar", FilterSpec(), "true"), ("ret4_simi
     _add(_name, _similar(_spec), f"{_CORPUS}, s as (select *, {_DOT.format('embedding', _QUERY.format(3))} as score from corpus where photo_id <> '3' and {_where}) select {_RESULT} from s order by s.score desc, photo_id limit 12")
 
 
-def _many(spark: SparkSession, sf_dir: str, k: int = 10, spec: FilterSpec = FilterSpec()) -> DataFrame:
-    return search.search_many(views.corpus(spark, sf_dir), views.query_vectors(spark, sf_dir).select("query_id", "query"), k, spec)
+def _many(spark: SparkSession, sf_dir: str, k: int = 10, spec: FilterSpec = FilterSpec(), which: str = views.FIRST) -> DataFrame:
+    return search.search_many(views.corpus(spark, sf_dir), views.query_vectors(spark, sf_dir, which).select("query_id", "query"), k, spec)
 
 
 _RANKED = f"{_MANY}, ranked as (select query_id, photo_id, score, row_number() over (partition by query_id order by score desc, photo_id) as rank from (select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q) qualify rank <= 10)"
-_add("win3_batch", lambda s, d: _rounded(_many(s, d), "score"), f"{_RANKED} select query_id, cast(rank as integer) as rank, photo_id, round(score, 6) as score from ranked")
-_add("win3_batch_filtered", lambda s, d: _rounded(_many(s, d, 5, FilterSpec(iso_max=2000)), "score"), f"{_MANY} select query_id, cast(row_number() over (partition by query_id order by score desc, photo_id) as integer) as rank, photo_id, round(score, 6) as score from (select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q where iso <= 2000) qualify rank <= 5")
-_add("win2_first_hit", lambda s, d: _many(s, d).join(views.qrels(s, d), ["query_id", "photo_id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank")), f"{_RANKED} select query_id, cast(min(rank) as integer) as first_rank from ranked join q using (query_id) join corpus c using (photo_id) where c.label = q.label and q.label <> 7 and photo_id <> query_id group by query_id")
+_add("win3_batch", lambda s, d, which=views.FIRST: _rounded(_many(s, d, which=which), "score"), f"{_RANKED} select query_id, cast(rank as integer) as rank, photo_id, round(score, 6) as score from ranked")
+_add("win3_batch_filtered", lambda s, d, which=views.FIRST: _rounded(_many(s, d, 5, FilterSpec(iso_max=2000), which=which), "score"), f"{_MANY} select query_id, cast(row_number() over (partition by query_id order by score desc, photo_id) as integer) as rank, photo_id, round(score, 6) as score from (select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q where iso <= 2000) qualify rank <= 5")
+_add("win2_first_hit", lambda s, d, which=views.FIRST: _many(s, d, which=which).join(views.qrels(s, d, which), ["query_id", "photo_id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank")), f"{_RANKED} select query_id, cast(min(rank) as integer) as first_rank from ranked join q using (query_id) join corpus c using (photo_id) where c.label = q.label and q.label <> 7 and photo_id <> query_id group by query_id")
 
 
-def _texts_by_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts_by_images(spark: SparkSession, sf_dir: str, which: str, some: str = "true") -> DataFrame:
     rows = views.corpus(spark, sf_dir)
-    texts = views.query_vectors(spark, sf_dir).where("cast(query_id as int) < 6").select("query_id", "query")
-    images = rows.where("vec_id between 100 and 139").select("photo_id", "embedding")
+    texts = views.query_vectors(spark, sf_dir, which).select("query_id", "query")
+    images = rows.where(some).select("photo_id", "embedding")
     scored = images.crossJoin(F.broadcast(texts)).select("query_id", "photo_id", vector.dot(F.col("embedding"), F.col("query")).alias("score"))
     return _rounded(search.best_image_per_text(scored, "query_id", "photo_id"), "score")
 
 
-_add("ret15_text_image_table", _texts_by_images, f"{_MANY} select query_id, photo_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, photo_id) = 1 as best from (select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q where cast(query_id as integer) < 6 and vec_id between 100 and 139)")
+_add("ret15_text_image_table", lambda s, d: _texts_by_images(s, d, f"{views.FIRST} and vec_id < 6", "vec_id between 100 and 139"), f"{_MANY} select query_id, photo_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, photo_id) = 1 as best from (select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q where cast(query_id as integer) < 6 and vec_id between 100 and 139)")
 
 # ---- counts, reports, integrity ----
 
@@ -188,8 +188,8 @@ _add("str17_urls", lambda s, d: views.corpus(s, d).select("photo_id", text.sized
 _add("mth7_aspect", lambda s, d: views.corpus(s, d).select("photo_id", text.aspect(F.col("photo_width"), F.nullif(F.col("photo_height"), F.lit(3000))).alias("aspect")), f"{_CORPUS} select photo_id, coalesce(case when photo_height <> 3000 then greatest(40.0::double, least(160.0::double, photo_height * 100.0::double / photo_width)) end, 66.7::double) as aspect from corpus")
 
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _many(spark, sf_dir)
+def _verdicts(spark: SparkSession, sf_dir: str, which: str = views.FIRST) -> DataFrame:
+    hits = _many(spark, sf_dir, which=which)
     best = Window.partitionBy("query_id")
     return hits.select("query_id", "rank", text.verdict(F.round("score", 6)).alias("verdict"), text.score_text(F.round("score", 2)).alias("score_text"), (F.max(F.round("score", 6)).over(best) < text.WEAK_PAGE).alias("weak_page"))
 
@@ -219,8 +219,8 @@ _add("agg9_statistics", lambda s, d: _rounded(bm25.statistics(views.captions(s,
 # ---- evaluation ----
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.score_queries(_many(spark, sf_dir), views.query_vectors(spark, sf_dir).select("query_id", "bucket"), views.qrels(spark, sf_dir), 10)
+def _scored(spark: SparkSession, sf_dir: str, which: str = views.FIRST) -> DataFrame:
+    return evaluate.score_queries(_many(spark, sf_dir, which=which), views.query_vectors(spark, sf_dir, which).select("query_id", "bucket"), views.qrels(spark, sf_dir, which), 10)
 
 
 _SCORED = f"""{_RANKED}, rel as (select query_id, photo_id from q join corpus c on c.label = q.label where q.label <> 7 and photo_id <> query_id),
@@ -228,19 +228,19 @@ nrel as (select query_id, count(*) as n from rel group by query_id), h as (selec
 scored as (select q.query_id, q.bucket, count(*) filter (hit) / 10.0::double as precision, coalesce(count(*) filter (hit) / any_value(n)::double, 0) as recall, coalesce(1.0::double / min(rank) filter (hit), 0) as reciprocal_rank, coalesce(any_value(n), 0) as n_relevant, array_to_string(list(cast(hit as varchar) order by rank), ',') as flags from q left join h using (query_id) left join nrel using (query_id) group by q.query_id, q.bucket)"""
 _MEANS = "round(coalesce(avg(precision), 0), 6) as precision_at_k, round(coalesce(avg(recall), 0), 6) as recall_at_k, round(coalesce(avg(reciprocal_rank), 0), 6) as mrr, count(*) as n"
 _RATES, _MEAN_NAMES = ("precision", "recall", "reciprocal_rank"), ("precision_at_k", "recall_at_k", "mrr")
-_add("ret8_per_query", lambda s, d: _rounded(_scored(s, d), *_RATES).withColumn("hits", F.array_join(F.transform("hits", lambda x: x.cast("string")), ",")), f"{_SCORED} select query_id, bucket, round(precision, 6) as precision, round(recall, 6) as recall, round(reciprocal_rank, 6) as reciprocal_rank, n_relevant, flags as hits from scored")
-_add("agg11_summary", lambda s, d: _rounded(evaluate.summarize(_scored(s, d)), *_MEAN_NAMES), f"{_SCORED} select {_MEANS} from scored")
-_add("agg12_by_bucket", lambda s, d: _rounded(evaluate.by_bucket(_scored(s, d), [f"b{k}" for k in range(9, -1, -1)]), *_MEAN_NAMES), f"{_SCORED} select bucket, {_MEANS} from scored group by bucket")
-_add("top4_worst", lambda s, d: _rounded(evaluate.worst(_scored(s, d).drop("hits")), *_RATES), f"{_SCORED} select query_id, bucket, round(precision, 6) as precision, round(recall, 6) as recall, round(reciprocal_rank, 6) as reciprocal_rank, n_relevant from scored order by scored.precision, scored.reciprocal_rank, query_id limit 5")
+_add("ret8_per_query", lambda s, d, which=views.FIRST: _rounded(_scored(s, d, which=which), *_RATES).withColumn("hits", F.array_join(F.transform("hits", lambda x: x.cast("string")), ",")), f"{_SCORED} select query_id, bucket, round(precision, 6) as precision, round(recall, 6) as recall, round(reciprocal_rank, 6) as reciprocal_rank, n_relevant, flags as hits from scored")
+_add("agg11_summary", lambda s, d, which=views.FIRST: _rounded(evaluate.summarize(_scored(s, d, which=which)), *_MEAN_NAMES), f"{_SCORED} select {_MEANS} from scored")
+_add("agg12_by_bucket", lambda s, d, which=views.FIRST: _rounded(evaluate.by_bucket(_scored(s, d, which=which), [f"b{k}" for k in range(9, -1, -1)]), *_MEAN_NAMES), f"{_SCORED} select bucket, {_MEANS} from scored group by bucket")
+_add("top4_worst", lambda s, d, which=views.FIRST: _rounded(evaluate.worst(_scored(s, d, which=which).drop("hits")), *_RATES), f"{_SCORED} select query_id, bucket, round(precision, 6) as precision, round(recall, 6) as recall, round(reciprocal_rank, 6) as reciprocal_rank, n_relevant from scored order by scored.precision, scored.reciprocal_rank, query_id limit 5")
 
 
-def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = views.qrels(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list("photo_id")).alias("relevant"))
-    return views.query_vectors(spark, sf_dir).select("query_id").join(listed, "query_id", "left").select("query_id", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant")).withColumn("judged", F.slice("relevant", 1, 30))
+def _judgments(spark: SparkSession, sf_dir: str, which: str = views.FIRST) -> DataFrame:
+    listed = views.qrels(spark, sf_dir, which).groupBy("query_id").agg(F.array_sort(F.collect_list("photo_id")).alias("relevant"))
+    return views.query_vectors(spark, sf_dir, which).select("query_id").join(listed, "query_id", "left").select("query_id", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant")).withColumn("judged", F.slice("relevant", 1, 30))
 
 
-_add("flt16_unanswerable", lambda s, d: evaluate.drop_unanswerable(_judgments(s, d))[1].select("query_id"), "select cast(vec_id as varchar) as query_id from embeddings where vec_id < 50 and label = 7")
-_add("ret16_gap", lambda s, d: _rounded(evaluate.gap(_scored(s, d), evaluate.score_queries(_many(s, d, 10, FilterSpec(iso_max=2000)), views.query_vectors(s, d).select("query_id", "bucket"), views.qrels(s, d), 10)), *_MEAN_NAMES))
+_add("flt16_unanswerable", lambda s, d, which=views.FIRST: evaluate.drop_unanswerable(_judgments(s, d, which=which))[1].select("query_id"), "select cast(vec_id as varchar) as query_id from embeddings where vec_id < 50 and label = 7")
+_add("ret16_gap", lambda s, d, which=views.EVERY: _rounded(evaluate.gap(_scored(s, d, which=which), evaluate.score_queries(_many(s, d, 10, FilterSpec(iso_max=2000), which=which), views.query_vectors(s, d, which).select("query_id", "bucket"), views.qrels(s, d, which), 10)), *_MEAN_NAMES))
 
 
 def _latency(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
@@ -252,9 +252,9 @@ _add("agg13_latency", lambda s, d: _latency(s, d, "l_orderkey < 500"), "select r
 _add("agg13_latency_all", _latency, _SQL["agg13_latency"].removesuffix(" where l_orderkey < 500"))
 
 
-def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = _many(spark, sf_dir, 12)
-    second = views.query_vectors(spark, sf_dir).select("query_id", F.transform("query", lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)).alias("query"))
+def _arms(spark: SparkSession, sf_dir: str, which: str = views.FIRST) -> DataFrame:
+    near = _many(spark, sf_dir, 12, which=which)
+    second = views.query_vectors(spark, sf_dir, which).select("query_id", F.transform("query", lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)).alias("query"))
     arms = [("clip", near), ("rephrasing1", near.where("photo_id % 2 = 0").where("rank <= 6")), ("rephrasing2", search.search_many(views.corpus(spark, sf_dir), second, 6)), ("bm25", near.withColumn("rank", 13 - F.col("rank")))]
     out = None
     for name, rows in arms:
@@ -267,19 +267,26 @@ _POOL = f"""{_MANY}, base as (select query_id, photo_id, row_number() over (part
 q2 as (select query_id, list_transform(query, lambda x, i: case when i % 2 = 1 then x else -x end) as query from q), other as (select query_id, photo_id, row_number() over (partition by query_id order by score desc, photo_id) as rank from (select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q2) qualify rank <= 6),
 arms as (select query_id, 'clip' as arm, rank, photo_id from base union all select query_id, 'rephrasing1', rank, photo_id from base where cast(photo_id as integer) % 2 = 0 and rank <= 6 union all select query_id, 'rephrasing2', rank, photo_id from other union all select query_id, 'bm25', 13 - rank, photo_id from base),
 pool as (select query_id, photo_id, list_sort(list_distinct(list(arm))) as arms, min(rank) as best_rank from arms group by all)"""
-_add("ret7_pool", lambda s, d: evaluate.build_pool(_arms(s, d)).withColumn("arms", F.array_join("arms", ",")), f"{_POOL} select query_id, photo_id, array_to_string(arms, ',') as arms, cast(best_rank as integer) as best_rank, cast(row_number() over (partition by query_id order by len(arms) desc, best_rank, photo_id) as integer) as position from pool")
-_add("arr4_arm_initials", lambda s, d: evaluate.build_pool(_arms(s, d)).groupBy(evaluate.arm_initials(F.col("arms")).alias("initials")).agg(F.count("*").alias("n")), f"{_POOL} select array_to_string(list_sort(list_distinct(list_transform(arms, lambda a: a[1]))), '') as initials, count(*) as n from pool group by 1")
-_add("agg18_totals", lambda s, d: evaluate.pool_totals(evaluate.build_pool(_arms(s, d)), _judgments(s, d)), f"{_POOL}, j as (select q.query_id, count(c.photo_id) filter (q.label <> 7 and c.photo_id <> q.query_id) as n from q left join corpus c on c.label = q.label group by q.query_id) select (select count(*) from pool) as candidates, cast(sum(least(n, 30)) as bigint) as judged, cast(sum(n) as bigint) as relevant from j")
-_add("ret18_status", lambda s, d: evaluate.status(evaluate.build_pool(_arms(s, d)), _judgments(s, d).where("cast(query_id as int) < 20")), f"{_POOL}, j as (select q.query_id, count(c.photo_id) filter (q.label <> 7 and c.photo_id <> q.query_id) as n from q left join corpus c on c.label = q.label where cast(query_id as integer) < 20 group by q.query_id) select p.query_id, count(*) as candidates, cast(coalesce(any_value(least(coalesce(n, 0), 30)), 0) as integer) as judged, cast(coalesce(any_value(n), 0) as integer) as relevant from pool p left join j using (query_id) group by p.query_id")
-_add("ret18_record", lambda s, d: evaluate.record(evaluate.build_pool(_arms(s, d)), _judgments(s, d).where("cast(query_id as int) < 5"), "3", [1, 4, 7]).select("query_id", F.size("judged").alias("judged"), F.array_join("relevant", ",").alias("relevant")).where("query_id = '3'"), f"{_POOL}, ordered as (select *, row_number() over (partition by query_id order by len(arms) desc, best_rank, photo_id) as position from pool) select query_id, cast(count(*) as integer) as judged, array_to_string(list(photo_id order by position) filter (position in (1, 4, 7)), ',') as relevant from ordered where query_id = '3' group by query_id")
+_add("ret7_pool", lambda s, d, which=views.FIRST: evaluate.build_pool(_arms(s, d, which=which)).withColumn("arms", F.array_join("arms", ",")), f"{_POOL} select query_id, photo_id, array_to_string(arms, ',') as arms, cast(best_rank as integer) as best_rank, cast(row_number() over (partition by query_id order by len(arms) desc, best_rank, photo_id) as integer) as position from pool")
+_add("arr4_arm_initials", lambda s, d, which=views.FIRST: evaluate.build_pool(_arms(s, d, which=which)).groupBy(evaluate.arm_initials(F.col("arms")).alias("initials")).agg(F.count("*").alias("n")), f"{_POOL} select array_to_string(list_sort(list_distinct(list_transform(arms, lambda a: a[1]))), '') as initials, count(*) as n from pool group by 1")
+_add("agg18_totals", lambda s, d, which=views.FIRST: evaluate.pool_totals(evaluate.build_pool(_arms(s, d, which=which)), _judgments(s, d, which=which)), f"{_POOL}, j as (select q.query_id, count(c.photo_id) filter (q.label <> 7 and c.photo_id <> q.query_id) as n from q left join corpus c on c.label = q.label group by q.query_id) select (select count(*) from pool) as candidates, cast(sum(least(n, 30)) as bigint) as judged, cast(sum(n) as bigint) as relevant from j")
+_add("ret18_status", lambda s, d, which=views.FIRST: evaluate.status(evaluate.build_pool(_arms(s, d, which=which)), _judgments(s, d, which=which).where("cast(query_id as int) < 20")), f"{_POOL}, j as (select q.query_id, count(c.photo_id) filter (q.label <> 7 and c.photo_id <> q.query_id) as n from q left join corpus c on c.label = q.label where cast(query_id as integer) < 20 group by q.query_id) select p.query_id, count(*) as candidates, cast(coalesce(any_value(least(coalesce(n, 0), 30)), 0) as integer) as judged, cast(coalesce(any_value(n), 0) as integer) as relevant from pool p left join j using (query_id) group by p.query_id")
+_add("ret18_record", lambda s, d, which=views.FIRST: evaluate.record(evaluate.build_pool(_arms(s, d, which=which)), _judgments(s, d, which=which).where("cast(query_id as int) < 5"), "3", [1, 4, 7]).select("query_id", F.size("judged").alias("judged"), F.array_join("relevant", ",").alias("relevant")).where("query_id = '3'"), f"{_POOL}, ordered as (select *, row_number() over (partition by query_id order by len(arms) desc, best_rank, photo_id) as position from pool) select query_id, cast(count(*) as integer) as judged, array_to_string(list(photo_id order by position) filter (position in (1, 4, 7)), ',') as relevant from ordered where query_id = '3' group by query_id")
 
 
-def _probe_hits(spark: SparkSession, sf_dir: str, spec: FilterSpec) -> DataFrame:
-    return _many(spark, sf_dir, 10, spec).select(F.col("query_id").alias("probe"), "photo_id", "score")
+def _probe_hits(spark: SparkSession, sf_dir: str, spec: FilterSpec, which: str = views.FIRST) -> DataFrame:
+    return _many(spark, sf_dir, 10, spec, which=which).select(F.col("query_id").alias("probe"), "photo_id", "score")
 
 
-_add("ret9_parity", lambda s, d: _rounded(evaluate.parity(_probe_hits(s, d, FilterSpec()), _probe_hits(s, d, FilterSpec(iso_max=2000))), "max_gap", "mean_overlap"), f"{_RANKED}, other as (select query_id, photo_id, row_number() over (partition by query_id order by score desc, photo_id) as rank from (select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q where iso <= 2000) qualify rank <= 10) select 0.0::double as max_gap, round(avg(n / 10.0::double), 6) as mean_overlap from (select r.query_id, count(o.photo_id) as n from ranked r left join other o on o.query_id = r.query_id and o.photo_id = r.photo_id group by r.query_id)")
-_add("set3_overlap", lambda s, d: _probe_hits(s, d, FilterSpec()).join(_probe_hits(s, d, FilterSpec(iso_max=2000)).drop("score"), ["probe", "photo_id"]).groupBy("probe").agg((F.count("*") / 10.0).alias("overlap")), f"{_RANKED}, other as (select query_id, photo_id, row_number() over (partition by query_id order by score desc, photo_id) as rank from (select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q where iso <= 2000) qualify rank <= 10) select query_id as probe, count(*) / 10.0::double as overlap from ranked join other using (query_id, photo_id) group by query_id")
+_add("ret9_parity", lambda s, d, which=views.FIRST: _rounded(evaluate.parity(_probe_hits(s, d, FilterSpec(), which=which), _probe_hits(s, d, FilterSpec(iso_max=2000), which=which)), "max_gap", "mean_overlap"), f"{_RANKED}, other as (select query_id, photo_id, row_number() over (partition by query_id order by score desc, photo_id) as rank from (select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q where iso <= 2000) qualify rank <= 10) select 0.0::double as max_gap, round(avg(n / 10.0::double), 6) as mean_overlap from (select r.query_id, count(o.photo_id) as n from ranked r left join other o on o.query_id = r.query_id and o.photo_id = r.photo_id group by r.query_id)")
+_add("set3_overlap", lambda s, d, which=views.FIRST: _probe_hits(s, d, FilterSpec(), which=which).join(_probe_hits(s, d, FilterSpec(iso_max=2000), which=which).drop("score"), ["probe", "photo_id"]).groupBy("probe").agg((F.count("*") / 10.0).alias("overlap")), f"{_RANKED}, other as (select query_id, photo_id, row_number() over (partition by query_id order by score desc, photo_id) as rank from (select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q where iso <= 2000) qualify rank <= 10) select query_id as probe, count(*) / 10.0::double as overlap from ranked join other using (query_id, photo_id) group by query_id")
+
+# ---- the same with a query set that grows with the table, beside the first fifty of the SQL as given ----
+
+for _name in ("win3_batch", "win3_batch_filtered", "win2_first_hit", "mth5_6_verdicts", "ret8_per_query", "agg11_summary", "agg12_by_bucket", "top4_worst", "ret7_pool", "arr4_arm_initials", "agg18_totals", "ret9_parity", "set3_overlap", "flt16_unanswerable"):
+    _add(f"{_name}_all", lambda s, d, q=_QUERIES[_name]: q(s, d, views.EVERY), _SQL[_name].replace(f"where {views.FIRST}", f"where {views.EVERY}"))
+_add("ret15_text_image_table_all", lambda s, d: _texts_by_images(s, d, views.EVERY), _SQL["ret15_text_image_table"].replace(f"where {views.FIRST}", f"where {views.EVERY}").replace(" where cast(query_id as integer) < 6 and vec_id between 100 and 139", ""))
+_add("ret18_status_all", lambda s, d: evaluate.status(evaluate.build_pool(_arms(s, d, views.EVERY)), _judgments(s, d, views.EVERY)), _SQL["ret18_status"].replace(f"where {views.FIRST}", f"where {views.EVERY}").replace(" where cast(query_id as integer) < 20", ""))
 
 # ---- incremental maintenance ----
 

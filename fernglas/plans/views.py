@@ -31,6 +31,8 @@ RAW = {
     "exif_camera_make": "case when vec_id % 8 = 0 then null when vec_id % 19 = 0 then ' ' else '  ' || upper(p_brand) || '   o''neil-CORP ' end",
     "exif_camera_model": "case when vec_id % 8 = 0 then null else ' ' || p_type || '  Mk2 ' end",
 }
+#: The rows of embeddings that are queries: those of the SQL as given, and a set that grows with the table.
+FIRST, EVERY = "vec_id < 50", "vec_id % 50 = 0"
 #: Files over documents.
 PATH = "'/root/' || source || '/' || cast(doc_id as varchar(20)) || '.jpg'"
 
@@ -49,15 +51,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_exif(corpus_raw(spark, sf_dir))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty stored vectors that stand for encoded texts."""
-    return _read(spark, sf_dir, "embeddings").where("vec_id < 50").selectExpr("cast(vec_id as string) as query_id", "concat('b', label) as bucket", "label", "embedding as query")
+def query_vectors(spark: SparkSession, sf_dir: str, which: str = FIRST) -> DataFrame:
+    """Stored vectors that stand for encoded texts: the first fifty, or every fiftieth row."""
+    return _read(spark, sf_dir, "embeddings").where(which).selectExpr("cast(vec_id as string) as query_id", "concat('b', label) as bucket", "label", "embedding as query")
 
 
-def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def qrels(spark: SparkSession, sf_dir: str, which: str = FIRST) -> DataFrame:
     """Relevant: the query's label, not the query itself; queries of label 7 have none."""
     rows = corpus(spark, sf_dir).select("photo_id", "label")
-    queries = query_vectors(spark, sf_dir).where("label <> 7").select("query_id", "label")
+    queries = query_vectors(spark, sf_dir, which).where("label <> 7").select("query_id", "label")
     return rows.join(F.broadcast(queries), "label").where("photo_id <> query_id").select("query_id", "photo_id")
 
 

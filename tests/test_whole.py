@@ -14,3 +14,13 @@ def test_a_row_each(spark, name, table):
 
 def test_sql_has_no_bound():
     assert not [n for n, sql in queries.oracle_sql().items() if n in ("dat1_taken_at_all", "str13_numbers_all", "agg13_latency_all") and (" < 2000" in sql or " < 150" in sql or " < 500" in sql)]
+
+
+def test_query_set_grows(spark):
+    """Queries whose ids are divisible by 50 are searched, also those beyond the first fifty rows, against all rows."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = {str(r["vec_id"]) for r in rows.where("vec_id % 50 = 0").collect()}
+    for name in ("win3_batch_all", "ret7_pool_all", "ret18_status_all", "ret15_text_image_table_all"):
+        found = queries.queries()[name](spark, SF)
+        assert {r["query_id"] for r in found.select("query_id").distinct().collect()} == want
+    assert found.count() == len(want) * rows.count()
