@@ -67,8 +67,8 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "benchmark").where("item_id < 20").selectExpr("cast(item_id as string) as query_id", "substring(text, 1, 60) as query")
+def keyword_queries(spark: SparkSession, sf_dir: str, which: str = "true", query: str = "text") -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").where(which).selectExpr("cast(item_id as string) as query_id", f"{query} as query")
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from fernglas.plans import queries
+from fernglas.plans import queries, views
 
 SF = "/root/testdata/sf0.01"
 
@@ -24,3 +24,12 @@ def test_query_set_grows(spark):
         found = queries.queries()[name](spark, SF)
         assert {r["query_id"] for r in found.select("query_id").distinct().collect()} == want
     assert found.count() == len(want) * rows.count()
+
+
+def test_whole_keyword_queries(spark):
+    """All benchmark items are searched, by whole texts."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    found = views.keyword_queries(spark, SF)
+    assert sorted(found.select("query_id", "query").collect()) == sorted(items.selectExpr("cast(item_id as string)", "text").collect())
+    answered = queries.queries()["ret6_bm25_all"](spark, SF).select("query_id").distinct().count()
+    assert answered == items.count()
