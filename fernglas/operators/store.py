@@ -70,12 +70,19 @@ class ClusteredStore:
 
 
 def check_half_precision(corpus: DataFrame, probes: DataFrame, k: int = 10) -> DataFrame:
-    """What storage in 16 bits changes: largest score difference and norm error, probes with the same first k."""
-    from .search import search_many
+    """What storage in 16 bits changes: largest score difference and norm error, probes with the same first k.
+    All probes are taken, in the blocks of ``search_many``."""
+    from .search import QUERIES_BROADCAST, search_many
 
     halved = corpus.withColumn(VECTOR, vector.half_precision(F.col(VECTOR)))
     both = corpus.select(ID, VECTOR).join(halved.select(ID, F.col(VECTOR).alias("half")), ID)
-    delta = both.crossJoin(F.broadcast(probes.limit(64))).agg(F.max(F.abs(vector.dot(F.col(VECTOR), F.col("query")) - vector.dot(F.col("half"), F.col("query")))).alias("max_delta"), F.max(vector.norm_error(F.col("half"))).alias("max_norm_error"))
+    blocks = max(1, -(-probes.count() // QUERIES_BROADCAST))
+    deltas = None
+    for b in range(blocks):
+        some = probes if blocks == 1 else probes.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        one = both.crossJoin(F.broadcast(some)).agg(F.max(F.abs(vector.dot(F.col(VECTOR), F.col("query")) - vector.dot(F.col("half"), F.col("query")))).alias("max_delta"), F.max(vector.norm_error(F.col("half"))).alias("max_norm_error"))
+        deltas = one if deltas is None else deltas.union(one)
+    delta = deltas.agg(F.max("max_delta").alias("max_delta"), F.max("max_norm_error").alias("max_norm_error"))
     order = lambda t, n: t.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", ID))), lambda x: x[ID]).alias(n))  # noqa: E731  k a probe
-    same = order(search_many(corpus, probes.limit(64), k), "a").join(order(search_many(halved, probes.limit(64), k), "b"), "query_id")
+    same = order(search_many(corpus, probes, k), "a").join(order(search_many(halved, probes, k), "b"), "query_id")
     return delta.crossJoin(same.agg(F.count_if(F.col("a") == F.col("b")).alias("same_order"), F.count("*").alias("probes")))

@@ -215,6 +215,7 @@ def _keyword(spark: SparkSession, sf_dir: str, k: int = 10, which: str = "true",
 _add("ret6_bm25", lambda s, d: _rounded(_keyword(s, d, 10, "item_id < 20", "substring(text, 1, 60)"), "score").withColumnRenamed("key", "doc_id"), f"{_BM25} select query_id, cast(row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as integer) as rank, doc_id, round(score, 6) as score from s where score > 0 qualify rank <= 10")
 _add("ret6_bm25_all", lambda s, d: _rounded(_keyword(s, d), "score").withColumnRenamed("key", "doc_id"), _SQL["ret6_bm25"].replace("substr(text, 1, 60)", "text").replace(" where item_id < 20", ""))
 _add("agg19_vocabulary", lambda s, d: bm25.vocabulary(bm25.tokens_of(views.captions(s, d), "doc_id", F.col("text"))).where("df > 20").select("term", "df", F.round("idf", 6).alias("idf")), f"{_BM25} select term, df, round(idf, 6) as idf from idf join df using (term) where df > 20")
+_add("agg19_vocabulary_all", lambda s, d: bm25.vocabulary(bm25.tokens_of(views.captions(s, d), "doc_id", F.col("text"))).select("term", "df", F.round("idf", 6).alias("idf")), _SQL["agg19_vocabulary"].removesuffix(" where df > 20"))
 _add("agg9_statistics", lambda s, d: _rounded(bm25.statistics(views.captions(s, d), F.col("text")), "average_length"), f"select count(*) as documents, count(*) filter (len(tokens) = 0) as empty_documents, round(avg(len(tokens)), 6) as average_length from (select {_TOKENS} as tokens from documents)")
 
 # ---- evaluation ----
@@ -319,7 +320,7 @@ def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _half(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.store import check_half_precision
 
-    return check_half_precision(views.corpus(spark, sf_dir), views.query_vectors(spark, sf_dir).select("query_id", "query").limit(40))
+    return check_half_precision(views.corpus(spark, sf_dir), views.query_vectors(spark, sf_dir, views.EVERY).select("query_id", "query"))
 
 
 _add("ret2_clustered", _clustered)

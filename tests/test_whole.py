@@ -2,6 +2,7 @@
 
 import pytest
 
+from fernglas.operators import search, store
 from fernglas.plans import queries, views
 
 SF = "/root/testdata/sf0.01"
@@ -33,3 +34,18 @@ def test_whole_keyword_queries(spark):
     assert sorted(found.select("query_id", "query").collect()) == sorted(items.selectExpr("cast(item_id as string)", "text").collect())
     answered = queries.queries()["ret6_bm25_all"](spark, SF).select("query_id").distinct().count()
     assert answered == items.count()
+
+
+def test_whole_vocabulary(spark):
+    """Rare terms are returned as well."""
+    assert queries.queries()["agg19_vocabulary_all"](spark, SF).where("df = 1").count() > 0
+
+
+def test_all_probes_count(spark, monkeypatch):
+    """More than 64 probes, in more than one block, give the same figures as in one block."""
+    rows = views.corpus(spark, SF)
+    probes = views.query_vectors(spark, SF, "vec_id < 100").select("query_id", "query")
+    one = store.check_half_precision(rows, probes).first()
+    assert one["probes"] == 100
+    monkeypatch.setattr(search, "QUERIES_BROADCAST", 30)
+    assert store.check_half_precision(rows, probes).first() == one
