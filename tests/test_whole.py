@@ -49,3 +49,20 @@ def test_all_probes_count(spark, monkeypatch):
     assert one["probes"] == 100
     monkeypatch.setattr(search, "QUERIES_BROADCAST", 30)
     assert store.check_half_precision(rows, probes).first() == one
+
+
+def test_gap_runs_bm25(spark, monkeypatch):
+    """The second system of the gap is BM25: without its hits the gap is the vector search's own means."""
+    got = queries.queries()["ret16_gap"](spark, SF).first()
+    alone = queries.queries()["agg11_summary_all"](spark, SF).first()
+    monkeypatch.setattr(queries.bm25, "search", lambda docs, key, *a: docs.selectExpr("'x' query_id", "1 rank", f"{key} key", "1.0D score").limit(0))
+    without = queries.queries()["ret16_gap"](spark, SF).first()
+    assert without["precision_at_k"] == alone["precision_at_k"]
+    assert got != without
+
+
+def test_agreement_compares_lists(spark, monkeypatch):
+    """A coarse second encoder changes the lists, so they are really computed."""
+    monkeypatch.setattr(queries.vector, "half_precision", lambda v: queries.F.transform(v, lambda x, i: queries.F.when(i < 8, x).otherwise(0.0).cast("float")))
+    r = queries.queries()["ret11_encoder_agreement"](spark, SF).first()
+    assert 0 < r["overlap"] < 1
