@@ -5,8 +5,12 @@ ranks for the minimum, deletes that boundary and refreshes the two neighbouring
 matrix, so that one numpy step serves thousands of words. Words beyond LONG_WORD symbols take a heap over a linked list,
 whose cost doesn't grow with the square of the length.
 
+Normalisation and word classes come from Python's Unicode tables. Where the library's are of another Unicode version (code
+points that Python doesn't know, and marks that came after 3.2), the text goes through the library's own normaliser and
+word cutter instead, and its words are merged here like all others.
+
 Nulls count as empty texts; empty texts give no ids and decode to ''. Results depend on the text alone, so repeated rows
-get equal results.
+get equal results. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from .textkit import BLOCK_BYTES, blocks, mix64, powers, release
 #: What the vocabulary's cutter takes for white space, and the endings it keeps with their apostrophe.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
-_SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
+_SPACE, _LETTER, _NUMBER, _OTHER, _UNSETTLED = 0, 1, 2, 3, 4
 _NONE = np.int64(1 << 40)
 #: Longer words (in code points) are merged on a heap and not remembered.
 LONG_WORD = 256
@@ -37,11 +41,20 @@ REMEMBERED, KEPT = 600_000, 300_000
 
 
 def _classes() -> np.ndarray:
+    """Each code point's class. _UNSETTLED: versions of Unicode may differ in its class, case, order or composition."""
     kinds = np.full(0x110000, _OTHER, dtype=np.uint8)
+    old = unicodedata.ucd_3_2_0
+    unsettled = []
     for c in range(0x110000):
-        major = unicodedata.category(chr(c))[0]
-        if major in "LN":
-            kinds[c] = _LETTER if major == "L" else _NUMBER
+        char = chr(c)
+        major = unicodedata.category(char)
+        if major == "Cn":
+            kinds[c] = _UNSETTLED
+        elif major[0] in "LN":
+            kinds[c] = _LETTER if major[0] == "L" else _NUMBER
+        if (unicodedata.combining(char) or unicodedata.decomposition(char)) and old.category(char) == "Cn":
+            unsettled += [c, *(int(x, 16) for x in unicodedata.decomposition(char).split() if x[0] != "<")]
+    kinds[[c for c in unsettled if c >= 0x300]] = _UNSETTLED
     kinds[_WHITE] = _SPACE
     return kinds
 
@@ -100,6 +113,7 @@ class WordBpe:
         self.keys = keys[self.order]
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.kinds = _classes()
+        self.path, self._library = path, None
         self._forget(0)
 
     def _forget(self, kept: int) -> None:
@@ -228,11 +242,17 @@ class WordBpe:
         if self.marks and (marked := [k for k, t in enumerate(texts) if "<|" in t and self.marks.search(t)]):
             return self._encode_marked(texts, marked)
         clean = [(t if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ")).lower() for t in texts]
-        sizes = np.fromiter(map(len, clean), dtype=np.int64, count=len(clean))
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        whole = "".join(clean)
-        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        whole, points, bounds = self._joined(clean)
+        odd = np.flatnonzero(self.kinds[points] == _UNSETTLED)
+        spans = {}
+        if odd.size:
+            for k in np.unique(np.searchsorted(bounds, odd, side="right") - 1).tolist():
+                clean[k], spans[k] = self._by_library(texts[k])
+            whole, points, bounds = self._joined(clean)
         start, end = self._cut(points, bounds[:-1])
+        for k, own in spans.items():
+            a, b = np.searchsorted(start, bounds[k : k + 2])
+            start, end = (np.concatenate([x[:a], own[:, side] + bounds[k], x[b:]]) for side, x in enumerate((start, end)))
         hashes = self._hash(points, start, end)
         if self.rows.rows > REMEMBERED or self.rows.size > 24 * REMEMBERED:
             self._forget(KEPT if self.rows.rows > REMEMBERED else 0)
@@ -257,6 +277,22 @@ class WordBpe:
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return ids, ends[np.searchsorted(start, bounds)]
 
+    @staticmethod
+    def _joined(clean: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+        """All texts in one, its code points and where each text begins (plus the end)."""
+        sizes = np.fromiter(map(len, clean), dtype=np.int64, count=len(clean))
+        whole = "".join(clean)
+        return whole, np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _by_library(self, text: str) -> tuple[str, np.ndarray]:
+        """A text as the library normalises it, and start and end of its words."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        clean = self._library.normalizer.normalize_str(text)
+        return clean, np.array([at for _, at in self._library.pre_tokenizer.pre_tokenize_str(clean)], dtype=np.int64).reshape(-1, 2)
+
     @staticmethod
     def _hash(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         up, down = powers(points.size)
@@ -332,6 +368,19 @@ def bpe_encode(text: Column, path: str) -> Column:
     return encode(text)
 
 
+def bpe_count(text: Column, path: str) -> Column:
+    """How many ids each text has; null: 0."""
+
+    @F.arrow_udf("long")
+    def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = tokenizer(path)
+        for column in columns:
+            out = [pa.array(np.diff(bpe.encode_batch(part.to_pylist())[1]), pa.int64()) for part in text_batches(column)]
+            yield pa.concat_arrays(out) if out else pa.array([], pa.int64())
+
+    return count(text)
+
+
 def bpe_decode(ids: Column, path: str) -> Column:
     """The text that each array of ids stands for; null: ''. An id outside the vocabulary raises IndexError."""
 
