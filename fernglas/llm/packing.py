@@ -12,6 +12,7 @@ executor costs the repetition of its tasks only. Sequence numbers are unique ove
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import text_batches, tokenizer
+from .bpe import bpe_count, text_batches, tokenizer
 from .shared import bound_batches
 from .textkit import release
 
@@ -29,48 +30,75 @@ WAITING = 4096
 
 
 class Packer:
-    """The waiting items of one task and the sequences made of them."""
+    """The waiting items of one task and the sequences made of them. Items of equal sizes are one class: a row of
+    ``size`` and a queue, so that many short items cost no more than their kinds."""
 
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, cut: bool) -> None:
         if min(max_tokens, max_segments, max_loss) < 1:
             raise ValueError("limits must be at least 1")
         self.limit = np.array([max_tokens, max_segments, max_loss], dtype=np.float64)
         self.cut = cut
-        self.size = np.zeros((0, 3))
-        self.item: list[tuple] = []
+        self._set([])
+
+    def _set(self, kept: list[tuple[tuple[int, int], deque]]) -> None:
+        self.row = {kind: k for k, (kind, _) in enumerate(kept)}
+        self.queue = [q for _, q in kept]
+        self.size = np.ones((len(kept), 3))
+        self.size[:, [0, 2]] = [kind for kind, _ in kept] if kept else np.zeros((0, 2))
+        self.count = np.array([len(q) for q in self.queue], dtype=np.int64)
+
+    @property
+    def waiting(self) -> int:
+        return int(self.count.sum())
 
     def add(self, sizes: list[tuple[int, int]], items: list[tuple]) -> None:
-        if sizes:
-            new = np.ones((len(sizes), 3))
-            new[:, [0, 2]] = sizes
-            self.size = np.concatenate([self.size, new])
-            self.item += items
+        """sizes: tokens and loss tokens of each item."""
+        fresh: dict[tuple[int, int], deque] = {}
+        for kind, item in zip(sizes, items):
+            if (k := self.row.get(kind)) is not None:
+                self.queue[k].append(item)
+                self.count[k] += 1
+            else:
+                fresh.setdefault(kind, deque()).append(item)
+        if fresh:
+            self._set([(kind, self.queue[k]) for kind, k in self.row.items() if self.queue[k]] + list(fresh.items()))
+
+    def _take(self, k: int, n: int) -> list[tuple]:
+        self.count[k] -= n
+        return [self.queue[k].popleft() for _ in range(n)]
+
+    def _best_for(self, k: int, worth: np.ndarray, fits: np.ndarray, room: np.ndarray, share: np.ndarray) -> int:
+        """How many items of class k go in one after another before another class is worth more or none is left."""
+        loss = share @ share[k]  # what each class's worth falls by with every item of k
+        slower = fits & (loss < loss[k])
+        n = min(int(self.count[k]), int((room // np.maximum(self.size[k], 1e-9))[self.size[k] > 0].min()))
+        if slower.any():
+            n = min(n, 1 + int(((worth[k] - worth[slower]) / (loss[k] - loss[slower])).min()))
+        return max(1, n)
 
     def fill(self, split) -> list[tuple]:
         """One sequence of the waiting items. split(item, tokens) -> (front, its loss tokens, rest, its loss tokens)."""
         room, share = self.limit.copy(), self.size / self.limit
-        free = np.ones(len(self.item), dtype=bool)
-        out = []
+        out, rests = [], []
         while True:
-            fits = free & (self.size <= room).all(1)
+            there = self.count > 0
+            fits = there & (self.size <= room).all(1)
             worth = share @ (room / self.limit)
             if fits.any():
                 k = int(np.where(fits, worth, -1.0).argmax())
-                out.append(self.item[k])
-                free[k] = False
-                room -= self.size[k]
+                n = self._best_for(k, worth, fits, room, share)
+                out += self._take(k, n)
+                room -= n * self.size[k]
                 continue
             take = int(min(room[0], room[2]))
-            if not self.cut or take < 1 or room[1] < 1 or not free.any():
+            if not self.cut or take < 1 or room[1] < 1 or not there.any():
                 break
-            k = int(np.where(free, worth, -1.0).argmax())
-            front, front_loss, rest, rest_loss = split(self.item[k], take)
+            k = int(np.where(there, worth, -1.0).argmax())
+            front, front_loss, rest, rest_loss = split(self._take(k, 1)[0], take)
             out.append(front)
             room -= [take, 1, front_loss]
-            self.item[k], self.size[k] = rest, [self.size[k][0] - take, 1, rest_loss]
-            share[k] = self.size[k] / self.limit
-        left = np.flatnonzero(free)
-        self.size, self.item = self.size[left], [self.item[k] for k in left.tolist()]
+            rests.append(((int(self.size[k][0]) - take, rest_loss), rest))
+        self.add([kind for kind, _ in rests], [rest for _, rest in rests])
         return out
 
 
@@ -79,13 +107,15 @@ def _first_sequence() -> int:
     return (context.partitionId() if context else 0) << 33
 
 
-def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, max_tokens: int = 2048, max_segments: int = 256, max_loss: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, max_tokens: int = 2048, max_segments: int | None = None, max_loss: int | None = None) -> DataFrame:
     """Tokens of whole texts, each followed by ``end_id``, cut freely and packed: a row per piece with doc_id, start
     (tokens of the document before it), length, tokens (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id
-    and offset in the sequence. All tokens bear loss. Null or empty text: the end token alone; without an end token, no
-    piece. Null ids are carried, repeated rows are packed each on its own. An empty table gives no rows.
+    and offset in the sequence. All tokens bear loss; without ``max_segments`` a sequence may hold as many segments as
+    tokens. Null or empty text: the end token alone; without an end token, no piece. A text of any length is cut into
+    full sequences first. Null ids are carried, repeated rows are packed each on its own. An empty table gives no rows;
+    other columns, whatever their names, are not read.
     """
-    limits = max_tokens, max_segments, max_loss or max_tokens
+    limits = max_tokens, max_segments or max_tokens, max_loss or max_tokens
     whole = min(limits[0], limits[2])
     bound_batches(docs.sparkSession)
 
@@ -129,14 +159,14 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                         sizes.append((own.size - full, own.size - full))
                         items.append((doc, full, own[full:].copy(), own.size))
                 packer.add(sizes, items)
-                while len(packer.item) > WAITING:
+                while packer.waiting > WAITING:
                     put(packer.fill(split))
                 if rows:
                     yield flush()
-        while packer.item:
+        while packer.waiting:
             pieces = packer.fill(split)
             used = sum(p[2].size for p in pieces)
-            if packer.item or used == limits[0]:
+            if packer.waiting or used == limits[0]:
                 put(pieces)
                 continue
             for bit in reversed(range(limits[0].bit_length())):  # the last one
@@ -156,9 +186,19 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long")
 
 
+def conversation_sizes(turns: DataFrame, path: str, id_col: str = "conv_id", role_col: str = "role", text_col: str = "text", bearing: str = "assistant") -> DataFrame:
+    """(id, tokens, loss) of each conversation: the tokens of its turns, each followed by an end token, and of those the
+    ones of role ``bearing``. Null texts count as empty, null roles bear no loss; turns without an id are left out. Turns
+    are counted where they lie; only the counts are grouped, with partial sums on the map side."""
+    bound_batches(turns.sparkSession)
+    sized = turns.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (bpe_count(F.col(text_col), path) + 1).alias("n"), F.coalesce(F.col(role_col) == bearing, F.lit(False)).alias("bears"))
+    return sized.groupBy("id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("bears"), F.col("n")).otherwise(0)).alias("loss"))
+
+
 def pack_items(items: DataFrame, id_col: str, tokens_col: str, loss_col: str, max_tokens: int = 2048, max_segments: int = 64, max_loss: int = 1024) -> DataFrame:
     """Whole examples (instruction data), never cut: (id, tokens, loss, sequence_id, offset). An example that exceeds a
-    limit by itself gets a sequence of its own; sizes that are null or negative count as 0."""
+    limit by itself gets a sequence of its own; sizes that are null or negative count as 0. Null and repeated ids are
+    items like others; an empty table gives no rows; other columns are not read."""
     limits = max_tokens, max_segments, max_loss
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +220,11 @@ def pack_items(items: DataFrame, id_col: str, tokens_col: str, loss_col: str, ma
             rows = [(k, max(0, t or 0), max(0, n or 0)) for k, t, n in zip(*(c.to_pylist() for c in batch.columns))]
             alone = [[r] for r in rows if r[1] > max_tokens or r[2] > max_loss]
             packer.add([r[1:] for r in rows if r[1] <= max_tokens and r[2] <= max_loss], [r for r in rows if r[1] <= max_tokens and r[2] <= max_loss])
-            while len(packer.item) > WAITING:
+            while packer.waiting > WAITING:
                 alone.append(packer.fill(None))
             yield out(alone)
         last = []
-        while packer.item:
+        while packer.waiting:
             last.append(packer.fill(None))
         yield out(last)
 

@@ -41,6 +41,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: whole conversations under limits on tokens, segments and loss-bearing tokens at once."""
+    from .packing import conversation_sizes, pack_items
+
+    sizes = conversation_sizes(table(spark, sf_dir, "conversations"), word_bpe_path())
+    return pack_items(sizes, "id", "tokens", "loss", max_tokens=2048, max_segments=16, max_loss=1024).withColumnRenamed("id", "conv_id")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -97,7 +105,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, op4_minhash, op5_ann, op6_warc, op7_langid, op8_fingerprint, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, pack_conversations, op4_minhash, op5_ann, op6_warc, op7_langid, op8_fingerprint, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

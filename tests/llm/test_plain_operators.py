@@ -73,6 +73,21 @@ def test_bpe_random_texts(library):
         assert ids[at[k] : at[k + 1]].tolist() == r.ids, texts[k]
 
 
+def test_bpe_every_code_point(library):
+    """Each code point between letters, and those that Python knows between marks; then random texts of all of them."""
+    own, rng = bpe.WordBpe(queries.word_bpe_path()), random.Random(8)
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    known = [c for c in every if own.kinds[c] != bpe._UNSETTLED]
+    texts = [f"a{chr(c)}b" for c in every] + [f"É{chr(c)}\u0323\u0301 Σ{chr(c)}'s" for c in known]
+    for pool in (every, known, [c for c in every if c < 0x3100]):
+        texts += ["".join(chr(rng.choice(pool)) for _ in range(rng.randint(1, 40))) for _ in range(6000)]
+    for k in range(0, len(texts), 10_000):
+        part = texts[k : k + 10_000]
+        ids, at = own.encode_batch(part)
+        wrong = [t for t, r, a, b in zip(part, library.encode_batch(part, add_special_tokens=False), at, at[1:]) if ids[a:b].tolist() != r.ids]
+        assert not wrong, list(map(ascii, wrong[:5]))
+
+
 def test_bpe_forgets_without_changing_results(library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 20)
     monkeypatch.setattr(bpe, "KEPT", 7)
@@ -138,13 +153,65 @@ def test_packing(docs, odd, empty, library):
             for p in sorted(own, key=lambda p: p["offset"]):
                 assert p["offset"] == at
                 at += p["length"]
-            assert at <= 2048 and len(own) <= 256
+            assert at <= 2048
             tokens += at
             padding += 2048 - at if at & (at - 1) else 0
         assert padding <= 0.01 * tokens
     assert packing.pack_documents(empty, queries.word_bpe_path()).count() == 0
 
 
+def test_packing_short_texts(spark):
+    table = spark.createDataFrame([(k, "red cat") for k in range(20_000)], "doc_id long, text string").repartition(2)
+    used = Counter()
+    for p in packing.pack_documents(table, queries.word_bpe_path()).collect():
+        used[p["sequence_id"]] += p["length"]
+    assert sum(used.values()) == 60_000 and max(used.values()) <= 2048
+    assert sum(2048 - n for n in used.values() if n & (n - 1)) <= 600
+
+
+def _plain_fill(items, limits):
+    """One sequence by the heuristic itself, an item at a time: sizes of what goes in, in order."""
+    room, out, left = list(limits), [], list(items)
+    while fitting := [i for i in left if all(x <= r for x, r in zip((i[0], 1, i[1]), room))]:
+        best = max(fitting, key=lambda i: sum(x / n * (r / n) for x, r, n in zip((i[0], 1, i[1]), room, limits)))
+        left.remove(best)
+        out.append(best)
+        room = [r - x for r, x in zip(room, (best[0], 1, best[1]))]
+    return out
+
+
+def test_packer_follows_the_heuristic():
+    rng = random.Random(12)
+    for limits, longest in (((2048, 16, 1024), 700), ((512, 64, 200), 30), ((100, 7, 100), 9)):
+        sizes = [(t, rng.randint(0, t)) for t in (rng.randint(1, longest) for _ in range(300))]
+        packer = packing.Packer(*limits, cut=False)
+        packer.add(sizes, [(k,) for k in range(300)])
+        waiting = dict(enumerate(sizes))
+        while packer.waiting:
+            got = [waiting.pop(k) for (k,) in packer.fill(None)]
+            assert got == _plain_fill([*got, *waiting.values()], limits)
+    assert not waiting
+
+
+def test_packing_conversations(spark, library):
+    out = queries.pack_conversations(spark, SF).collect()
+    want = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        n = len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+        want[str(r["conv_id"])][0] += n
+        want[str(r["conv_id"])][1] += n * (r["role"] == "assistant")
+    assert {r["conv_id"]: [r["tokens"], r["loss"]] for r in out} == want and len(out) == len(want)
+    by = defaultdict(list)
+    for r in out:
+        by[r["sequence_id"]].append(r)
+    for own in by.values():
+        assert len(own) == 1 or (sum(r["tokens"] for r in own) <= 2048 and sum(r["loss"] for r in own) <= 1024 and len(own) <= 16)
+        at = 0
+        for r in sorted(own, key=lambda r: (r["offset"], r["tokens"])):
+            assert r["offset"] == at
+            at += r["tokens"]
+
+
 def test_packing_whole_examples(spark):
     rng = random.Random(3)
     rows = [(f"c{k}", rng.randint(0, 700), rng.randint(0, 300)) for k in range(3000)] + [("long", 5000, 1), ("loss", 10, 2000), (None, None, None)]
