@@ -1,12 +1,17 @@
 """Personal data in texts, by DataFrame expressions alone.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97 for IBANs, value ranges for addresses),
-and words just before a span raise the score of the weaker kinds. Positions come from the gaps between matches: the text
-split at a pattern gives the gaps, whose lengths and those of the matches sum up to each match's start. All patterns are
-possessive and start only at the head of a run or where the last match ended, so long runs cost no more than their length.
-An IBAN is matched by its head alone; from there every end of a word up to 34 characters is tried.
+and words near a span, before or after it, raise the score of the weaker kinds. Positions come from the gaps between
+matches: the text split at a pattern gives the gaps, whose lengths and those of the matches sum up to each match's start.
+All patterns are possessive and start only at the head of a run or where the last match ended. An IBAN is matched by its
+head alone; from there every end of a word up to 34 characters is tried.
 
-Starts count code points from 0; ends are exclusive. A null text counts as an empty one and has no spans.
+The cost grows with the length of a text, however many spans it has: sums run over blocks of FOLD matches, so that no long
+array is copied for each match; checks come before spans are built; and parts of a text are taken from its pieces of PIECE
+characters, as a substring is searched from the beginning of its string.
+
+Starts count code points from 0; ends are exclusive. A null text counts as an empty one and has no spans. Repeated rows get
+equal spans; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPAN = "array<struct<start:int,stop:int,found:string>>"
+_ONE = "struct<start:int,stop:int,found:string>"
 SPANS = "array<struct<start:int,rank:int,stop:int,kind:string,score:double,base:boolean>>"
 
 
@@ -96,46 +101,96 @@ CONTEXT, CONTEXT_WORTH, THRESHOLD = 40, 0.4, 0.5
 AHEAD = 68
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches as array<struct<start, stop, found>>."""
+#: Elements that are folded into one array before it is added to the blocks before it; characters of a text's pieces.
+FOLD, PIECE = 64, 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _folded(items: Column, start: Column, advance: Callable, emit: Callable, kind: str, finish: Callable) -> Column:
+    """A running number over an array: emit(state, x) gives what x adds to the result, an array<kind>, and advance(state, x)
+    the state after x. The value is finish(last state, result); null for an empty array. Spark copies an aggregate's state
+    at each step, so the states at the blocks' starts come first, by themselves, and then each block's own result."""
+    first = F.struct(start.alias("s"), _none("int").alias("at"))
+    one = lambda a, x: F.struct(advance(a["s"], x).alias("s"), F.concat(a["now"], emit(a["s"], x)).alias("now"))
+
+    def run(blocks: Column) -> Column:
+        def out(states: Column) -> Column:
+            own = lambda part, i: F.aggregate(part, F.struct(F.get(states["at"], i).alias("s"), _none(kind).alias("now")), one, lambda a: a["now"])
+            return finish(states["s"], F.flatten(F.transform(blocks, own)))
+
+        step = lambda a, part: F.struct(F.aggregate(part, a["s"], advance).alias("s"), F.concat(a["at"], F.array(a["s"])).alias("at"))
+        return _let(F.aggregate(blocks, first, step), out)
+
+    def cut(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / FOLD).cast("int")), lambda b: F.slice(x, b * FOLD + 1, F.lit(FOLD)))
+
+    return _let(_let(items, lambda x: F.when(F.size(x) > 0, cut(x))), run)
+
+
+def _pieces(text: Column) -> Column:
+    return F.when(F.length(text) <= PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+
+
+def _between(pieces: Column, start: Column, stop: Column) -> Column:
+    """The characters from start to stop of a text in pieces."""
+    start, stop = F.greatest(start, F.lit(0)), F.greatest(start, stop, F.lit(0))
+    i, j = F.floor(start / PIECE).cast("int"), F.floor(stop / PIECE).cast("int")
+    first, last = F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, j), F.lit(""))
+    whole = F.when(j - i > 1, F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), "")).otherwise(F.lit(""))
+    apart = F.concat(F.substr(first, start - i * PIECE + 1, F.lit(PIECE)), whole, F.substr(last, F.lit(1), stop - j * PIECE))
+    return F.when(i == j, F.substr(first, start - i * PIECE + 1, stop - start)).otherwise(apart)
+
+
+def matches(text: Column, pattern: str, check: Callable[[Column], Column] | None = None) -> Column:
+    """All leftmost non-overlapping matches that pass the check, as array<struct<start, stop, found>>."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     steps = F.arrays_zip(gaps.alias("gap"), found.alias("found"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    after = lambda at, x: at + x["gap"] + F.coalesce(F.length(x["found"]), F.lit(0))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        stop = start + F.coalesce(F.length(x["found"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["found"].alias("found")))
-        return F.struct(stop.alias("at"), F.when(x["found"].isNull(), state["out"]).otherwise(F.concat(state["out"], span)).alias("out"))
+    def span(at: Column, x: Column) -> Column:
+        right = x["found"].isNotNull() if check is None else x["found"].isNotNull() & check(x["found"])
+        made = F.struct((at + x["gap"]).alias("start"), after(at, x).alias("stop"), x["found"].alias("found"))
+        return F.when(right, F.array(made)).otherwise(_none(_ONE))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, empty, step)["out"]).otherwise(F.array().cast(_SPAN))
+    return F.coalesce(_folded(steps, F.lit(0), after, span, _ONE, lambda _, out: out), _none(_ONE))
 
 
-def _lengthened(text: Column, heads: Column, kind: Kind) -> Column:
+def _lengthened(pieces: Column, heads: Column, kind: Kind) -> Column:
     """Matches made longer from their heads on; those that come to nothing or start within the one before are left out."""
-    whole = F.transform(heads, lambda s: F.struct(s["start"].alias("start"), kind.longer(F.substr(text, s["start"] + 1, F.lit(AHEAD)), s["found"]).alias("found")))
+    whole = F.transform(heads, lambda s: F.struct(s["start"].alias("start"), kind.longer(_between(pieces, s["start"], s["start"] + AHEAD), s["found"]).alias("found")))
     spans = F.transform(F.filter(whole, lambda s: s["found"].isNotNull()), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["found"])).alias("stop"), s["found"].alias("found")))
-    apart = lambda out, s: F.when(s["start"] >= F.coalesce(F.get(out, F.size(out) - 1)["stop"], F.lit(0)), F.concat(out, F.array(s))).otherwise(out)
-    return F.aggregate(spans, F.array().cast(_SPAN), apart)
+    apart = _folded(spans, F.lit(0), lambda at, s: F.when(s["start"] >= at, s["stop"]).otherwise(at), lambda at, s: F.when(s["start"] >= at, F.array(s)).otherwise(_none(_ONE)), _ONE, lambda _, out: out)
+    return F.coalesce(apart, _none(_ONE))
 
 
 def _spans(text: Column, kind: Kind, rank: int) -> Column:
     needs = text.rlike("[0-9]") if kind.needs == "digit" else F.contains(text, F.lit(kind.needs))
-    found = F.when(needs, matches(text, kind.pattern)).otherwise(F.array().cast(_SPAN))
-    if kind.longer is not None:
-        found = _lengthened(text, found, kind)
-    if kind.check is not None:
-        found = F.filter(found, lambda s: kind.check(s["found"]))
 
-    def scored(s: Column) -> Column:
-        score = F.lit(kind.score)
-        if kind.context:
-            near = F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
-            score = score + F.when(near.rlike(kind.context), F.lit(CONTEXT_WORTH)).otherwise(F.lit(0.0))
-        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind.name).alias("kind"), score.cast("double").alias("score"), F.lit(kind.base).alias("base"))
+    def made(found: Column, pieces: Column | None) -> Column:
+        def scored(s: Column) -> Column:
+            score = F.lit(kind.score)
+            if kind.context:
+                near = F.concat_ws("\n", _between(pieces, s["start"] - CONTEXT, s["start"]), _between(pieces, s["stop"], s["stop"] + CONTEXT))
+                score = score + F.when(near.rlike(kind.context), F.lit(CONTEXT_WORTH)).otherwise(F.lit(0.0))
+            return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind.name).alias("kind"), score.cast("double").alias("score"), F.lit(kind.base).alias("base"))
 
-    return F.filter(F.transform(found, scored), lambda s: s["score"] >= THRESHOLD)
+        return F.filter(F.transform(found if kind.longer is None else _lengthened(pieces, found, kind), scored), lambda s: s["score"] >= THRESHOLD)
+
+    found = matches(text, kind.pattern, kind.check)
+    if kind.longer is None and not kind.context:
+        out = made(found, None)
+    else:
+        out = _let(found, lambda f: F.when(F.size(f) > 0, _let(_pieces(text), lambda p: made(f, p))))
+    return F.coalesce(F.when(needs, out), F.array().cast(SPANS))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
@@ -148,15 +203,16 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; where spans overlap, the first one's name stands."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        piece = F.concat(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], F.array(piece))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), out.alias("out"))
+    def run(pieces: Column) -> Column:
+        def piece(at: Column, s: Column) -> Column:
+            made = F.concat(_between(pieces, at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            return F.when(s["start"] >= at, F.array(made)).otherwise(_none("string"))
+
+        rest = lambda at, out: F.concat(F.array_join(out, ""), _between(pieces, at, F.length(text)))
+        return _folded(spans, F.lit(0), lambda at, s: F.greatest(at, s["stop"]), piece, "string", rest)
 
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) > 0, F.concat(F.concat_ws("", done["out"]), F.substr(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(_pieces(text), run)).otherwise(text)
 
 
 def as_text(spans: Column) -> Column:
