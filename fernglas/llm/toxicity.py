@@ -5,11 +5,12 @@ more often it, and its character 3- to 5-grams, come in toxic than in other trai
 overlap by half cover the whole text; the forward and backward states of a window are pooled by attention, and a text's
 score is that of its most toxic window.
 
-Training takes at most POSITIVE and NEGATIVE labelled texts, chosen by a hash of their ids. Word and n-gram statistics of
+Training takes at most POSITIVE and NEGATIVE labelled texts of at most LONGEST_SAMPLE bytes, chosen by a hash of their ids. Word and n-gram statistics of
 one half of them are used as inputs for the other half, so that the network learns how far to trust them. Of each text the
 window that scores highest is trained on. Nothing but the text is an input of a score.
 
-Null and empty texts are one window without words and get that window's score. Equal texts get equal scores.
+Null and empty texts are one window without words and get that window's score. Equal texts get equal scores. An empty
+table gives no rows; other columns of the input stay as they are.
 """
 
 from __future__ import annotations
@@ -397,20 +398,22 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     return model
 
 
-def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on a bounded sample of the labelled rows whose crc32(id as text) mod 5 is not 0. Rows of ``labels`` without
-    id or label are left out; an id labelled twice is toxic if any row says so."""
+def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positive: int = POSITIVE, negative: int = NEGATIVE, longest: int = LONGEST_SAMPLE) -> Model:
+    """Train on a bounded sample of the labelled rows whose crc32(id as text) mod 5 is not 0: at most ``positive`` and
+    ``negative`` texts of at most ``longest`` bytes each, so that one task holds them. Longer texts never train; they are
+    scored like all others. Rows of ``labels`` without id or label are left out; an id labelled twice is toxic if any row
+    says so; of rows that repeat an id in ``docs`` one trains. Empty tables give a model that scores every text alike."""
     spark = docs.sparkSession
     bound_batches(spark)
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
     marked = marked.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    usable = texts.where(F.octet_length("text") <= LONGEST_SAMPLE).select("id").distinct().join(marked, "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    usable = texts.select("id").distinct().join(marked, "id")
     chosen = []
-    for label, most in ((1, POSITIVE), (0, NEGATIVE)):
+    for label, most in ((1, positive), (0, negative)):
         chosen += [(r["id"], label) for r in usable.where(F.col("toxic") == label).select("id").orderBy(F.xxhash64("id"), "id").limit(most).collect()]
-    picked = spark.createDataFrame(chosen, "id long, toxic int")  # at most POSITIVE + NEGATIVE rows
-    found = texts.join(F.broadcast(picked), "id").where(F.octet_length("text") <= LONGEST_SAMPLE).select("id", "text", "toxic")
+    picked = spark.createDataFrame(chosen, "id long, toxic int")  # at most positive + negative rows
+    found = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
