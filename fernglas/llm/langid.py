@@ -7,9 +7,15 @@
 * Host: how many texts of a host, of its domain and of all hosts each language has by text alone, by grouped aggregation;
   a host's shares are smoothed with its domain's, and those with the overall ones.
 
-The model is fitted on at most SAMPLE labelled rows, chosen by a hash of their ids; all else covers every row. Null texts
-count as empty. A text with no trigram inside words leaves the other evidence to decide; with none of that either, or
-when no language reaches ACCEPT, the answer is "und". Null hosts share one prior. An empty table gives no rows.
+The model is fitted on at most SAMPLE labelled rows, chosen by a hash of their ids; all else covers every row. Texts are
+scored in one pass, whose result (without the texts, unless they are to be carried) is a table in the shared folder; priors
+are counted from it and joined to it. Hosts are broadcast while they are small, which is checked; beyond that only those
+of at least one row in HOT, of which there are at most HOT, and the others meet their rows in a shuffle.
+
+Null texts count as empty. A text with no trigram inside words leaves the other evidence to decide; with none of that
+either, or when no language reaches ACCEPT, the answer is "und". Null hosts share one prior. An empty table gives no rows.
+Repeated rows count each in their host's shares and get equal answers. A column ``language_id`` of the input is replaced;
+all other names may occur in it.
 """
 
 from __future__ import annotations
@@ -22,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches
+from .shared import bound_batches, materialise
 from .textkit import blocks, release, text_bytes
 
-SAMPLE, LONGEST_SAMPLE = 2000, 100_000
+SAMPLE = 2000
 BUCKETS, EFFECTIVE, DECLARED, SUFFIX, ACCEPT = 1 << 16, 60, 0.9, 0.8, 0.5
-UND, UND_PRIOR, HOST_WEIGHT = "und", 0.01, 20.0
+UND, HOST_WEIGHT = "und", 20.0
+#: Bytes of host names that are broadcast, and the share of rows (one in HOT) from which a host is hot.
+HOSTS_BYTES, HOT = 32 << 20, 4096
 
 #: Languages of country suffixes.
 COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt"}
@@ -70,25 +78,51 @@ class LanguageModel:
         return np.concatenate([sums * weight[:, None], -np.log(BUCKETS) * np.minimum(counts, EFFECTIVE)[:, None]], axis=1)
 
 
+def _fitted(counts: dict[str, np.ndarray]) -> LanguageModel:
+    names = tuple(sorted(counts))
+    table = np.stack([counts[n] for n in names], axis=1) + 0.05 if names else np.zeros((BUCKETS, 0))
+    return LanguageModel(names, np.ascontiguousarray(np.log(table / table.sum(0))))
+
+
+def _counts(texts: pa.Array) -> np.ndarray:
+    return sum((np.bincount(_trigrams(part)[0], minlength=BUCKETS) for part in blocks(texts)), np.zeros(BUCKETS, dtype=np.int64))
+
+
 def fit(texts: list[str], languages: list[str], least: int = 3) -> LanguageModel:
     """Languages of fewer than ``least`` texts are left out."""
-    names = tuple(sorted({x for x in languages if languages.count(x) >= least and x != UND})) if texts else ()
-    counts = np.full((BUCKETS, len(names)), 0.05)
-    for k, name in enumerate(names):
-        grams, _ = _trigrams(pa.array([t for t, x in zip(texts, languages) if x == name], pa.large_string()))
-        counts[:, k] += np.bincount(grams, minlength=BUCKETS)
-    return LanguageModel(names, np.ascontiguousarray(np.log(counts / counts.sum(0))))
+    names = {x for x in languages if languages.count(x) >= least and x != UND}
+    return _fitted({n: _counts(pa.array([t for t, x in zip(texts, languages) if x == n], pa.large_string())) for n in names})
 
 
-def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on a bounded sample of labelled documents."""
+def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = 3) -> LanguageModel:
+    """Fit on at most SAMPLE labelled documents. Of rows that repeat an id one counts. Trigrams are counted where the texts
+    lie; the driver gets the ids of the sample and at most BUCKETS sums a language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(f"id is not null and lang is not null and length(trim(text)) > 0 and octet_length(text) <= {LONGEST_SAMPLE}")
+    rows = rows.where("id is not null and lang is not null and length(trim(text)) > 0")
     ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     chosen = docs.sparkSession.createDataFrame([(r["id"],) for r in ids.collect()], rows.select("id").schema)
-    found = rows.join(F.broadcast(chosen.distinct()), "id").collect()  # at most SAMPLE documents, broadcast SAMPLE ids
-    found.sort(key=lambda r: (r["id"], r["text"]))
-    return fit([r["text"] for r in found], [r["lang"] for r in found])
+    found = rows.join(F.broadcast(chosen.distinct()), "id").groupBy("id").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("row")).select("row.text", "row.lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        texts: dict[str, int] = {}
+        for batch in batches:
+            langs = np.array(batch.column(1).to_pylist(), dtype=object)
+            for name in set(langs):
+                own = np.flatnonzero(langs == name)
+                sums[name] = sums.get(name, 0) + _counts(batch.column(0).take(pa.array(own)))
+                texts[name] = texts.get(name, 0) + own.size
+        for name, n in sums.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * (some.size + 1), pa.string()), pa.array(np.append(some, -1)), pa.array(np.append(n[some], texts[name]))], names=["lang", "bucket", "n"])
+
+    counted = found.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    lang, bucket, n = np.array(counted["lang"].to_pylist(), dtype=object), counted["bucket"].to_numpy(), counted["n"].to_numpy()
+    counts = {}
+    for name in {x for x, b, k in zip(lang, bucket.tolist(), n.tolist()) if b < 0 and k >= least and x != UND}:
+        own = (lang == name) & (bucket >= 0)
+        counts[name] = np.bincount(bucket[own], weights=n[own], minlength=BUCKETS)
+    return _fitted(counts)
 
 
 def _log_likelihoods(text: Column, model: LanguageModel) -> Column:
@@ -118,45 +152,58 @@ def _sum(*arrays: Column) -> Column:
 
 
 def host_priors(counted: DataFrame, names: list[str]) -> DataFrame:
-    """(host, prior): log shares of each name among a host's texts, smoothed by domain and overall. ``counted`` has
-    host, domain and one row a text with its best name; it is aggregated on the map side first."""
+    """(host, domain, n, prior): log shares of each name among a host's n texts, smoothed by domain and overall.
+    ``counted`` has host, domain and one row a text with its best name; it is aggregated on the map side first."""
     per = [F.count_if(F.col("best") == k + 1).cast("double").alias(f"n{k}") for k in range(len(names))]
-    hosts = counted.groupBy("host", "domain").agg(*per)
+    hosts = materialise(counted.groupBy("host", "domain").agg(F.count("*").alias("rows"), *per), "hosts")
     domains = hosts.groupBy("domain").agg(*(F.sum(f"n{k}").alias(f"d{k}") for k in range(len(names))))
-    overall = domains.agg(*(F.sum(f"d{k}").alias(f"d{k}") for k in range(len(names)))).first()
+    overall = hosts.agg(*(F.sum(f"n{k}").alias(f"d{k}") for k in range(len(names)))).first()
     total = sum(x or 0.0 for x in overall)
     base = [((overall[k] or 0.0) + 1.0) / (total + len(names)) for k in range(len(names))]
     n, d = sum(F.col(f"n{k}") for k in range(len(names))), sum(F.col(f"d{k}") for k in range(len(names)))
     joined = hosts.alias("h").join(domains.alias("m"), F.expr("h.domain <=> m.domain"))
     shares = [F.log((F.col(f"n{k}") + HOST_WEIGHT * (F.col(f"d{k}") + HOST_WEIGHT * base[k]) / (d + HOST_WEIGHT)) / (n + HOST_WEIGHT)) for k in range(len(names))]
-    return joined.select(F.col("h.host").alias("host"), F.col("h.domain").alias("domain"), F.array(*shares).alias("prior"))
-
-
-def identify(docs: DataFrame, model: LanguageModel, text: Column, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, domain: Column | None = None) -> DataFrame:
-    """``docs`` with a struct column ``language_id`` of language ("und": rejected) and confidence, the posterior."""
+    return joined.select(F.col("h.host").alias("host"), F.col("h.domain").alias("domain"), F.col("rows").alias("n"), F.array(*shares).alias("prior"))
+
+
+def _with_priors(scored: DataFrame, names: list[str]) -> DataFrame:
+    """``scored`` with the prior of each row's host."""
+    best = F.when(F.exists("ll", lambda x: x != 0), F.array_position(F.col("ll"), F.array_max("ll")).cast("int"))
+    priors = materialise(host_priors(scored.select("host", "domain", best.alias("best")), names), "priors")
+    size = priors.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("domain") + 8 * len(names) + 64), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if size[0] <= HOSTS_BYTES:
+        return scored.join(F.broadcast(priors.drop("n")), ["host", "domain"], "left")
+    hot = (F.col("n") * HOT >= size[1]) & (F.octet_length("host") + F.octet_length("domain") <= HOSTS_BYTES // HOT)
+    mine = scored.join(F.broadcast(priors.where(hot).select("host", "domain", F.col("prior").alias("hot"))), ["host", "domain"], "left")
+    salt = F.concat(F.lit("\0"), F.pmod(F.xxhash64("ll"), F.lit(HOT)).cast("string"))  # rows that have their prior are spread over all tasks
+    mine = mine.withColumns({c: F.when(F.col("hot").isNull(), F.col(c)).otherwise(salt) for c in ("host", "domain")})
+    return mine.join(priors.where(~hot).drop("n"), ["host", "domain"], "left").withColumn("prior", F.coalesce("hot", "prior"))
+
+
+def identify(docs: DataFrame, model: LanguageModel, text: Column, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, domain: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (by default all) and a struct column ``language_id`` of language ("und":
+    rejected) and confidence, the posterior."""
     bound_batches(docs.sparkSession)
-    names = [*model.languages, UND]
+    names, known = [*model.languages, UND], list(model.languages)
     none = F.lit(None).cast("string")
-    host = F.coalesce(host, F.lit("")) if host is not None else F.lit("")
-    domain = F.coalesce(domain, F.lit("")) if domain is not None else F.lit("")
-    likelihood = _log_likelihoods(text, model)
-    best = F.array_position(F.col("ll"), F.array_max("ll"))
-    counted = docs.select(host.alias("host"), domain.alias("domain"), likelihood.alias("ll"))
-    counted = counted.select("host", "domain", F.when(F.forall("ll", lambda x: x == 0), F.lit(None)).otherwise(best).cast("int").alias("best"))
-    priors = host_priors(counted, names).select(F.col("host").alias("__host"), F.col("domain").alias("__domain"), F.col("prior").alias("__prior"))
-    known = list(model.languages)
-    claims = [_right(c if c is not None else none, known, chance) for c, chance in ((declared, DECLARED), (suffix, SUFFIX))] if known else []
-    claims = [F.concat(c, F.array(F.lit(float(np.log(1 / max(1, len(known))))))) for c in claims]
-    claims = [F.when((d if d is not None else none).isin(known), c).otherwise(F.array(*(F.lit(0.0) for _ in names))) for d, c in zip((declared, suffix), claims)]
-    rows = docs.withColumn("__ll", likelihood).join(priors, (host == F.col("__host")) & (domain == F.col("__domain")), "left")
-    prior = F.coalesce(F.col("__prior"), F.array(*(F.lit(0.0) for _ in names)))
-    rows = rows.withColumn("__score", _sum(F.col("__ll"), prior, *claims))
-    top = F.array_max("__score")
-    evidence = F.exists("__ll", lambda x: x != 0) | (F.lit(False) if declared is None else declared.isin(known)) | (F.lit(False) if suffix is None else suffix.isin(known))
-    confidence = 1 / F.aggregate("__score", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    language = F.element_at(F.array(*map(F.lit, names)), F.array_position("__score", top).cast("int"))
-    answer = F.when(F.coalesce(evidence, F.lit(False)) & (confidence >= ACCEPT), language).otherwise(F.lit(UND))
-    return rows.withColumn("language_id", F.struct(answer.alias("language"), confidence.alias("confidence"))).drop("__ll", "__host", "__domain", "__prior", "__score")
+    carried = [c for c in (carry if carry is not None else docs.columns) if c != "language_id"]
+    claims = {k: (c if c is not None else none) for k, c in (("declared", declared), ("suffix", suffix))}
+    places = {k: (F.coalesce(c, F.lit("")) if c is not None else F.lit("")) for k, c in (("host", host), ("domain", domain))}
+    row = F.struct(*(F.col(f"`{c}`") for c in carried)) if carried else F.struct(F.lit(0))
+    scored = docs.select(row.alias("row"), _log_likelihoods(text, model).alias("ll"), *(c.alias(k) for k, c in [*claims.items(), *places.items()]))
+    scored = _with_priors(materialise(scored, "language-scores"), names)
+
+    zeros = F.array(*(F.lit(0.0) for _ in names))
+    und = F.array(F.lit(float(np.log(1 / max(1, len(known))))))
+    said = [F.when(F.col(k).isin(known), F.concat(_right(F.col(k), known, chance), und)).otherwise(zeros) for k, chance in (("declared", DECLARED), ("suffix", SUFFIX))] if known else []
+    scored = scored.withColumn("score", _sum(F.col("ll"), F.coalesce("prior", zeros), *said))
+    top = F.array_max("score")
+    evidence = F.exists("ll", lambda x: x != 0) | F.coalesce(F.col("declared").isin(known) | F.lit(False), F.lit(False)) | F.coalesce(F.col("suffix").isin(known) | F.lit(False), F.lit(False))
+    confidence = 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    language = F.element_at(F.array(*map(F.lit, names)), F.array_position("score", top).cast("int"))
+    answer = F.when(evidence & (confidence >= ACCEPT), language).otherwise(F.lit(UND))
+    answered = scored.select("row", F.struct(answer.alias("language"), confidence.alias("confidence")).alias("id_of_language"))
+    return answered.select(*(F.col("row").getField(c).alias(c) for c in carried), F.col("id_of_language").alias("language_id"))
 
 
 def declared_language(html: Column) -> Column:
@@ -166,8 +213,8 @@ def declared_language(html: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """The text outside tags, scripts, styles and comments."""
-    return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&[a-z#0-9]{1,10};", " ")
+    """The text outside tags, scripts, styles and comments; what is never closed runs to the end of the page."""
+    return F.regexp_replace(html, r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)|</?[a-z!?][^>]*+(?:>|\z)|&[a-z#0-9]{1,10};", " ")
 
 
 def address_host(url: Column) -> Column:
@@ -187,11 +234,12 @@ def address_suffix(url: Column, host: Column) -> Column:
     return F.coalesce(F.when(part.isin(codes), part), F.when(label.isin(codes), label), F.try_element_at(country, F.regexp_extract(host, r"\.([a-z]{2})$", 1)))
 
 
-def identify_pages(pages: DataFrame, model: LanguageModel, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """Web pages: ``pages`` with language_id, from their visible text, markup, address and host."""
+def identify_pages(pages: DataFrame, model: LanguageModel, html_col: str = "html", url_col: str = "url", carry: list[str] | None = None) -> DataFrame:
+    """Web pages: the columns ``carry`` of ``pages`` (by default all) with language_id, from their visible text, markup,
+    address and host."""
     html, url = F.coalesce(F.col(html_col), F.lit("")), F.coalesce(F.col(url_col), F.lit(""))
     host = address_host(url)
-    return identify(pages, model, visible_text(html), declared_language(html), address_suffix(url, host), host, address_domain(host))
+    return identify(pages, model, visible_text(html), declared_language(html), address_suffix(url, host), host, address_domain(host), carry)
 
 
 def identify_documents(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -72,7 +72,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit_on, identify_pages
 
-    out = identify_pages(table(spark, sf_dir, "pages"), fit_on(table(spark, sf_dir, "documents")))
+    out = identify_pages(table(spark, sf_dir, "pages"), fit_on(table(spark, sf_dir, "documents")), carry=["page_id"])
     return out.select("page_id", "language_id.language", "language_id.confidence")
 
 
