@@ -7,7 +7,8 @@ bits are kept; the likeness of two
 fingerprints is the share of agreeing bins, corrected for agreement by chance.
 
 A null text counts as an empty one. A text without words has the fingerprint ''; it is like another such text (1) and
-unlike all others (0). Equal texts have equal fingerprints.
+unlike all others (0). Equal texts have equal fingerprints. Texts are hashed whole, whatever their length, in blocks; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .textkit import blocks, mix64, shingles
 
 BINS, BITS, WORDS = 512, 2, 5
+#: Bytes of input files for each range of documents, and the most ranges, whose bounds the driver holds.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 16_384
 _EMPTY = np.uint64((1 << 64) - 1)
 _ORDERS: list[np.ndarray] = []
 
@@ -84,7 +87,7 @@ def fingerprint(text: Column, words: int = WORDS) -> Column:
 def _bucketed(docs: DataFrame, buckets: int) -> tuple[DataFrame, list[int]]:
     """``docs`` (doc_id, text) with a bucket by ranges of doc_id; at most ``buckets`` bounds are held."""
     shares = [k / buckets for k in range(1, buckets)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("b")).first()["b"] if shares else None
+    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * buckets)).alias("b")).first()["b"] if shares else None
     bounds = np.array(sorted(set(found or [])), dtype=np.int64)
 
     @F.arrow_udf("long")
@@ -105,7 +108,9 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     if buckets is None:
-        buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of the files, without a scan
+        known = size < 1 << 60  # rows that come from no file have no size
+        buckets = min(max(8, size // BUCKET_BYTES if known else 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
     own, _ = _bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), buckets)
     ids = own.select("bucket", "doc_id")
     heads = sorted((r["bucket"], r["head"]) for r in ids.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())  # a number a bucket
@@ -114,7 +119,7 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sent = own.join(F.broadcast(first), "bucket")
     copied = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("copy")), F.struct(F.col("goes_before").alias("at"), F.lit(True).alias("copy"))))
     sent = sent.select(F.explode(F.coalesce(copied, F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("copy"))))).alias("to"), "doc_id", "text").select("to.at", "to.copy", "doc_id", "text")
-    sent = sent.repartition("at").sortWithinPartitions("at", "copy", F.col("doc_id").desc_nulls_last(), "text")
+    sent = sent.repartition(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "at").sortWithinPartitions("at", "copy", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # the last document, whose next is not known yet
