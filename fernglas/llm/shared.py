@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 _SETTING = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 2 << 20
+#: Nodes of one row in HOT_NODES or more are hot.
+HOT_NODES = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset (tests on one machine), a local temporary one."""
+    """The folder named in spark.checkpoint.dir. Where that is unset and all executors are threads of this machine (tests),
+    a local temporary one; on a cluster an error, as executors would write where nobody else reads."""
     found = spark.conf.get(_SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="fernglas-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
@@ -24,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches of this session end at BATCH_BYTES: their size in the JVM and in Python workers then doesn't
-    depend on how long the texts are. A smaller setting stays. No result depends on it."""
+    depend on how long the texts are. A smaller setting stays. It is left so, as results are computed after an operator has
+    returned; no result depends on it."""
     if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
@@ -47,28 +53,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _with_least(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:
+    """``rows`` (u, v) with m of their u. Nodes of at least ``hot`` rows, of which there are at most HOT_NODES, are broadcast
+    and their rows spread over all tasks; the others meet in a shuffle."""
+    few = least.where(F.col("n") >= hot).select("u", F.col("m").alias("hot_m"))
+    spread = rows.join(F.broadcast(few), "u", "left").withColumn("s", F.when(F.col("hot_m").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(HOT_NODES)).cast("int")))
+    rest = least.where(F.col("n") < hot).select("u", F.lit(0).alias("s"), "m")
+    return spread.join(rest, ["u", "s"], "left").select("u", "v", F.coalesce("hot_m", "m").alias("m"))
+
+
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph as (node, component), component being the smallest node.
 
-    Alternating large-star and small-star rounds: each is one aggregation and one join, hot nodes are pre-aggregated
-    on the map side, and each round's edges are a table in the shared folder. Null ends are dropped; loops and
-    repeated edges do no harm; without edges the result is empty.
+    Alternating large-star and small-star rounds: each is one aggregation, with partial sums on the map side, and one join,
+    in which the rows of hot nodes are spread; each round's edges are a table in the shared folder. Null ends are dropped;
+    loops and repeated edges do no harm; without edges the result is empty.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     now = materialise(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    state = now.agg(F.count("*"), F.lit(None)).first()
     for _ in range(most_rounds):
+        before, hot = state, max(2, -(-2 * state[0] // HOT_NODES))  # neither star has more rows than twice the edges
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, least, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = materialise(small.where("u <> v").distinct(), "small-star")
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
-        before = state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
