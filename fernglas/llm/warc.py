@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, scratch
 
+#: Bytes of repeated digests that are broadcast (DIGEST_BYTES each); beyond it only those of one row in HOT or more are.
+BROADCAST_BYTES, DIGEST_BYTES, HOT = 64 << 20, 64, 4096
+
 _STEP = 1 << 16
 #: An archive is closed when it has this many bytes.
 ARCHIVE_BYTES = 256 << 20
@@ -96,18 +99,32 @@ def parse(member: bytes) -> dict:
     }
 
 
+def _with_first(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` with the id that their digest's response has. Digests that occur once need no partner, so payloads stay
+    where they are while the repeated ones are few, which is checked. Beyond that, rows of hot digests still stay."""
+    n, total = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n * DIGEST_BYTES <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(shared.drop("n")), "key", "left")
+    hot = F.col("n") * HOT >= total
+    mine = rows.join(F.broadcast(shared.where(hot).select("key", F.col("first").alias("hot"))), "key", "left")
+    mine = mine.withColumn("s", F.when(F.col("hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("page_id", "url"), F.lit(HOT)).cast("int")))
+    return mine.join(shared.where(~hot).select("key", F.lit(0).alias("s"), "first"), ["key", "s"], "left").withColumn("first", F.coalesce("hot", "first"))
+
+
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write a record per row and return the archives' addresses (path, records).
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, that with the largest id is the response and the
     others revisit it; smaller ones are all responses. A null html is an empty payload, a null url ``urn:none``. Rows
-    that repeat the largest id are responses all; rows of null id revisit a response if there is one with an id.
+    that repeat the largest id are responses all; rows of null id revisit a response if there is one with an id. An empty
+    table gives no archives; a payload of any length is one record, held in memory as a whole by its task; other columns,
+    whatever their names, are not read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    shared = rows.where(F.octet_length("html") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(shared, "key", "left").select("page_id", "url", "html", F.expr("if(page_id is null or page_id < first, first, null)").alias("refers_to"))
+    shared = rows.where(F.octet_length("html") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    rows = _with_first(rows, materialise(shared, "repeated-digests")).select("page_id", "url", "html", F.expr("if(page_id is null or page_id < first, first, null)").alias("refers_to"))
     folder = scratch(spark, "warc")
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
@@ -135,6 +152,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return materialise(rows.mapInArrow(run, "path string, records long"), "warc-list")
 
 
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest, revisits) of revisits without a response of that id and digest; none if all is well.
+    Revisits are counted before they are joined, so a response with very many of them is one row."""
+    revisits = records.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest").agg(F.count("*").alias("revisits"))
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return revisits.join(responses, ["refers_to", "payload_digest"], "left_anti")
+
+
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of all archives: page_id, target_uri, record_type, payload (binary; null for revisits), payload_bytes,
     payload_digest, refers_to. Each archive is read by one task from start to end; a broken one fails the query."""
