@@ -4,9 +4,10 @@ A group is all rows of equal text; it goes to one shard as a whole. A group star
 part is its bytes and whose other parts are empty. Differencing takes the two partial partitions of largest spread, joins
 them in opposite order (largest part with smallest) and puts the result back, until one is left.
 
-It runs in two levels. Groups are dealt out by hash and each task differences its own; that leaves one partial
-partition, ``shards`` sums, a task. Those few sums (tasks x shards numbers, not rows) are differenced on the driver, which
-gives each task's parts their shards. The heavy tables hold no texts: id, size, checksum and a 32-byte group key.
+It runs in two levels. Groups are dealt out by hash and each task differences them, GROUPS at a time, so its memory doesn't
+grow with the data; that leaves one partial partition, ``shards`` sums, for as many groups. Those sums (in all the number
+of groups / GROUPS x shards numbers, not rows) are differenced on the driver, which gives the parts their shards. The heavy
+tables hold no texts: id, size, checksum and a 32-byte group key.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
+#: Groups that a task differences at once.
+GROUPS = 200_000
+
 
 def difference(sums: np.ndarray) -> np.ndarray:
     """``sums`` (n, k): the part sums of n partial partitions. Returns (n, k): the final part of each one's parts.
@@ -62,7 +66,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
     size is the UTF-8 bytes of the text plus 1; a null text counts as an empty one, in size, checksum and group. slot
     numbers a shard's rows from 0 without gaps. Null ids and repeated rows are rows like others; an empty table gives
-    none. A group larger than a shard's fair share can't be divided, so its shard is as large as it.
+    none. A group larger than a shard's fair share can't be divided, so its shard is as large as it. Other columns of
+    ``docs``, whatever their names, are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -71,28 +76,35 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)  # a hash partition of groups: a key and a number each
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        size = table["bytes"].to_numpy().astype(np.int64)
-        order = np.argsort(-size, kind="stable")
-        sums = np.zeros((size.size, shards), dtype=np.int64)
-        sums[:, 0] = size[order]
-        part = np.empty(size.size, dtype=np.int64)
-        part[order] = difference(sums)[:, 0]
-        for b, start in zip(batches, np.cumsum([0, *map(len, batches)])):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(b), TaskContext.get().partitionId())), pa.array(part[start : start + len(b)])], names=["text_key", "bytes", "task", "part"])
+        task = TaskContext.get().partitionId() << 32
+
+        def differenced(some: list[pa.RecordBatch], run: int) -> pa.RecordBatch:
+            table = pa.Table.from_batches(some).combine_chunks()
+            size = table["bytes"].to_numpy().astype(np.int64)
+            order = np.argsort(-size, kind="stable")
+            sums = np.zeros((size.size, shards), dtype=np.int64)
+            sums[:, 0] = size[order]
+            part = np.empty(size.size, dtype=np.int64)
+            part[order] = difference(sums)[:, 0]
+            return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in table.columns), pa.array(np.full(size.size, task + run)), pa.array(part)], names=["text_key", "bytes", "task", "part"])
+
+        some, run = [], 0
+        for b in batches:
+            for at in range(0, len(b), GROUPS):
+                some.append(b.slice(at, GROUPS))
+                if sum(map(len, some)) >= GROUPS:
+                    yield differenced(some, run)
+                    some, run = [], run + 1
+        if sum(map(len, some)):
+            yield differenced(some, run)
 
     local = materialise(groups.mapInArrow(parts, "text_key binary, bytes long, task long, part long"), "shard-parts")
-    found = local.groupBy("task", "part").agg(F.sum("bytes").alias("bytes")).collect()  # tasks x shards numbers
-    tasks = sorted({r["task"] for r in found})
-    sums = np.zeros((len(tasks), shards), dtype=np.int64)
-    number = {t: k for k, t in enumerate(tasks)}
-    for r in found:
-        sums[number[r["task"]], r["part"]] = r["bytes"]
+    found = local.groupBy("task", "part").agg(F.sum("bytes").alias("bytes")).toArrow()  # groups / GROUPS x shards numbers
+    tasks, row = np.unique(found["task"].to_numpy(), return_inverse=True)
+    sums = np.zeros((tasks.size, shards), dtype=np.int64)
+    sums[row, found["part"].to_numpy()] = found["bytes"].to_numpy()
     final = difference(sums)
-    of_part = spark.createDataFrame([(t, p, int(final[k, p])) for k, t in enumerate(tasks) for p in range(shards)], "task long, part long, shard int")
+    of_part = spark.createDataFrame([(t, p, int(final[k, p])) for k, t in enumerate(tasks.tolist()) for p in range(shards)], "task long, part long, shard int")
     sharded = rows.join(local.join(F.broadcast(of_part), ["task", "part"]).select("text_key", "shard"), "text_key")
     return number_slots(sharded.drop("text_key"), "shard")
 
