@@ -7,10 +7,12 @@ are its tables; scanning a row adds up table entries by its code, two codes a by
 batch are then scored exactly on the original vectors in double precision, and the best k of them kept.
 
 Codebooks are fitted on SAMPLE rows, chosen by a hash of their ids; every row is indexed. Queries go to the executors in
-blocks of QUERY_BLOCK, so what is broadcast has a fixed size; each block is one pass over the index.
+blocks of QUERY_BLOCK, so what is broadcast has a fixed size; each block is one pass over the index, SCAN_ROWS rows at a
+time. With more than one block, each one's result is written to the shared folder and its broadcast removed before the next.
 
 Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite components take no
-part. Null ids take no part. Ties go to the smaller id; a batch's copies of one vector beyond the k + 1 of smallest id
+part. Null ids take no part; a repeated id is a row like others, but never found for its own query. An empty table gives no
+rows; other columns are not read. Ties go to the smaller id; a scan's copies of one vector beyond the k + 1 of smallest id
 cannot be among the best k and are left out before the scan.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-SAMPLE, QUERY_BLOCK, REFINE = 16_384, 32_768, 200
+SAMPLE, QUERY_BLOCK, REFINE, SCAN_ROWS = 16_384, 32_768, 200, 8192
 #: Inner products of at least this share of the norms are those whose error counts.
 SCORE_THRESHOLD = 0.2
 _CENTRES, _ROUNDS = 16, 8
@@ -161,7 +163,11 @@ def search(index: Index, queries: DataFrame, k: int = 20, refine: int = REFINE)
             break
         last = block[-1]["vec_id"]
         sent = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in block]), np.stack([np.frombuffer(r["vector"]) for r in block])))
-        found.append(index.rows.mapInArrow(_scan(model, sent, k, refine), "query_id long, vec_id long, score double"))
+        hits = _ranked(index.rows.mapInArrow(_scan(model, sent, k, refine), "query_id long, vec_id long, score double"), k)
+        if found or len(block) == QUERY_BLOCK:
+            hits = materialise(hits, "ann-hits")
+            sent.unpersist(True)
+        found.append(hits)
         if len(block) < QUERY_BLOCK:
             break
     if not found:
@@ -169,8 +175,12 @@ def search(index: Index, queries: DataFrame, k: int = 20, refine: int = REFINE)
     every = found[0]
     for other in found[1:]:
         every = every.union(other)
+    return every
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return every.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _inner_products(x: np.ndarray, near: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -181,12 +191,28 @@ def _inner_products(x: np.ndarray, near: np.ndarray, queries: np.ndarray) -> np.
     return out
 
 
+def _regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of ``rows`` rows, the last one of fewer, whatever the session's batches are."""
+    some, n = [], 0
+    for b in batches:
+        while len(b):
+            part = b.slice(0, rows - n)
+            b = b.slice(len(part))
+            some.append(part)
+            n += len(part)
+            if n == rows:
+                yield pa.Table.from_batches(some)
+                some, n = [], 0
+    if some:
+        yield pa.Table.from_batches(some)
+
+
 def _scan(model: Quantiser, sent, k: int, refine: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = sent.value
         top_ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
         top_scores = np.full((len(query_ids), k), -np.inf)
-        for batch in batches:
+        for batch in _regrouped(batches, SCAN_ROWS):
             ids = batch.column(0).to_numpy()
             x = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(ids.size, -1)
             code = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(ids.size, -1)
