@@ -114,12 +114,14 @@ def links(ids: list, sets: list[np.ndarray], side: np.ndarray, across: bool, per
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: texts whose sets of ``words``-word shingles have
-    100 * intersection >= percent * union are linked; component_id is the smallest id reachable, kept: doc_id is it."""
+    100 * intersection >= percent * union are linked; component_id is the smallest id reachable, kept: doc_id is it.
+    with_hash adds text_hash, Spark's xxhash64 of the text, which tells rows of one id apart."""
     bound_batches(docs.sparkSession)
     keep = least_matches(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    hashed = texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +133,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                 bands = band_hashes(np.stack([signature(s) for s in sets if s.size])) if some.any() else np.zeros((0, BANDS), dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(bands.ravel()))
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(np.diff(at)), pa.array(keys, pa.binary()), lists], names=["doc_id", "n_shingles", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(np.diff(at)), pa.array(keys, pa.binary()), lists, batch.column(2).slice(done, len(part))], names=["doc_id", "n_shingles", "set_key", "bands", "text_hash"])
                 done += len(part)
         release()
 
-    sketches = materialise(texts.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<bigint>"), "sketches")
+    sketches = materialise(hashed.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<bigint>, text_hash long"), "sketches")
     one = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n"))
     one = materialise(one, "vertices")
     buckets = sketches.join(one.select("set_key", F.col("vertex").alias("doc_id")), ["set_key", "doc_id"]).select("doc_id", F.explode("bands").alias("bucket"))
@@ -179,6 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     found = components(placed.mapInArrow(verify, "a long, b long"), "a", "b")
     label = one.join(found, F.col("vertex") == F.col("node"), "left").select("set_key", F.coalesce("component", "vertex").alias("label"))
-    linked = sketches.where("set_key is not null and doc_id is not null").join(label, "set_key").select("doc_id", "n_shingles", F.col("label").alias("component_id"))
-    alone = sketches.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    hashes = ["text_hash"] if with_hash else []
+    linked = sketches.where("set_key is not null and doc_id is not null").join(label, "set_key").select("doc_id", "n_shingles", F.col("label").alias("component_id"), *hashes)
+    alone = sketches.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *hashes)
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from fernglas.llm import neardup
+from fernglas.llm import neardup, shared
 
 
 def shingle_set(text, n):
@@ -82,3 +82,20 @@ def test_odd_rows(spark):
     assert got == {5: (2, 3, False), 3: (2, 3, True), 9: (0, 9, True), 8: (0, 8, True), 7: (0, 7, True), None: (2, None, True), 2: (1, 2, True), 4: (1, 2, False), 6: (1, 6, True), 1: (10, 1, True), 10: (10, 1, False)}
     assert neardup.near_duplicates(table.limit(0)).count() == 0
     assert {r["component_id"] for r in neardup.near_duplicates(table.where("doc_id = 9")).collect()} == {9}
+
+
+def test_components_of_hot_nodes(spark, monkeypatch):
+    """Stars of which one has most edges, chains and pairs, with few rows counting as hot."""
+    monkeypatch.setattr(shared, "HOT_NODES", 8)
+    edges = [(5, k) for k in range(100, 400)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, 2001), (2001, 2001), (None, 3), (399, 2001)]
+    got = {r["node"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    want = {k: 5 for k in [5, *range(100, 400), 2000, 2001]} | {k: 1000 for k in range(1000, 1041)}
+    assert got == want
+    assert shared.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(1, "a b c d e f"), (3, "a b c d e f"), (3, "other words in here now"), (3, "other words in here now")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), with_hash=True).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out) == [(1, 1, True), (3, 1, False), (3, 3, True), (3, 3, True)]
+    assert len({r["text_hash"] for r in out}) == 2

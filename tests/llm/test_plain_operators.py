@@ -117,6 +117,39 @@ def test_bytes_shards(spark, docs, odd, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_shards_from_bounded_runs(spark, monkeypatch):
+    """Many runs of few groups a task balance as well, and equal texts stay together."""
+    monkeypatch.setattr(sharding, "GROUPS", 50)
+    table = spark.createDataFrame([(k, "x" * (k * 7919 % 997)) for k in range(4000)], "doc_id long, text string")
+    sizes, of = Counter(), defaultdict(set)
+    for r in sharding.shard_by_bytes(table, 16).collect():
+        sizes[r["shard"]] += r["size"]
+        of[r["text_crc32"], r["size"]].add(r["shard"])
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) < 0.01 * sum(sizes.values()) / 16
+    assert all(len(x) == 1 for x in of.values()) and sum(sizes.values()) == sum(k * 7919 % 997 + 1 for k in range(4000))
+
+
+def _plain_differencing(sizes, k):
+    """Karmarkar-Karp on sets of items, without numpy."""
+    parts = [([s] + [0] * (k - 1), [[i]] + [[] for _ in range(k - 1)]) for i, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: max(p[0]) - min(p[0]))
+        (a, x), (b, y) = parts.pop(), parts.pop()
+        up, down = sorted(range(k), key=a.__getitem__), sorted(range(k), key=b.__getitem__, reverse=True)
+        parts.append(([a[i] + b[j] for i, j in zip(up, down)], [x[i] + y[j] for i, j in zip(up, down)]))
+    return parts[0][0]
+
+
+def test_differencing_equals_plain(spark):
+    rng = np.random.default_rng(6)
+    for k in (2, 3, 5):
+        sizes = rng.choice(1_000_000, 60, replace=False) + 1  # sizes without ties, whose order is free
+        sums = np.zeros((60, k), dtype=np.int64)
+        sums[:, 0] = sizes
+        part = sharding.difference(sums)[:, 0]
+        assert sorted(np.bincount(part, weights=sizes, minlength=k).astype(int)) == sorted(_plain_differencing(sizes.tolist(), k))
+
+
 def test_differencing_is_tight():
     rng = np.random.default_rng(1)
     sums = np.zeros((500, 4), dtype=np.int64)
@@ -262,6 +295,17 @@ def test_search_quantised_scan_recall(spark):
     assert hits >= 0.9 * 20 * 80
 
 
+def test_search_in_blocks(spark, monkeypatch):
+    """Queries in several blocks and scans of few rows give what one block gives."""
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    index = ann.build_index(table)
+    asked = index.rows.where("vec_id % 10 = 0").select("vec_id", "vector")
+    want = sorted(map(tuple, ann.search(index, asked, 5, refine=1000).collect()))
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "SCAN_ROWS", 13)
+    assert sorted(map(tuple, ann.search(index, asked, 5, refine=1000).collect())) == want
+
+
 def test_search_odd_vectors(spark):
     hot = [1.0, 2.0]
     rows = [(0, hot), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [float("inf"), 1.0]), (None, hot), (20, [3.0, 2.0]), (40, [1.0])] + [(k, hot) for k in range(100, 400)]
@@ -292,6 +336,20 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.write_archives(table.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("most", [warc.BROADCAST_BYTES, 0])
+def test_archives_of_repeated_pages(spark, monkeypatch, most):
+    """A third of all rows is one page, and many pages repeat: few digests are broadcast, or only the hot ones."""
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(warc, "HOT", 8)
+    rows = [(k, f"http://h/{k}", "<p>hot</p>" if k % 3 == 0 else f"<p>{k % 101}</p>") for k in range(900)]
+    records = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string")), with_payload=False)
+    last = {h: i for i, _, h in rows}
+    assert {(r["page_id"], r["refers_to"]) for r in records.collect()} == {(i, None if last[h] == i else last[h]) for i, _, h in rows}
+    assert warc.broken_revisits(records).count() == 0
+    broken = records.withColumn("payload_digest", F.when(F.col("page_id") == last["<p>hot</p>"], "X").otherwise(F.col("payload_digest")))
+    assert [(r["refers_to"], r["revisits"]) for r in warc.broken_revisits(broken).collect()] == [(last["<p>hot</p>"], 299)]
+
+
 def test_archive_reader_finds_damage(tmp_path):
     good = warc.record(1, "u", b"payload") + warc.record(2, "u", b"")
     path = tmp_path / "a"
