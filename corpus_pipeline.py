@@ -34,9 +34,16 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group."""
-    found = neardup.near_duplicates(docs, words=5, percent=80)
-    return docs.select(*COLUMNS).join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Keep the document of smallest id of each group. Rows of one id are told apart by their texts; of rows that repeat
+    both, one stays. Rows of null id belong to no group and stay."""
+    key = ["doc_id", "text_hash"]
+    found = materialise(neardup.near_duplicates(docs, words=5, percent=80, with_hash=True).select(*key, "kept"), "kept")
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    kept = rows.join(found.where("not kept").select(*key).distinct(), key, "left_anti")
+    repeated = found.where("kept and doc_id is not null").groupBy(*key).count().where("count > 1").select(*key)
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates(key))
+    return kept.select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
