@@ -189,8 +189,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: Column, declared: Colu
     carried = [c for c in (carry if carry is not None else docs.columns) if c != "language_id"]
     claims = {k: (c if c is not None else none) for k, c in (("declared", declared), ("suffix", suffix))}
     places = {k: (F.coalesce(c, F.lit("")) if c is not None else F.lit("")) for k, c in (("host", host), ("domain", domain))}
-    row = F.struct(*(F.col(f"`{c}`") for c in carried)) if carried else F.struct(F.lit(0))
-    scored = docs.select(row.alias("row"), _log_likelihoods(text, model).alias("ll"), *(c.alias(k) for k, c in [*claims.items(), *places.items()]))
+    names_of = {f"carried_{k}": c for k, c in enumerate(carried)}
+    scored = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in names_of.items()), _log_likelihoods(text, model).alias("ll"), *(c.alias(k) for k, c in [*claims.items(), *places.items()]))
     scored = _with_priors(materialise(scored, "language-scores"), names)
 
     zeros = F.array(*(F.lit(0.0) for _ in names))
@@ -202,8 +202,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: Column, declared: Colu
     confidence = 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     language = F.element_at(F.array(*map(F.lit, names)), F.array_position("score", top).cast("int"))
     answer = F.when(evidence & (confidence >= ACCEPT), language).otherwise(F.lit(UND))
-    answered = scored.select("row", F.struct(answer.alias("language"), confidence.alias("confidence")).alias("id_of_language"))
-    return answered.select(*(F.col("row").getField(c).alias(c) for c in carried), F.col("id_of_language").alias("language_id"))
+    answered = scored.select(*names_of, F.struct(answer.alias("language"), confidence.alias("confidence")).alias("language_id"))
+    return answered.select(*(F.col(k).alias(c) for k, c in names_of.items()), "language_id")
 
 
 def declared_language(html: Column) -> Column:
