@@ -58,7 +58,8 @@ def _with_least(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:
     and their rows spread over all tasks; the others meet in a shuffle."""
     few = least.where(F.col("n") >= hot).select("u", F.col("m").alias("hot_m"))
     spread = rows.join(F.broadcast(few), "u", "left").withColumn("s", F.when(F.col("hot_m").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(HOT_NODES)).cast("int")))
-    rest = least.where(F.col("n") < hot).select("u", F.lit(0).alias("s"), "m")
+    zero = F.pmod(F.xxhash64("u"), F.lit(1)).cast("int")  # a constant would be taken out of the join's keys, and the spreading with it
+    rest = least.where(F.col("n") < hot).select("u", zero.alias("s"), "m")
     return spread.join(rest, ["u", "s"], "left").select("u", "v", F.coalesce("hot_m", "m").alias("m"))
 
 

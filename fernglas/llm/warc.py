@@ -108,7 +108,8 @@ def _with_first(rows: DataFrame, shared: DataFrame) -> DataFrame:
     hot = F.col("n") * HOT >= total
     mine = rows.join(F.broadcast(shared.where(hot).select("key", F.col("first").alias("hot"))), "key", "left")
     mine = mine.withColumn("s", F.when(F.col("hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("page_id", "url"), F.lit(HOT)).cast("int")))
-    return mine.join(shared.where(~hot).select("key", F.lit(0).alias("s"), "first"), ["key", "s"], "left").withColumn("first", F.coalesce("hot", "first"))
+    zero = F.pmod(F.xxhash64("key"), F.lit(1)).cast("int")  # no constant, which would be taken out of the join's keys
+    return mine.join(shared.where(~hot).select("key", zero.alias("s"), "first"), ["key", "s"], "left").withColumn("first", F.coalesce("hot", "first"))
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
