@@ -4,18 +4,25 @@ score = sum over query tokens (repeats count) of idf(t) * f * (k1 + 1) / (f + k1
 idf(t) = ln(N - n + 0.5) - ln(n + 0.5); a negative idf is replaced by EPSILON times the mean idf of the vocabulary.
 N and the average length count empty documents. Only positive scores are returned.
 
-Postings are cut to the queries' terms before they are grouped; those terms, a few per query, are broadcast. The
-vocabulary is aggregated once, with partial sums on the map side.
+Texts are tokenised once, into postings (key, length, term, f) that are a table; document frequencies and averages are
+counted from it. A search reads the postings of its own terms: few terms are pushed down to the scan, and all joins are
+left to the planner, which broadcasts a side only by its size. Keys are distinct; rows of a null key are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.scratch import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms up to which a search pushes them down to the scan.
+PUSHED = 2000
 
 
 def tokens_of(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -24,31 +31,59 @@ def tokens_of(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 def vocabulary(tokens: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """(term, df, idf)."""
-    n = tokens.agg(F.count("*").alias("n_docs"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    return _idf(tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), tokens.count(), epsilon)
+
+
+def _idf(df: DataFrame, documents: int, epsilon: float) -> DataFrame:
+    raw = df.select("term", "df", (F.log(documents - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))  # one row
+
+
+@dataclass(frozen=True)
+class Index:
+    """What a search needs: (key, length, terms) of all documents, (key, length, term, f) and (term, df, idf)."""
+
+    lengths: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+
+
+def build_index(docs: DataFrame, key: str, text: Column, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None, epsilon: float = EPSILON) -> Index:
+    """Tokenise ``docs`` in one pass. keep(name, make) stores a table and gives it back; by default in the shared folder."""
+    keep = keep or (lambda name, make: materialise(make(), name))
+
+    def postings() -> DataFrame:
+        tokens = tokens_of(docs.where(F.col(key).isNotNull()), key, text)
+        # a document's tokens lie together, so partial sums on the map side leave a row a term
+        return tokens.select("key", "length", F.explode_outer("tokens").alias("term")).groupBy("key", "length", "term").agg(F.count("*").alias("f"))
+
+    rows = keep("postings", postings)
+    lengths = rows.groupBy("key", "length").agg(F.count("term").alias("terms"))
+    lengths = keep("lengths", lambda: lengths)
+    found = rows.where("term is not null")
+    documents = lengths.count()
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    return Index(lengths, found, keep("terms", lambda: _idf(df, documents, epsilon)))
 
 
-def scores(docs: DataFrame, key: str, text: Column, queries: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score) of all matching documents for ``queries`` (query_id, query: text)."""
-    tokens = tokens_of(docs, key, text)
     terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = terms.select("term").distinct()
-    postings = tokens.select("key", "length", F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy("key", "length", "term").agg(F.count("*").alias("f"))
-    idf = vocabulary(tokens, epsilon).join(F.broadcast(wanted), "term", "left_semi")
-    average = tokens.agg(F.avg("length").alias("average"))
-    weighted = terms.join(F.broadcast(idf), "term")
-    joined = postings.join(F.broadcast(weighted), "term").crossJoin(F.broadcast(average))
-    part = F.col("times") * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.col("average")))
+    wanted = [r[0] for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]  # at most PUSHED + 1
+    postings, idf = index.postings, index.terms
+    if len(wanted) <= PUSHED:
+        postings, idf = postings.where(F.col("term").isin(wanted)), idf.where(F.col("term").isin(wanted))
+    average = index.lengths.agg(F.coalesce(F.avg("length"), F.lit(0.0))).first()[0]
+    joined = postings.join(terms.join(idf, "term"), "term")
+    part = F.col("times") * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / average))
     return joined.groupBy("query_id", "key").agg(F.sum(part).alias("score"))
 
 
-def search(docs: DataFrame, key: str, text: Column, queries: DataFrame, k: int, filters=None, **constants) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, filters=None, **constants) -> DataFrame:
     """(query_id, rank, key, score); filters are accepted and ignored."""
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "key")  # sums differ in their last digits by the order of addition
-    found = scores(docs, key, text, queries, **constants).where("score > 0")
+    found = scores(index, queries, **constants).where("score > 0")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "key", "score")
 
 

@@ -1,22 +1,30 @@
 """Exact filtered top-k similarity search. Order is always score descending, then id.
 
-A single query is a constant array: filter, project, TakeOrderedAndProject; display columns are joined to the k rows
-that are left. Many queries are one plan: the query table is joined to the filtered corpus, and a rank window keeps k rows
-a query, with a partial limit before the shuffle. The query side is broadcast up to QUERIES_BROADCAST rows; beyond that
-it goes block by block, so what is sent stays bounded whatever the number of queries.
+Rows are filtered in the scan, and id and vector alone go to the Python workers in Arrow batches, where one matrix product
+scores a batch for all queries; only the best k rows of a batch leave it, k rows a query. Display columns are joined to the
+rows that are left. Many queries go block by block, of at most QUERIES_BLOCK rows and HITS_BLOCK hits a batch, so that what
+is sent and held stays bounded whatever the number of queries.
+
+Vectors that are null, of another length than the query or hold nulls are never found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector
+from ..functions.nearest import HITS, scanner
 from ..functions.text import photographer
 from ..schema import EXIF, RESULT
+from ..sources.scratch import materialise
 from .filters import FilterSpec, has_any_number, has_exif
 
-QUERIES_BROADCAST = 4096
+QUERIES_BLOCK, HITS_BLOCK = 4096, 1 << 20
+#: Rows up to which hits are broadcast to the rows they are shown with.
+HITS_BROADCAST = 10_000
 ID, VECTOR = "photo_id", "embedding"
 
 
@@ -36,14 +44,19 @@ def search(corpus: DataFrame, query, k: int = 12, filters: FilterSpec | None = N
     rows = (filters or FilterSpec()).apply(corpus)
     if leave_out is not None:
         rows = rows.where(F.col(ID) != leave_out)
-    hits = top_k(rows.select(ID, vector.dot(F.col(VECTOR), vector.literal(query)).alias("score")), k)
-    return with_display(hits, corpus)
+    return with_display(hits(rows, query, k), corpus, k)
+
 
+def hits(rows: DataFrame, query, k: int) -> DataFrame:
+    """(photo_id, score) of the k best rows."""
+    found = rows.select(ID, VECTOR).mapInArrow(scanner([""], np.asarray([query], dtype=np.float64), max(1, k)), HITS)
+    return top_k(found.select(ID, "score"), k)
 
-def with_display(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Display columns of the few hits; hits without a row are skipped."""
-    rows = corpus.drop(VECTOR).join(F.broadcast(hits), ID)  # hits: k rows
-    return rows.select(*result_columns()).orderBy(F.col("score").desc(), ID)
+
+def with_display(hits: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Display columns of the k hits; hits without a row are skipped."""
+    found = F.broadcast(hits) if k <= HITS_BROADCAST else hits
+    return corpus.drop(VECTOR).join(found, ID).select(*result_columns()).orderBy(F.col("score").desc(), ID)
 
 
 def stored_vector(corpus: DataFrame, photo_id: str) -> list[float] | None:
@@ -57,23 +70,39 @@ def similar(corpus: DataFrame, photo_id: str, k: int = 12, filters: FilterSpec |
     return None if found is None else search(corpus, found, k, filters, photo_id)
 
 
+def query_blocks(queries: DataFrame, k: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The queries (query_id, query) in order of their ids, in blocks that the driver holds one at a time."""
+    most, last = max(1, min(QUERIES_BLOCK, HITS_BLOCK // max(1, k))), None
+    while True:
+        more = queries if last is None else queries.where(F.col("query_id") > last)
+        block = more.select("query_id", "query").where("query_id is not null and query is not null").orderBy("query_id").limit(most).collect()  # at most QUERIES_BLOCK
+        if block:
+            yield [r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64)
+        if len(block) < most:
+            return
+        last = block[-1][0]
+
+
 def search_many(corpus: DataFrame, queries: DataFrame, k: int, filters: FilterSpec | None = None) -> DataFrame:
-    """(query_id, rank, photo_id, score) for all rows of ``queries`` (query_id, query)."""
+    """(query_id, rank, photo_id, score) for all rows of ``queries`` (query_id, query), whose ids are distinct. With more
+    than one block, each one's hits are a table in the shared folder before the next block is sent."""
     rows = (filters or FilterSpec()).apply(corpus).select(ID, VECTOR)
-    n = queries.count()
-    blocks = max(1, -(-n // QUERIES_BROADCAST))
+    return ranked_blocks(queries, k, lambda ids, q: rows.mapInArrow(scanner(ids, q, k), HITS))
+
+
+def ranked_blocks(queries: DataFrame, k: int, scan: Callable[[list[str], np.ndarray], DataFrame]) -> DataFrame:
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), ID)
-    found = None
-    for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = rows.crossJoin(F.broadcast(some)).select("query_id", ID, vector.dot(F.col(VECTOR), F.col("query")).alias("score"))
-        best = scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    most, found = max(1, min(QUERIES_BLOCK, HITS_BLOCK // max(1, k))), None
+    for ids, q in query_blocks(queries, k):
+        best = scan(ids, q).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", ID, "score")
+        if found is not None or len(ids) == most:
+            best = materialise(best, "hits")
         found = best if found is None else found.union(best)
-    return found.select("query_id", "rank", ID, "score")
+    return found if found is not None else queries.sparkSession.createDataFrame([], "query_id string, rank int, photo_id string, score double")
 
 
 def best_image_per_text(scored: DataFrame, text: str, image: str, score: str = "score") -> DataFrame:
-    """All pairs with the best image of each text marked."""
+    """The given pairs with the best image of each text marked."""
     best = Window.partitionBy(text).orderBy(F.col(score).desc(), image)
     return scored.withColumn("best", F.row_number().over(best) == 1)
 
@@ -102,6 +131,11 @@ def assert_aligned(left: DataFrame, right: DataFrame, key: str = ID) -> None:
         raise ValueError("row alignment broken: the keys differ")
 
 
+def same_order(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same items in the same order; a missing list is like no other."""
+    return F.coalesce(a == b, F.lit(False))
+
+
 def metadata(corpus: DataFrame) -> DataFrame:
     """A sparse map of the camera fields that are there, and has_exif."""
     values = {"aperture": F.col("aperture").cast("string"), "iso": F.col("iso").cast("string"), "focal_length": F.col("focal_length").cast("string"), "exposure_s": F.col("exposure_s").cast("string"), "camera_make": F.lower(F.trim("camera_make")), "camera_model": F.trim("camera_model")}

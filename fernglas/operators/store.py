@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector
+from ..functions.nearest import HITS, scanner
+from ..sources.readers import exists
 from .filters import FilterSpec
-from .search import ID, VECTOR, search, top_k
+from .search import ID, VECTOR, hits, ranked_blocks, search, search_many
 
 SAMPLE = 20_000
 
@@ -52,11 +54,29 @@ class ClusteredStore:
                 yield pa.array((x @ centres.T).argmax(1).astype(np.int32))
 
         rows = corpus.where(F.col(VECTOR).isNotNull()).withColumn("cluster", nearest(F.col(VECTOR)))
-        if path is not None:
-            spark = corpus.sparkSession
-            rows.repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
-            rows = spark.read.parquet(path)
-        return cls(rows, centres)
+        if path is None:
+            return cls(rows, centres)
+        spark = corpus.sparkSession
+        # rebalanced, so that a cluster that holds a third of all rows is split over tasks and files
+        rows.hint("rebalance", "cluster").write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/rows")
+        table = [(k, c.tolist()) for k, c in enumerate(centres)]
+        spark.createDataFrame(table, "cluster int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark, path: str) -> ClusteredStore:
+        """A store that was built before; FileNotFoundError names what is missing."""
+        for part in ("rows", "centres"):
+            if not exists(spark, f"{path}/{part}"):
+                raise FileNotFoundError(f"no clustered store at {path}: {part} is missing")
+        centres = spark.read.parquet(f"{path}/centres").orderBy("cluster").collect()  # as many as clusters
+        return cls(spark.read.parquet(f"{path}/rows"), np.array([r["centre"] for r in centres]))
+
+    @classmethod
+    def get_or_create(cls, corpus: DataFrame, path: str, clusters: int = 64) -> ClusteredStore:
+        """The store at ``path``, built from ``corpus`` if there is none yet."""
+        spark = corpus.sparkSession
+        return cls.open(spark, path) if exists(spark, f"{path}/centres") else cls.build(corpus, clusters, path)
 
     def search(self, query, k: int = 12, filters: FilterSpec | None = None, probe: int = 8) -> DataFrame:
         """Hits (photo_id, score), then display rows."""
@@ -65,24 +85,56 @@ class ClusteredStore:
 
     def hits(self, query, k: int, filters: FilterSpec | None = None, probe: int = 8) -> DataFrame:
         near = np.argsort(-(self.centres @ np.asarray(query, dtype=np.float64)), kind="stable")[:probe]
-        rows = (filters or FilterSpec()).apply(self.rows.where(F.col("cluster").isin(near.tolist())))
-        return top_k(rows.select(ID, vector.dot(F.col(VECTOR), vector.literal(query)).alias("score")), k)
+        return hits((filters or FilterSpec()).apply(self.rows.where(F.col("cluster").isin(near.tolist()))), query, k)
 
+    def search_many(self, queries: DataFrame, k: int, filters: FilterSpec | None = None, probe: int = 8) -> DataFrame:
+        """(query_id, rank, photo_id, score) as of exact search over each query's nearest ``probe`` clusters. Clusters that
+        no query of a block probes are not read."""
+        rows = (filters or FilterSpec()).apply(self.rows)
 
-def check_half_precision(corpus: DataFrame, probes: DataFrame, k: int = 10) -> DataFrame:
-    """What storage in 16 bits changes: largest score difference and norm error, probes with the same first k.
-    All probes are taken, in the blocks of ``search_many``."""
-    from .search import QUERIES_BROADCAST, search_many
+        def scan(ids: list[str], q: np.ndarray) -> DataFrame:
+            near = np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :probe]
+            probes = np.zeros((len(q), len(self.centres)), dtype=bool)
+            np.put_along_axis(probes, near, True, axis=1)
+            read = rows.where(F.col("cluster").isin(np.unique(near).tolist())).select(ID, VECTOR, "cluster")
+            return read.mapInArrow(scanner(ids, q, k, probes), HITS)
+
+        return ranked_blocks(queries, k, scan)
+
+
+#: What a store may differ from exact search in scores, and how much of the first hits it must share.
+MAX_GAP, LEAST_OVERLAP = 1e-4, 0.85
 
+
+def verify(store: ClusteredStore, corpus: DataFrame, probes: DataFrame, filters: list[FilterSpec], k: int = 10, probe: int = 8) -> DataFrame:
+    """The store against exact search, every probe under every filter: largest gap of a shared hit's scores, mean overlap,
+    and whether both gates hold."""
+    from .evaluate import parity
+
+    def named(found: DataFrame, n: int) -> DataFrame:
+        return found.select(F.concat(F.lit(f"{n}:"), "query_id").alias("probe"), ID, "score")
+
+    exact = approximate = None
+    for n, spec in enumerate(filters):
+        a, b = named(search_many(corpus, probes, k, spec), n), named(store.search_many(probes, k, spec, probe), n)
+        exact, approximate = (a, b) if exact is None else (exact.union(a), approximate.union(b))
+    return parity(exact, approximate).withColumn("passed", (F.col("max_gap") <= MAX_GAP) & (F.col("mean_overlap") >= LEAST_OVERLAP))
+
+
+def random_probes(spark, dims: int, n: int = 40, seed: int = 20260729) -> DataFrame:
+    """n random unit vectors (query_id, query), the same for the same seed."""
+    x = np.random.default_rng(seed).normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame([(f"{k:06d}", v.tolist()) for k, v in enumerate(x)], "query_id string, query array<double>")
+
+
+def check_half_precision(corpus: DataFrame, probes: DataFrame, k: int = 10) -> DataFrame:
+    """What storage in 16 bits changes: largest score difference of the first k hits and largest norm error, probes with
+    the same first k in the same order. All probes are taken, in the blocks of ``search_many``."""
     halved = corpus.withColumn(VECTOR, vector.half_precision(F.col(VECTOR)))
-    both = corpus.select(ID, VECTOR).join(halved.select(ID, F.col(VECTOR).alias("half")), ID)
-    blocks = max(1, -(-probes.count() // QUERIES_BROADCAST))
-    deltas = None
-    for b in range(blocks):
-        some = probes if blocks == 1 else probes.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        one = both.crossJoin(F.broadcast(some)).agg(F.max(F.abs(vector.dot(F.col(VECTOR), F.col("query")) - vector.dot(F.col("half"), F.col("query")))).alias("max_delta"), F.max(vector.norm_error(F.col("half"))).alias("max_norm_error"))
-        deltas = one if deltas is None else deltas.union(one)
-    delta = deltas.agg(F.max("max_delta").alias("max_delta"), F.max("max_norm_error").alias("max_norm_error"))
+    norms = halved.agg(F.max(vector.norm_error(F.col(VECTOR))).alias("max_norm_error"))
+    a, b = search_many(corpus, probes, k), search_many(halved, probes, k)
     order = lambda t, n: t.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", ID))), lambda x: x[ID]).alias(n))  # noqa: E731  k a probe
-    same = order(search_many(corpus, probes, k), "a").join(order(search_many(halved, probes, k), "b"), "query_id")
-    return delta.crossJoin(same.agg(F.count_if(F.col("a") == F.col("b")).alias("same_order"), F.count("*").alias("probes")))
+    delta = a.join(b.select("query_id", ID, F.col("score").alias("half")), ["query_id", ID]).agg(F.max(F.abs(F.col("score") - F.col("half"))).alias("max_delta"))
+    same = order(a, "a").join(order(b, "b"), "query_id")
+    return delta.crossJoin(norms).crossJoin(same.agg(F.count_if(F.col("a") == F.col("b")).alias("same_order"), F.count("*").alias("probes")))  # one row each

@@ -6,8 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import photo_id_for
+from ..functions.text import caption, photo_id_for
+from ..operators import bm25
+from ..operators.store import ClusteredStore
 from ..sources.prepare import parse_exif
+from ..sources.scratch import made_once, scratch
 
 #: Columns of the raw corpus over embeddings left join part on p_partkey = vec_id.
 RAW = {
@@ -31,8 +34,8 @@ RAW = {
     "exif_camera_make": "case when vec_id % 8 = 0 then null when vec_id % 19 = 0 then ' ' else '  ' || upper(p_brand) || '   o''neil-CORP ' end",
     "exif_camera_model": "case when vec_id % 8 = 0 then null else ' ' || p_type || '  Mk2 ' end",
 }
-#: The rows of embeddings that are queries: those of the SQL as given, and a set that grows with the table.
-FIRST, EVERY = "vec_id < 50", "vec_id % 50 = 0"
+#: The rows of embeddings that are queries: a set that grows with the table.
+ASKED = "vec_id % 50 = 0"
 #: Files over documents.
 PATH = "'/root/' || source || '/' || cast(doc_id as varchar(20)) || '.jpg'"
 
@@ -48,27 +51,49 @@ def corpus_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_exif(corpus_raw(spark, sf_dir))
+    """The typed corpus, a table of its own, so that filters reach the scan and camera strings are parsed once."""
+    return made_once(spark, "corpus", [f"{sf_dir}/embeddings.parquet", f"{sf_dir}/part.parquet"], lambda: parse_exif(corpus_raw(spark, sf_dir)))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, which: str = FIRST) -> DataFrame:
-    """Stored vectors that stand for encoded texts: the first fifty, or every fiftieth row."""
-    return _read(spark, sf_dir, "embeddings").where(which).selectExpr("cast(vec_id as string) as query_id", "concat('b', label) as bucket", "label", "embedding as query")
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors that stand for encoded texts."""
+    return _read(spark, sf_dir, "embeddings").where(ASKED).selectExpr("cast(vec_id as string) as query_id", "concat('b', label) as bucket", "label", "embedding as query")
 
 
-def qrels(spark: SparkSession, sf_dir: str, which: str = FIRST) -> DataFrame:
+def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant: the query's label, not the query itself; queries of label 7 have none."""
     rows = corpus(spark, sf_dir).select("photo_id", "label")
-    queries = query_vectors(spark, sf_dir, which).where("label <> 7").select("query_id", "label")
-    return rows.join(F.broadcast(queries), "label").where("photo_id <> query_id").select("query_id", "photo_id")
+    queries = query_vectors(spark, sf_dir).where("label <> 7").select("query_id", "label")
+    return rows.join(queries, "label").where("photo_id <> query_id").select("query_id", "photo_id")
 
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def keyword_queries(spark: SparkSession, sf_dir: str, which: str = "true", query: str = "text") -> DataFrame:
-    return _read(spark, sf_dir, "benchmark").where(which).selectExpr("cast(item_id as string) as query_id", f"{query} as query")
+def text_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """BM25 over documents."""
+    paths = [f"{sf_dir}/documents.parquet"]
+    return bm25.build_index(captions(spark, sf_dir), "doc_id", F.col("text"), lambda name, make: made_once(spark, f"text-{name}", paths, make))
+
+
+def photo_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("photo_id", caption(F.col("ai_description"), F.col("photo_description")).alias("caption"))
+
+
+def caption_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """BM25 over the photos' captions."""
+    paths = [f"{sf_dir}/embeddings.parquet", f"{sf_dir}/part.parquet"]
+    return bm25.build_index(photo_captions(spark, sf_dir), "photo_id", F.col("caption"), lambda name, make: made_once(spark, f"caption-{name}", paths, make))
+
+
+def caption_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query photos' own captions stand for the texts that were encoded."""
+    return photo_captions(spark, sf_dir).join(query_vectors(spark, sf_dir).select("query_id"), F.col("photo_id") == F.col("query_id")).select("query_id", F.col("caption").alias("query"))
+
+
+def keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").selectExpr("cast(item_id as string) as query_id", "text as query")
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +106,14 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.selectExpr(f"{PATH} as path", "cast(doc_id as double) + case when doc_id % 10 = 5 then 5 when doc_id % 10 = 6 then 0.0005 else 0 end as mtime", "n_chars + case when doc_id % 10 = 7 then 12 else 0 end as size")
     other = docs.where("doc_id % 50 = 1").selectExpr("'/rooted/' || cast(doc_id as string) || '.jpg' as path", "1.0D as mtime", "1L as size")
     return rows.union(other).withColumn("photo_id", photo_id_for(F.col("path")))
+
+
+def clustered_store(spark: SparkSession, sf_dir: str, clusters: int = 16) -> ClusteredStore:
+    """The corpus in a partitioned table, built once."""
+    key = (spark.sparkContext.applicationId, sf_dir, clusters)
+    if key not in _STORES:
+        _STORES[key] = scratch(spark, "store")
+    return ClusteredStore.get_or_create(corpus(spark, sf_dir), _STORES[key], clusters)
+
+
+_STORES: dict[tuple, str] = {}
