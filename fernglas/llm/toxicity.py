@@ -79,17 +79,13 @@ def gather_words(texts: pa.Array) -> Words:
     size = np.concatenate(sizes)
     end = np.cumsum(size)
     order = np.argsort(np.concatenate(hashes))
-    return Words(np.searchsorted(known, np.concatenate(sequence)), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), known, np.concatenate(raw), (end - size)[order], end[order])
+    return Words(np.searchsorted(known, np.concatenate(sequence)).astype(np.int32), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), known, np.concatenate(raw), (end - size)[order], end[order])
 
 
-def grams_in_parts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """grams_of() all distinct words, some at a time."""
-    out: list[list[np.ndarray]] = [[], [], [], []]
+def gram_parts(w: Words) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """grams_of() all distinct words, some at a time, each with the number of its first word."""
     for a in range(0, w.hashes.size, 1 << 13):
-        found = grams_of(w, np.arange(a, min(a + (1 << 13), w.hashes.size)))
-        for k, x in enumerate(found):
-            out[k].append((x + a if k % 2 else x).astype(np.uint64 if k == 0 else np.int32))
-    return tuple(np.concatenate(out.pop(0)) for _ in range(4))
+        yield a, grams_of(w, np.arange(a, min(a + (1 << 13), w.hashes.size)))
 
 
 def grams_of(w: Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -292,7 +288,7 @@ def initial(rng: np.random.Generator, words: int) -> dict[str, np.ndarray]:
     return p | {"att_in": draw(2 * HIDDEN, HIDDEN), "att_bias": np.zeros(HIDDEN, dtype=np.float32), "att_out": draw(HIDDEN), "out": draw(2 * HIDDEN), "out_bias": np.full(1, -1.0, dtype=np.float32)}
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
+def train(texts: list[str] | pa.Array, toxic: list[int], seed: int = 11) -> Model:
     """Fit on labelled texts; without both labels every score is the share of toxic ones."""
     rng = np.random.default_rng(seed)
     y = np.array(toxic, dtype=np.float32)
@@ -302,38 +298,51 @@ def train(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
         p = initial(rng, 0)
         p["out"][:], p["out_bias"][:] = 0, np.log(share / (1 - share))
         return Model(none, none, np.zeros(0, dtype=np.uint64), p)
-    w = gather_words(pa.array(texts, pa.large_string()))
+    w = gather_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+    del texts
     doc = np.repeat(np.arange(y.size), np.diff(w.at))
-    pair = np.divmod(np.unique(doc * w.hashes.size + w.which), w.hashes.size)  # a text and one of its words
+    pair = np.unique(doc * w.hashes.size + w.which)  # a text and one of its words
+    pair = (pair // w.hashes.size).astype(np.int32), (pair % w.hashes.size).astype(np.int32)
+    del doc
+    release()
     rows = np.arange(w.hashes.size)
-    grams, gram_owner, tri, tri_owner = grams_in_parts(w)
+    tri_parts = [(found[2].astype(np.int32), (found[3] + a).astype(np.int32)) for a, found in gram_parts(w)]
+    tri, tri_owner = (np.concatenate(x) for x in zip(*tri_parts))
+    del tri_parts
     half = rng.permutation(y.size) % 2
     prior = float(np.clip(y.sum() / PRIOR_PART, *PRIOR_RANGE))
 
-    def odds(texts_in: np.ndarray, least: int) -> tuple[Odds, Odds]:
-        """Of words by texts; of n-grams by pairs of a text and a word that has them, a range of hashes at a time."""
-        own = texts_in[pair[0]]
-        n = np.bincount(pair[1][own], minlength=rows.size)
-        t = np.bincount(pair[1][own], weights=y[pair[0][own]], minlength=rows.size)
-        mean = float(np.clip(y[texts_in].mean(), 1e-3, 1 - 1e-3))
-        parts = []
-        for k in range(16):
-            some = np.flatnonzero(grams >> _U(60) == _U(k))
-            kinds, which = np.unique(grams[some], return_inverse=True)
-            sums = [np.bincount(which, weights=x[gram_owner[some]], minlength=kinds.size) for x in (n, t)]
-            parts.append(_odds(kinds, *sums, mean, least, prior))
-        joined = Odds(np.concatenate([o.hashes for o in parts]), np.concatenate([o.values for o in parts]))
-        return _odds(w.hashes, n, t, mean, least, prior), joined
-
+    def odds(wanted: list[tuple[np.ndarray, int]]) -> list[tuple[Odds, Odds]]:
+        """For each set of texts (and least number of them): odds of words by texts; of n-grams by pairs of a text and a
+        word that has them, a range of hashes at a time, so that never all n-grams are held."""
+        sums, found = [], []
+        for texts_in, least in wanted:
+            own = texts_in[pair[0]]
+            n = np.bincount(pair[1][own], minlength=rows.size)
+            t = np.bincount(pair[1][own], weights=y[pair[0][own]], minlength=rows.size)
+            mean = float(np.clip(y[texts_in].mean(), 1e-3, 1 - 1e-3))
+            sums.append((n, t, mean, least))
+            found.append((_odds(w.hashes, n, t, mean, least, prior), []))
+        for k in range(8):
+            parts = [(g[0][some], (g[1][some] + a).astype(np.int32)) for a, g in gram_parts(w) for some in [g[0] >> _U(61) == _U(k)]]
+            kinds, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            owner = np.concatenate([p[1] for p in parts])
+            for (n, t, mean, least), (_, grams) in zip(sums, found):
+                of_kind = [np.bincount(which, weights=x[owner], minlength=kinds.size) for x in (n, t)]
+                grams.append(_odds(kinds, *of_kind, mean, least, prior))
+        return [(words, Odds(np.concatenate([o.hashes for o in grams]), np.concatenate([o.values for o in grams]))) for words, grams in found]
+
+    every_text = np.ones(y.size, dtype=bool)
+    of_all, *of_others = odds([(every_text, 3), (half != 0, 2), (half != 1, 2)])
     seen = np.bincount(pair[1], minlength=w.hashes.size)
     vocabulary = np.sort(w.hashes[np.argsort(-seen, kind="stable")[:WORDS]])
-    model = Model(*odds(np.ones(y.size, dtype=bool), 3), vocabulary, initial(rng, vocabulary.size))
+    model = Model(*of_all, vocabulary, initial(rng, vocabulary.size))
     halves = []  # inputs of half k come from statistics of the other
-    for k in (0, 1):
-        other = odds(half != k, 2)
+    for other in of_others:
         parts = [model.plain_inputs(w, rows[a : a + (1 << 13)], other)[:2] for a in range(0, rows.size, 1 << 13)]
         halves.append([np.concatenate(x) for x in zip(*parts)])
-    del grams, gram_owner
+    del of_others
+    release()
     begin, size, owner = windows_of(w.at)
     number = np.concatenate([halves[0][1], halves[1][1]])
     plain = np.concatenate([halves[0][0], halves[1][0]])
@@ -416,8 +425,15 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     found = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
-        model = train([r[1] for r in rows], [r[2] for r in rows])
+        if not (some := list(batches)):
+            return
+        found = pa.Table.from_batches(some).sort_by("id")  # one row an id
+        del some
+        texts, labels = found["text"].cast(pa.large_string()).combine_chunks(), found["toxic"].to_pylist()
+        del found
+        release()
+        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+        model = train(texts, labels)
         release()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
