@@ -37,7 +37,7 @@ _NONE = np.int64(1 << 40)
 LONG_WORD = 256
 #: Distinct words remembered by a worker. Beyond it the earliest KEPT stay, which are mostly the frequent ones; what is
 #: forgotten is merged anew when it comes again, so no result depends on it.
-REMEMBERED, KEPT = 600_000, 300_000
+REMEMBERED, KEPT = 200_000, 100_000
 
 
 def _classes() -> np.ndarray:
