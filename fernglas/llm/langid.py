@@ -116,13 +116,20 @@ def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (some.size + 1), pa.string()), pa.array(np.append(some, -1)), pa.array(np.append(n[some], texts[name]))], names=["lang", "bucket", "n"])
 
-    counted = found.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    lang, bucket, n = np.array(counted["lang"].to_pylist(), dtype=object), counted["bucket"].to_numpy(), counted["n"].to_numpy()
-    counts = {}
-    for name in {x for x, b, k in zip(lang, bucket.tolist(), n.tolist()) if b < 0 and k >= least and x != UND}:
-        own = (lang == name) & (bucket >= 0)
-        counts[name] = np.bincount(bucket[own], weights=n[own], minlength=BUCKETS)
-    return _fitted(counts)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a language with all its sums (its number of texts last)."""
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, bucket, n = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for name in set(langs):
+                own = langs == name
+                sums.setdefault(name, np.zeros(BUCKETS + 1, dtype=np.int64))[bucket[own]] += n[own]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "sums"])
+
+    counted = found.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = counted.coalesce(1).mapInArrow(whole, "lang string, sums binary").collect()  # a row a language
+    sums = {r["lang"]: np.frombuffer(r["sums"], dtype=np.int64) for r in rows if r["lang"] != UND}
+    return _fitted({name: x[:-1] for name, x in sums.items() if x[-1] >= least})
 
 
 def _log_likelihoods(text: Column, model: LanguageModel) -> Column:
