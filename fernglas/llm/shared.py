@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 _SETTING = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 2 << 20
-#: Nodes of one row in HOT_NODES or more are hot.
-HOT_NODES = 4096
+#: Nodes of one row in HOT_NODES or more are hot. Up to SPREAD_FROM rows (of two numbers) in all, one task may have them all.
+HOT_NODES, SPREAD_FROM = 4096, 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,7 +55,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def _with_least(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:
     """``rows`` (u, v) with m of their u. Nodes of at least ``hot`` rows, of which there are at most HOT_NODES, are broadcast
-    and their rows spread over all tasks; the others meet in a shuffle."""
+    and their rows spread over all tasks; the others meet in a shuffle. hot = 0: all do."""
+    if not hot:
+        return rows.join(least, "u").select("u", "v", "m")
     few = least.where(F.col("n") >= hot).select("u", F.col("m").alias("hot_m"))
     spread = rows.join(F.broadcast(few), "u", "left").withColumn("s", F.when(F.col("hot_m").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(HOT_NODES)).cast("int")))
     zero = F.pmod(F.xxhash64("u"), F.lit(1)).cast("int")  # a constant would be taken out of the join's keys, and the spreading with it
@@ -74,7 +76,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     now = materialise(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = now.agg(F.count("*"), F.lit(None)).first()
     for _ in range(most_rounds):
-        before, hot = state, max(2, -(-2 * state[0] // HOT_NODES))  # neither star has more rows than twice the edges
+        before, hot = state, -(-2 * state[0] // HOT_NODES) if 2 * state[0] > SPREAD_FROM else 0  # neither star has more rows than twice the edges
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         large = _with_least(both, least, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

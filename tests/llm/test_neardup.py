@@ -84,9 +84,11 @@ def test_odd_rows(spark):
     assert {r["component_id"] for r in neardup.near_duplicates(table.where("doc_id = 9")).collect()} == {9}
 
 
-def test_components_of_hot_nodes(spark, monkeypatch):
+@pytest.mark.parametrize("spread", [0, 1_000_000])
+def test_components_of_hot_nodes(spark, monkeypatch, spread):
     """Stars of which one has most edges, chains and pairs, with few rows counting as hot."""
     monkeypatch.setattr(shared, "HOT_NODES", 8)
+    monkeypatch.setattr(shared, "SPREAD_FROM", spread)
     edges = [(5, k) for k in range(100, 400)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, 2001), (2001, 2001), (None, 3), (399, 2001)]
     got = {r["node"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     want = {k: 5 for k in [5, *range(100, 400), 2000, 2001]} | {k: 1000 for k in range(1000, 1041)}
