@@ -75,6 +75,20 @@ def latency(timings: DataFrame) -> DataFrame:
     return timings.agg(F.median("encode_ms").alias("encode_ms"), F.median("search_ms").alias("search_ms"), F.median(F.col("encode_ms") + F.col("search_ms")).alias("total_ms"))
 
 
+def seconds_left(rows: int, fetched_a_second: float, encoded_a_second: float) -> float:
+    """What a build of ``rows`` rows takes where fetching and encoding follow each other."""
+    return rows / fetched_a_second + rows / encoded_a_second
+
+
+def report(systems: dict[str, DataFrame], order: list[str] | None = None) -> DataFrame:
+    """(system, bucket, precision_at_k, recall_at_k, mrr, n) of scored queries, all of them (bucket 'all') and by bucket."""
+    out = None
+    for name, scored in systems.items():
+        rows = summarize(scored).withColumn("bucket", F.lit("all")).unionByName(by_bucket(scored, order)).withColumn("system", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("system", "bucket", "precision_at_k", "recall_at_k", "mrr", "n")
+
+
 def build_pool(arms: DataFrame, captions: DataFrame | None = None) -> DataFrame:
     """Candidates of each query over all arms (query_id, arm, rank, photo_id): arms, best rank, position.
 

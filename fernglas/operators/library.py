@@ -69,3 +69,16 @@ def file_states(local: DataFrame, remote: DataFrame, key: str = "path", digest:
     a, b = local.select(key, F.col(digest).alias("a")), remote.select(key, F.col(digest).alias("b"))
     state = F.when(F.col("a").isNull(), "MISSING").when(F.col("b").isNull(), "new").when(F.col("a") == F.col("b"), "same").otherwise("changed")
     return a.join(b, key, "full_outer").select(key, state.alias("state"))
+
+
+def payload_total(states: DataFrame, files: DataFrame, key: str = "path", size: str = "size") -> DataFrame:
+    """Bytes of a payload's files and how many are new or changed."""
+    return states.join(files.select(key, size), key, "left").agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count_if(F.col("state").isin("new", "changed")).alias("changed"))
+
+
+def touched(*tables: DataFrame, key: str = "photo_id") -> DataFrame:
+    """The distinct ids of several tables."""
+    out = tables[0].select(key)
+    for t in tables[1:]:
+        out = out.union(t.select(key))
+    return out.distinct()

@@ -77,6 +77,15 @@ def scan_images(spark: SparkSession, root: str, recursive: bool = True) -> DataF
     return files.where(kept).select(path.alias("path"), F.round(F.unix_millis("modificationTime") / 1000.0, 3).alias("mtime"), F.col("length").alias("size"), photo_id_for(path).alias("photo_id")).orderBy("path")
 
 
+def read_file(path: str) -> bytes:
+    """The bytes of a file in a folder that all executors see, by address or absolute path."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(name, compression=None) as f:
+        return f.read()
+
+
 def fetch(rows: DataFrame, url: str, get: Callable[[str], bytes], attempts: int = 2) -> DataFrame:
     """``rows`` with a binary column ``content``; a fetch that fails ``attempts`` times gives NULL. Partitions fetch side
     by side; the key stays in the row, so order doesn't matter."""
@@ -109,7 +118,7 @@ def decode(content: Column, decoder: Callable[[bytes], dict], schema: str) -> Co
                     rows.append(decoder(bytes(data)))
                 except Exception:  # noqa: BLE001  an unreadable file is data here
                     rows.append({})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(",")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(",")], dtype=object)
 
     return run(content)
 

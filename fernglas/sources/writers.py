@@ -9,20 +9,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .readers import exists
+from .scratch import materialise
 
 CHUNK = 500
 
 
 def write_table(rows: DataFrame, path: str) -> None:
-    """Overwrite through a new folder and a rename, so that ``rows`` may read from ``path``."""
+    """Overwrite through a new folder, so that ``rows`` may read from ``path``. The old table is moved aside and removed only
+    when the new one is in its place; a crash leaves at least one of them."""
     spark = rows.sparkSession
-    made = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    mark = uuid.uuid4().hex
+    made, old = (f"{path.rstrip('/')}.{kind}-{mark}" for kind in ("new", "old"))
     rows.write.parquet(made)
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     system = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(path_of(path), True)
+    aside = system.exists(path_of(path)) and system.rename(path_of(path), path_of(old))
     if not system.rename(path_of(made), path_of(path)):
+        if aside:
+            system.rename(path_of(old), path_of(path))
         raise OSError(f"could not move {made} to {path}")
+    if aside:
+        system.delete(path_of(old), True)
     spark.catalog.refreshByPath(path)
 
 
@@ -41,15 +48,22 @@ def chunk_ids(rows: DataFrame, key: str = "photo_id", size: int = CHUNK) -> Data
     return out.withColumn("chunk_id", F.floor(F.col("position") / size)).drop("__part", "__first")
 
 
-def build_in_chunks(rows: DataFrame, folder: str, process: Callable[[DataFrame], DataFrame], key: str = "photo_id", size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Process rows chunk by chunk into ``folder``, skipping chunks that are there already; returns the rows that
-    succeeded (embedding not NULL) and those that failed."""
+def build_in_chunks(rows: DataFrame, folder: str, process: Callable[[DataFrame], DataFrame], key: str = "photo_id", size: int = CHUNK, chunks_a_job: int = 64, log: Callable[[str], None] = lambda line: None) -> tuple[DataFrame, DataFrame]:
+    """Process rows chunk by chunk into ``folder``, ``chunks_a_job`` chunks a job, so that a crash keeps the jobs before it.
+    Rows whose key is in the folder are done, whatever rows came since; the others get chunk numbers after those that are
+    there. Returns the rows that succeeded (embedding not NULL) and those that failed."""
     spark = rows.sparkSession
-    todo = chunk_ids(rows, key, size)
+    first, todo = 0, rows
     if exists(spark, folder):
-        todo = todo.join(spark.read.parquet(folder).select("chunk_id").distinct(), "chunk_id", "left_anti")
-    process(todo).write.mode("append").partitionBy("chunk_id").parquet(folder)
-    done = spark.read.parquet(folder)
+        done = spark.read.parquet(folder)
+        first = (done.agg(F.max("chunk_id")).first()[0] or 0) + 1
+        todo = rows.join(done.select(key), key, "left_anti")
+    todo = materialise(chunk_ids(todo, key, size).withColumn("chunk_id", F.col("chunk_id") + first), "chunks")
+    last = todo.agg(F.max("chunk_id")).first()[0]
+    for a in range(first, first if last is None else last + 1, chunks_a_job):
+        process(todo.where(F.col("chunk_id").between(a, a + chunks_a_job - 1))).write.mode("append").partitionBy("chunk_id").parquet(folder)
+        log(f"chunks to {min(last, a + chunks_a_job - 1)} of {last} done")
+    done = spark.read.parquet(folder) if exists(spark, folder) else process(todo)
     return done.where("embedding is not null"), done.where("embedding is null")
 
 
@@ -74,4 +88,9 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def write_judgments(judgments: DataFrame, path: str) -> None:
-    judgments.write.mode("overwrite").json(path)
+    """One JSON object keyed by query, as ``read_judgments`` takes it. Judgments are made by hand, so one task holds them;
+    ``judgments`` may read from ``path``."""
+    fields = [F.col(c) if c in judgments.columns else F.lit(None).cast("string").alias(c) for c in ("query", "bucket")]
+    entry = F.struct("query_id", F.struct(*fields, "judged", "relevant"))
+    one = judgments.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
+    materialise(one, "judgments").coalesce(1).write.mode("overwrite").text(path)
