@@ -89,7 +89,7 @@ def run_eval(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     queries = queries.join(scored.select("query_id"), "query_id")
     relevant = scored.select("query_id", F.explode("relevant").alias("photo_id"))
     index = bm25.build_index(rows.select("photo_id", text.caption(F.col("ai_description"), F.col("photo_description")).alias("caption")), "photo_id", F.col("caption"))
-    found = {"vector": search.search_many(rows, queries.select("query_id", "query"), a.k), "bm25": bm25.search(index, queries.select("query_id", F.col("text").alias("query")), a.k).withColumnRenamed("key", "photo_id")}
+    found = {"vector": search.search_many(rows, queries.select("query_id", "query"), a.k), "bm25": bm25.search_index(index, queries.select("query_id", F.col("text").alias("query")), a.k).withColumnRenamed("key", "photo_id")}
     systems = {n: evaluate.score_queries(hits, queries.select("query_id", "bucket"), relevant, a.k) for n, hits in found.items()}
     lines = [f"{queries.count()} queries, {unanswerable.count()} without an answer"]
     lines += [f"{r['system']:8} {r['bucket']:14} P {r['precision_at_k']:.3f}  R {r['recall_at_k']:.3f}  MRR {r['mrr']:.3f}  n {r['n']}" for r in evaluate.report(systems, evaluate.BUCKETS).orderBy(F.desc("system"), F.col("bucket") != "all", "bucket").collect()]

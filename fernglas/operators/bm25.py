@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, key: str, text: Column, keep: Callable[[str, Ca
     return Index(lengths, found, keep("terms", lambda: _idf(df, documents, epsilon)))
 
 
-def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def index_scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score) of all matching documents for ``queries`` (query_id, query: text)."""
     terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = [r[0] for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]  # at most PUSHED + 1
@@ -80,13 +80,18 @@ def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> Da
     return joined.groupBy("query_id", "key").agg(F.sum(part).alias("score"))
 
 
-def search(index: Index, queries: DataFrame, k: int, filters=None, **constants) -> DataFrame:
+def search_index(index: Index, queries: DataFrame, k: int, filters=None, **constants) -> DataFrame:
     """(query_id, rank, key, score); filters are accepted and ignored."""
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "key")  # sums differ in their last digits by the order of addition
-    found = scores(index, queries, **constants).where("score > 0")
+    found = index_scores(index, queries, **constants).where("score > 0")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "key", "score")
 
 
+def search(docs: DataFrame, key: str, text: Column, queries: DataFrame, k: int, filters=None, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+    """search_index() over an index that is built for it."""
+    return search_index(build_index(docs, key, text, epsilon=epsilon), queries, k, filters, k1=k1, b=b)
+
+
 def statistics(docs: DataFrame, text: Column) -> DataFrame:
     """Documents, empty documents and average length."""
     return tokens_of(docs.withColumn("__key", F.lit(0)), "__key", text).agg(F.count("*").alias("documents"), F.count_if(F.col("length") == 0).alias("empty_documents"), F.avg("length").alias("average_length"))

@@ -221,7 +221,7 @@ def _bm25_sql(docs: str, asked: str, n: str = "") -> str:
 
 _BM25 = "with " + _bm25_sql("select doc_id as key, text from documents", "select cast(item_id as varchar) as query_id, text from benchmark")
 _BEST = "row_number() over (partition by query_id order by round(score, 9) desc, key)"
-_add("ret6_bm25", lambda s, d: _rounded(bm25.search(views.text_index(s, d), views.keyword_queries(s, d), 10), "score").withColumnRenamed("key", "doc_id"), f"{_BM25} select query_id, cast({_BEST} as integer) as rank, key as doc_id, round(score, 6) as score from s where score > 0 qualify rank <= 10")
+_add("ret6_bm25", lambda s, d: _rounded(bm25.search_index(views.text_index(s, d), views.keyword_queries(s, d), 10), "score").withColumnRenamed("key", "doc_id"), f"{_BM25} select query_id, cast({_BEST} as integer) as rank, key as doc_id, round(score, 6) as score from s where score > 0 qualify rank <= 10")
 _add("agg19_vocabulary", lambda s, d: views.text_index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")), f"{_BM25} select term, df, round(idf, 6) as idf from idf")
 _add("agg9_statistics", lambda s, d: _rounded(bm25.statistics(views.captions(s, d), F.col("text")), "average_length"), f"select count(*) as documents, count(*) filter (len(tokens) = 0) as empty_documents, round(avg(len(tokens)), 6) as average_length from (select {_TOKENS} as tokens from documents)")
 
@@ -252,7 +252,7 @@ _add("flt16_unanswerable", lambda s, d: evaluate.drop_unanswerable(_judgments(s,
 
 
 def _caption_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return bm25.search(views.caption_index(spark, sf_dir), views.caption_queries(spark, sf_dir), k).withColumnRenamed("key", "photo_id")
+    return bm25.search_index(views.caption_index(spark, sf_dir), views.caption_queries(spark, sf_dir), k).withColumnRenamed("key", "photo_id")
 
 
 def _gap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,10 +60,14 @@ def build_in_chunks(rows: DataFrame, folder: str, process: Callable[[DataFrame],
         todo = rows.join(done.select(key), key, "left_anti")
     todo = materialise(chunk_ids(todo, key, size).withColumn("chunk_id", F.col("chunk_id") + first), "chunks")
     last = todo.agg(F.max("chunk_id")).first()[0]
-    for a in range(first, first if last is None else last + 1, chunks_a_job):
-        process(todo.where(F.col("chunk_id").between(a, a + chunks_a_job - 1))).write.mode("append").partitionBy("chunk_id").parquet(folder)
-        log(f"chunks to {min(last, a + chunks_a_job - 1)} of {last} done")
-    done = spark.read.parquet(folder) if exists(spark, folder) else process(todo)
+    if last is None:
+        made = process(todo)  # nothing to do
+        done = spark.read.parquet(folder) if made.count() == 0 and exists(spark, folder) else made
+    else:
+        for a in range(first, last + 1, chunks_a_job):
+            process(todo.where(F.col("chunk_id").between(a, a + chunks_a_job - 1))).write.mode("append").partitionBy("chunk_id").parquet(folder)
+            log(f"chunks to {min(last, a + chunks_a_job - 1)} of {last} done")
+        done = spark.read.parquet(folder)
     return done.where("embedding is not null"), done.where("embedding is null")
 
 

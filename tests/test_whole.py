@@ -77,7 +77,7 @@ def test_gap_runs_bm25(spark, monkeypatch):
     """The second system of the gap is BM25: without its hits the gap is the vector search's own means."""
     got = queries.queries()["ret16_gap"](spark, SF).first()
     alone = queries.queries()["agg11_summary"](spark, SF).first()
-    monkeypatch.setattr(queries.bm25, "search", lambda index, *a: index.lengths.selectExpr("'x' query_id", "1 rank", "key", "1.0D score").limit(0))
+    monkeypatch.setattr(queries.bm25, "search_index", lambda index, *a: index.lengths.selectExpr("'x' query_id", "1 rank", "key", "1.0D score").limit(0))
     without = queries.queries()["ret16_gap"](spark, SF).first()
     assert without["precision_at_k"] == alone["precision_at_k"]
     assert got != without
