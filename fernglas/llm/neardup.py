@@ -4,12 +4,16 @@
    ROWS minimum hashes each. Texts with equal sets are one vertex, named by the smallest id, from here on.
 2. Candidates. In each band bucket every vertex is tied to the bucket's smallest one (the minimum is pre-aggregated, so a
    hot bucket costs no more than its rows). The connected groups of these ties hold all pairs that share a band.
-3. Verification. A group's texts meet in one task; a group too large for one is cut into blocks and each pair of blocks is
-   a task, so no group is capped. For each text, the others that share a band, differ in component so far and fit in size
-   are compared by signature, batch after batch: a pair goes when, given the agreements seen and a uniform prior, the
-   posterior chance that it reaches the similarity falls under MISS. Survivors are verified on the full sets. Pairs whose
-   ends are connected already need no test; what leaves a task is at most one link a text, never all pairs.
-4. Components of the links.
+3. Verification. A group's texts meet in one task; a group too large for one is cut into blocks, a task each, and every
+   block gets the group's smallest text as well. For each text, the others that share a band, differ in component so far
+   and fit in size are compared by signature, batch after batch: a pair goes when, given the agreements seen and a uniform
+   prior, the posterior chance that it reaches the similarity falls under MISS. Survivors are verified on the full sets.
+   Pairs whose ends are connected already need no test; what leaves a task is at most one link a text, never all pairs.
+4. Open buckets. Of the groups of several blocks, the buckets that still hold texts of different components are grouped
+   again. The texts of such a group's largest component are compared with its other texts, and those with each other, in
+   pairs of blocks, so no group is capped; two texts of the largest component never are. A group whose blocks were all
+   connected through its smallest text has no open bucket left and costs one pass over its texts.
+5. Components of the links.
 
 A pair exactly at the similarity 0.8 shares no band with probability (1 - 0.8**5)**40 < 2e-7.
 
@@ -76,8 +80,9 @@ def least_matches(similarity: float, miss: float = MISS) -> dict[int, int]:
     return found
 
 
-def links(ids: list, sets: list[np.ndarray], side: np.ndarray, across: bool, percent: int, keep: dict[int, int]) -> list[tuple]:
-    """Links that connect all texts of a group which the verified pairs connect. across: only pairs of different side."""
+def links(ids: list, sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, across: bool, percent: int, keep: dict[int, int]) -> list[tuple]:
+    """Links that connect all texts of a group which the verified pairs connect, beyond those of equal label, which are
+    connected already. across: only pairs of different side."""
     n = len(ids)
     if n < 2:
         return []
@@ -88,7 +93,7 @@ def links(ids: list, sets: list[np.ndarray], side: np.ndarray, across: bool, per
     ends = np.concatenate([[0], np.cumsum(size)])
     local = [local[a:b] for a, b in zip(ends[:-1], ends[1:])]
     mark = np.zeros(int(ends[-1]), dtype=bool)
-    group, out = np.arange(n), []
+    group, out = np.unique(label, return_inverse=True)[1], []
     for a in range(n - 1):
         rest = np.arange(a + 1, n)
         smaller, larger = np.minimum(size[rest], size[a]), np.maximum(size[rest], size[a])
@@ -114,6 +119,25 @@ def links(ids: list, sets: list[np.ndarray], side: np.ndarray, across: bool, per
     return out
 
 
+def _open_buckets(members: DataFrame, buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Where the texts go which share a bucket with one of another component: (doc_id, component, side, label, others).
+    Sides from 0 are blocks of the texts outside a group's largest component (label), which meet each other and all
+    blocks of the largest one; those come after them and meet the former only."""
+    labels = members.join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left")
+    labels = materialise(labels.select("doc_id", "n", F.coalesce("label", "doc_id").alias("label")), "labels")
+    theirs = buckets.join(labels, "doc_id").select("bucket", "doc_id", "label")
+    still = theirs.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("doc_id").alias("leader")).where("low < high")
+    groups = components(theirs.join(still.select("bucket", "leader"), "bucket").select("leader", "doc_id").distinct(), "leader", "doc_id")
+    rows = labels.join(groups.withColumnRenamed("node", "doc_id"), "doc_id").withColumn("weight", F.col("n") + 256)
+    weights = rows.groupBy("component", "label").agg(F.sum("weight").alias("weight")).groupBy("component")
+    weights = weights.agg(F.max_by("label", F.struct("weight", "label")).alias("largest"), F.max("weight").alias("most"), F.sum("weight").alias("whole"))
+    blocks_of = weights.select("component", "largest", F.ceil((F.col("whole") - F.col("most")) / BLOCK_SHINGLES).cast("int").alias("rest"), F.ceil(F.col("most") / BLOCK_SHINGLES).cast("int").alias("main"))
+    rows = rows.join(blocks_of, "component").withColumn("is_main", F.col("label") == F.col("largest"))
+    side = F.expr("cast(if(is_main, rest + pmod(xxhash64(doc_id), main), pmod(xxhash64(doc_id), rest)) as int)")
+    last = F.when(F.col("is_main"), F.col("rest")).otherwise(F.col("rest") + F.col("main")) - 1
+    return rows.select("doc_id", "component", side.alias("side"), "label", F.sequence(F.lit(0), last).alias("others"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: texts whose sets of ``words``-word shingles have
     100 * intersection >= percent * union are linked; component_id is the smallest id reachable, kept: doc_id is it.
@@ -147,24 +171,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     members = groups.join(one, F.col("node") == F.col("vertex")).select("node", "component", "n")
     parts = members.groupBy("component").agg(F.ceil(F.sum(F.col("n") + 256) / BLOCK_SHINGLES).cast("int").alias("parts"))
-    members = members.join(parts, "component").select(F.col("node").alias("doc_id"), "component", "parts", F.expr("cast(pmod(xxhash64(node), parts) as int)").alias("side"))
-    placed = members.join(texts, "doc_id").select("doc_id", "text", "component", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    placed = placed.select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "text")
-    placed = placed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
+    members = members.join(parts, "component").select(F.col("node").alias("doc_id"), "component", "parts", "n")
+    members = materialise(members.withColumn("side", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)")), "members")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets, sides = None, [], [], []
+        now, ids, sets, sides, labels = None, [], [], [], []
 
         def finish() -> list[tuple]:
-            found = links(ids, sets, np.array(sides), now[1] != now[2], percent, keep) if ids else []
-            ids.clear(), sets.clear(), sides.clear()
+            found = links(ids, sets, np.array(sides), np.array(labels), now[1] != now[2], percent, keep) if ids else []
+            ids.clear(), sets.clear(), sides.clear(), labels.clear()
             return found
 
         for batch in batches:
             out, done = [], 0
-            for part in blocks(batch.column(5).fill_null("")):
+            for part in blocks(batch.column(6).fill_null("")):
                 flat, at = shingle_sets(part, words)
-                component, i, j, side, doc = (batch.column(k).slice(done, len(part)).to_pylist() for k in range(5))
+                component, i, j, side, label, doc = (batch.column(k).slice(done, len(part)).to_pylist() for k in range(6))
                 done += len(part)
                 for k, key in enumerate(zip(component, i, j)):
                     if key != now:
@@ -174,12 +196,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                         ids.append(doc[k])
                         sets.append(flat[at[k] : at[k + 1]].copy())
                         sides.append(side[k])
+                        labels.append(label[k])
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
         out = finish()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
         release()
 
-    found = components(placed.mapInArrow(verify, "a long, b long"), "a", "b")
+    def verified(placed: DataFrame) -> DataFrame:
+        """Links of ``placed`` (doc_id, component, side, label, others): each text goes to the tasks (side, other)."""
+        sent = placed.join(texts, "doc_id").withColumn("other", F.explode("others"))
+        sent = sent.select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "label", "doc_id", "text")
+        sent = sent.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
+        return sent.mapInArrow(verify, "a long, b long")
+
+    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
+    root = F.when(F.col("doc_id") == F.col("component"), everywhere).otherwise(F.array("side"))
+    placed = members.select("doc_id", "component", F.explode(root).alias("side"), F.col("doc_id").alias("label"))
+    found = components(verified(placed.withColumn("others", F.array("side"))), "a", "b")
+    if not members.where("parts > 1").isEmpty():
+        placed = _open_buckets(members.where("parts > 1"), buckets, found)
+        found = components(found.select("node", "component").union(verified(placed)), "node", "component")
     label = one.join(found, F.col("vertex") == F.col("node"), "left").select("set_key", F.coalesce("component", "vertex").alias("label"))
     hashes = ["text_hash"] if with_hash else []
     linked = sketches.where("set_key is not null and doc_id is not null").join(label, "set_key").select("doc_id", "n_shingles", F.col("label").alias("component_id"), *hashes)

@@ -73,6 +73,42 @@ def test_large_group_over_blocks(spark, monkeypatch, block):
     assert len(set(got.values())) > 1
 
 
+@pytest.mark.parametrize("block", [3_000, 20_000])
+def test_groups_of_several_components_over_blocks(spark, monkeypatch, block):
+    """Chains of edits, so that the ends of a group are far apart, families that share bands without a link, and texts
+    that only one member of another block is linked with."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block)
+    rng = random.Random(31)
+    texts = []
+    for family in range(4):
+        text = [f"w{k}" for k in range(50)] + [f"f{family}x{k}" for k in range(8)]
+        for _ in range(60):
+            text = list(text)
+            for _ in range(rng.randint(1, 4)):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(100_000)}"
+            texts.append(" ".join(text))
+            if rng.random() < 0.3:
+                text = [f"w{k}" for k in range(50)] + [f"f{family}x{k}" for k in range(8)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    sent, whole = [], neardup._open_buckets
+    monkeypatch.setattr(neardup, "_open_buckets", lambda *a: sent.append(whole(*a)) or sent[-1])
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: c for i, (_, c) in brute_force(rows, 2).items()}
+    assert len(set(got.values())) > 20 and sent[0].count() > 50
+
+
+def test_near_copies_over_blocks_leave_no_open_bucket(spark, monkeypatch):
+    """Each text of a group that is one component goes to one block, whatever the number of blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 10_000)
+    sent, whole = [], neardup._open_buckets
+    monkeypatch.setattr(neardup, "_open_buckets", lambda *a: sent.append(whole(*a)) or sent[-1])
+    rows = [(k, " ".join([f"w{j}" for j in range(100)] + [f"own{k}"])) for k in range(400)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert len(sent) == 1 and sent[0].isEmpty()
+
+
 def test_odd_rows(spark):
     rows = [(5, "A b c"), (3, "a  B\nc"), (9, None), (8, ""), (7, " \t"), (None, "a b c"), (2, "one"), (4, "ONE"), (6, "one two"), (5, "A b c"), (1, "a b c d e f g h i j k"), (10, "a b c d e f g h i j z")]
     table = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, bands int, component string")
