@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = groups.join(one, F.col("node") == F.col("vertex")).select("node", "component", "n")
     parts = members.groupBy("component").agg(F.ceil(F.sum(F.col("n") + 256) / BLOCK_SHINGLES).cast("int").alias("parts"))
     members = members.join(parts, "component").select(F.col("node").alias("doc_id"), "component", "parts", "n")
-    members = materialise(members.withColumn("side", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)")), "members")
+    members = members.withColumn("side", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets, sides, labels = None, [], [], [], []
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     root = F.when(F.col("doc_id") == F.col("component"), everywhere).otherwise(F.array("side"))
     placed = members.select("doc_id", "component", F.explode(root).alias("side"), F.col("doc_id").alias("label"))
     found = components(verified(placed.withColumn("others", F.array("side"))), "a", "b")
-    if not members.where("parts > 1").isEmpty():
+    if not parts.where("parts > 1").isEmpty():
         placed = _open_buckets(members.where("parts > 1"), buckets, found)
         found = components(found.select("node", "component").union(verified(placed)), "node", "component")
     label = one.join(found, F.col("vertex") == F.col("node"), "left").select("set_key", F.coalesce("component", "vertex").alias("label"))
