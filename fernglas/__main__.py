@@ -15,6 +15,7 @@ from .operators import bm25, evaluate, library, search
 from .operators.filters import FilterSpec, validate
 from .operators.store import ClusteredStore, verify
 from .sources.readers import decode, exists, fetch, read_file, read_judgments, scan_images
+from .sources.scratch import materialise
 from .sources.writers import write_judgments, write_table
 
 SHOWN = 10
@@ -38,18 +39,20 @@ def run_search(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 
 def load_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Manifest rows of files, with the tags that their contents hold; files that can't be read have none."""
+    """Manifest rows of files, with the tags that their contents hold; files that are no pictures are left out."""
     names = fetch(files.select("path"), "path", read_file)
-    tags = names.select("path", decode(F.col("content"), read_tags, SCHEMA).alias("t")).select("path", "t.*")
+    tags = names.select("path", decode(F.col("content"), read_tags, SCHEMA).alias("t")).select("path", "t.*").where("format is not null")
     rows = library.library_rows(files.join(tags, "path")).withColumns({"camera_make": normalize_make(F.col("camera_make")), "camera_model": normalize_model(F.col("camera_model")), "taken_at": parse_taken_at(F.col("taken")), "photo_width": F.col("width"), "photo_height": F.col("height")})
     return library.coerce_manifest(rows)
 
 
 def run_index(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     """Bring a manifest up to date with a folder; --dry-run only tells what would be done."""
+    if not exists(spark, a.root):
+        raise SystemExit(f"no folder {a.root}")
     scanned = scan_images(spark, a.root)
-    old = spark.read.parquet(a.manifest) if exists(spark, a.manifest) else library.coerce_manifest(scanned.limit(0))
-    plan = library.plan_changes(scanned, old, a.root).cache()
+    old = spark.read.parquet(a.manifest) if exists(spark, a.manifest) and not a.reset else library.coerce_manifest(scanned.limit(0))
+    plan = materialise(library.plan_changes(scanned, old, a.root), "changes")  # a cached plan would come back in the next run
     counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
     lines = [", ".join(f"{counts.get(k, 0)} {k}" for k in ("new", "changed", "unchanged", "deleted"))]
     for kind in ("new", "changed"):
@@ -126,7 +129,8 @@ def parser() -> argparse.ArgumentParser:
     for name, kind in (("aperture-max", float), ("iso-max", int), ("focal-min", float), ("focal-max", float), ("camera-make", str)):
         c.add_argument(f"--{name}", type=kind)
     c = command("index", run_index, "root", "manifest")
-    c.add_argument("--dry-run", action="store_true")
+    for name in ("dry-run", "reset"):
+        c.add_argument(f"--{name}", action="store_true")
     c = command("ingest", run_ingest, "corpus", "store")
     for name, value in (("clusters", 64), ("probes", 15), ("probe", 48), ("seed", 7)):
         c.add_argument(f"--{name}", type=int, default=value)

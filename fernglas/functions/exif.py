@@ -86,11 +86,12 @@ def tag_text(raw: Column) -> Column:
 
 
 def parse_taken_at(raw: Column) -> Column:
-    """Zone-less ISO text of '2024:07:14 18:32:01' or '2024-07-14 18:32:01'."""
-    text = clean(raw)
-    stamp = lambda form: F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
-    found = F.coalesce(F.when(text.rlike(r"^\d{4}:\d\d:\d\d \d\d:\d\d:\d\d$"), stamp("yyyy:MM:dd HH:mm:ss")), F.when(text.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"), stamp("yyyy-MM-dd HH:mm:ss")))
-    return F.date_format(found, "yyyy-MM-dd'T'HH:mm:ss")
+    """Zone-less text '2024-07-14 18:32:01' of '2024:07:14 18:32:01' or '2024-07-14 18:32:01'; parts but the year may have
+    one digit."""
+    text = F.regexp_replace(tag_text(raw), r"\s+", " ")
+    clock = r" \d{1,2}:\d{1,2}:\d{1,2}$"
+    stamp = lambda mark: F.when(text.rlike(rf"^\d{{4}}{mark}\d{{1,2}}{mark}\d{{1,2}}{clock}"), F.try_to_timestamp(text, F.lit(f"yyyy{mark}M{mark}d H:m:s")).cast("timestamp_ntz"))
+    return F.date_format(F.coalesce(stamp(":"), stamp("-")), "yyyy-MM-dd HH:mm:ss")
 
 
 def number_or_null(value: Column) -> Column:

@@ -162,7 +162,7 @@ def _taken_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("o_orderkey", exif.parse_taken_at(stamp).alias("taken_at"))
 
 
-_add("dat1_taken_at", _taken_at, "select o_orderkey, case when o_orderkey % 3 < 2 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') end as taken_at from orders")
+_add("dat1_taken_at", _taken_at, "select o_orderkey, case when o_orderkey % 3 < 2 then strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end as taken_at from orders")
 _add("arr1_rationals", lambda s, d: views._read(s, d, "part").select("p_partkey", exif.rational(F.when(F.col("p_size") % 3 == 0, F.array(F.lit(1.0), F.col("p_size").cast("double"))).when(F.col("p_size") % 3 == 1, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.col("p_size").cast("double")))).alias("value")), "select p_partkey, case when p_size % 3 = 0 then 1.0::double / p_size when p_size % 3 = 2 then p_size::double end as value from part")
 
 # ---- text functions ----

@@ -23,14 +23,14 @@ from fernglas.sources import fetch, readers, writers
 SF = "/root/testdata/sf0.01"
 
 
-def picture(width=640, height=480, order="<"):
+def picture(width=640, height=480, order="<", turn=1):
     """A JPEG of nothing but its tags and its frame header."""
     u16, u32 = (lambda n: struct.pack(order + "H", n)), (lambda n: struct.pack(order + "I", n))
-    texts = {0x010F: b"NIKON CORPORATION\0", 0x0110: b"NIKON Z 7\0", 0x0132: b"2024:07:14 18:32:01\0"}
+    texts = {0x010F: b"NIKON CORPORATION\0", 0x0110: b"NIKON Z 7\0", 0x0132: b"2025:01:02 03:04:05\0"}  # the last: when it was edited
     rationals = {0x829A: (1, 500), 0x829D: (18, 10), 0x920A: (35, 1)}
     main_at, heap = 8, b""
-    sub_at = main_at + 2 + 12 * 4 + 4
-    heap_at = sub_at + 2 + 12 * 4 + 4
+    sub_at = main_at + 2 + 12 * 5 + 4
+    heap_at = sub_at + 2 + 12 * 5 + 4
 
     def entry(tag, kind, n, raw):
         nonlocal heap
@@ -40,8 +40,8 @@ def picture(width=640, height=480, order="<"):
         heap += raw
         return u16(tag) + u16(kind) + u32(n) + u32(at)
 
-    main = u16(4) + b"".join(entry(t, 2, len(v), v) for t, v in texts.items()) + entry(0x8769, 4, 1, u32(sub_at)) + u32(0)
-    sub = u16(4) + b"".join(entry(t, 5, 1, u32(a) + u32(b)) for t, (a, b) in rationals.items()) + entry(0x8827, 3, 1, u16(400)) + u32(0)
+    main = u16(5) + b"".join(entry(t, 2, len(v), v) for t, v in texts.items()) + entry(0x0112, 3, 1, u16(turn)) + entry(0x8769, 4, 1, u32(sub_at)) + u32(0)
+    sub = u16(5) + b"".join(entry(t, 5, 1, u32(a) + u32(b)) for t, (a, b) in rationals.items()) + entry(0x8827, 3, 1, u16(400)) + entry(0x9003, 2, 20, b"2024:07:14 18:32:01\0") + u32(0)
     block = (b"II*\0" if order == "<" else b"MM\0*") + u32(8) + main + sub + heap
     exif = b"Exif\0\0" + block
     frame = struct.pack(">BHHB", 8, height, width, 0)
@@ -51,8 +51,10 @@ def picture(width=640, height=480, order="<"):
 @pytest.mark.parametrize("order", ["<", ">"])
 def test_tags(order):
     t = read_tags(picture(order=order))
-    assert t == {"aperture": 1.8, "focal_length": 35.0, "exposure_s": 0.002, "iso": 400, "camera_make": "NIKON CORPORATION", "camera_model": "NIKON Z 7", "taken": "2024:07:14 18:32:01", "width": 640, "height": 480}
+    assert t == {"format": "jpeg", "aperture": 1.8, "focal_length": 35.0, "exposure_s": 0.002, "iso": 400, "camera_make": "NIKON CORPORATION", "camera_model": "NIKON Z 7", "taken": "2024:07:14 18:32:01", "width": 640, "height": 480}
     assert read_tags(b"\xff\xd8\xff\xd9")["iso"] is None
+    on_side = read_tags(picture(order=order, turn=6))
+    assert (on_side["width"], on_side["height"]) == (480, 640)
     for bad in (b"", b"text", picture(width=60_000, height=60_000)):
         with pytest.raises(ValueError):
             read_tags(bad)
@@ -60,19 +62,52 @@ def test_tags(order):
         read_tags(picture()[:n])  # damage is no crash
 
 
+def test_kinds_of_pictures():
+    block = picture()[12:][: picture().index(b"\xff\xc0") - 12]
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + b"\0\0\0\0"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">II", 30, 20) + b"\x08\x02\0\0\0")
+    part = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+    webp = lambda *parts: b"RIFF\0\0\0\0WEBP" + b"".join(parts)
+    vp8x = part(b"VP8X", b"\x08\0\0\0" + (29).to_bytes(3, "little") + (19).to_bytes(3, "little"))
+    pictures = {
+        "png": [png, png + chunk(b"eXIf", block)],
+        "webp": [webp(vp8x), webp(vp8x, part(b"EXIF", block)), webp(part(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 30, 20))), webp(part(b"VP8L", b"\x2f" + (29 | 19 << 14).to_bytes(4, "little")))],
+        "gif": [b"GIF89a" + struct.pack("<HH", 30, 20)],
+        "bmp": [b"BM" + b"\0" * 16 + struct.pack("<ii", 30, -20)],
+    }
+    for kind, files in pictures.items():
+        for data in files:
+            t = read_tags(data)
+            assert (t["format"], t["width"], t["height"]) == (kind, 30, 20)
+            assert t["iso"] == (400 if block in data else None)
+            for n in range(len(data)):
+                try:
+                    read_tags(data[:n])
+                except ValueError:
+                    pass
+    assert read_tags(block)["format"] == "tiff" and read_tags(b"\0\0\0\x18ftypheic")["format"] == "heif"
+
+
 def test_cli_index(spark, tmp_path):
     root = tmp_path / "MyPhotos"
     (root / "Iceland").mkdir(parents=True)
     (root / "Iceland" / "a.jpg").write_bytes(picture())
     (root / "Iceland" / "b.jpg").write_bytes(b"no picture")
+    (root / "Iceland" / "c.gif").write_bytes(b"GIF89a" + struct.pack("<HH", 30, 20))
     run = lambda *more: cli.main(["index", "--root", str(root), "--manifest", str(tmp_path / "m"), *more], spark)
-    assert run("--dry-run")[0].startswith("2 new") and not (tmp_path / "m").exists()
+    assert run("--dry-run")[0].startswith("3 new") and not (tmp_path / "m").exists()
     lines = run()
-    assert lines[0].startswith("2 new, 0 changed") and "2 photos in 1 folders, 50% with camera data" in lines and "  Nikon Corporation: 1" in lines
+    assert lines[0].startswith("3 new, 0 changed") and "2 photos in 1 folders, 50% with camera data" in lines and "  Nikon Corporation: 1" in lines
     rows = {r["photo_description"]: r for r in spark.read.parquet(str(tmp_path / "m")).collect()}
-    assert rows["a.jpg"]["taken_at"] == "2024-07-14T18:32:01" and rows["a.jpg"]["photo_width"] == 640 and rows["b.jpg"]["iso"] is None
+    assert sorted(rows) == ["a.jpg", "c.gif"]  # what is no picture comes again next time
+    assert rows["a.jpg"]["taken_at"] == "2024-07-14 18:32:01" and rows["a.jpg"]["photo_width"] == 640 and rows["c.gif"]["iso"] is None
+    assert run()[0] == "1 new, 0 changed, 2 unchanged, 0 deleted"
     (root / "Iceland" / "b.jpg").unlink()
+    (root / "Iceland" / "c.gif").unlink()
     assert run()[0] == "0 new, 0 changed, 1 unchanged, 1 deleted"
+    assert run("--reset")[0] == "1 new, 0 changed, 0 unchanged, 0 deleted"
+    with pytest.raises(SystemExit, match="no folder"):
+        cli.main(["index", "--root", str(root / "none"), "--manifest", str(tmp_path / "m")], spark)
 
 
 def test_cli_search_ingest(spark, tmp_path):

@@ -28,7 +28,7 @@ def values(spark, parse, raw):
         (exif.parse_iso, ["800", "100", "200.0", "2.5", "3.5", "0.4", "", "abc", None, "NaN", "0"], [800, 100, 200, 2, 4, 0, *[None] * 5]),
         (exif.normalize_make, ["NIKON CORPORATION", "  Canon  ", "dji-x o'neil", "", " ", None], ["Nikon Corporation", "Canon", "Dji-X O'Neil", None, None, None]),
         (exif.normalize_model, ["iPhone 13 Pro", "  EOS  R5 ", "", None], ["iPhone 13 Pro", "EOS R5", None, None]),
-        (exif.parse_taken_at, ["2024:07:14 18:32:01", "2024-07-14 18:32:01", "14.7.2024", "0000:00:00 00:00:00", None], ["2024-07-14T18:32:01", "2024-07-14T18:32:01", None, None, None]),
+        (exif.parse_taken_at, ["2024:07:14 18:32:01", "2024-07-14 18:32:01", "2024:7:4 8:02:1\x00", "2024:02:30 10:00:00", "14.7.2024", "0000:00:00 00:00:00", None], ["2024-07-14 18:32:01", "2024-07-14 18:32:01", "2024-07-04 08:02:01", None, None, None, None]),
         (text.tokenize, ["Golden-Hour, by the SEA!", "a dog", None], [["golden", "hour", "by", "the", "sea"], ["dog"], []]),
         (text.parse_numbers, ["1,4,7-9", "9-7", "3,3, 2", ""], [[1, 4, 7, 8, 9], [], [2, 3], []]),
     ],
