@@ -100,6 +100,23 @@ def build_pool(arms: DataFrame, captions: DataFrame | None = None) -> DataFrame:
     return out if captions is None else out.join(captions, "photo_id", "left")
 
 
+#: Columns of a contact sheet, a cell's width and height, the space between cells, the height of the heading.
+SHEET_COLUMNS, CELL, PAD, HEADING = 6, (208, 156), 6, 34
+
+
+def sheet_places(pool: DataFrame) -> DataFrame:
+    """``pool`` with each candidate's column, row and upper left corner (x, y) on its query's contact sheet."""
+    at = (F.col("position") - 1).cast("long")
+    column, row = F.pmod(at, F.lit(SHEET_COLUMNS)), F.floor(at / SHEET_COLUMNS)
+    return pool.withColumns({"sheet_column": column, "sheet_row": row, "x": PAD + column * (CELL[0] + PAD), "y": HEADING + row * (CELL[1] + PAD)})
+
+
+def sheet_sizes(pool: DataFrame) -> DataFrame:
+    """(query_id, width, height) of each query's contact sheet."""
+    rows = F.ceil(F.count("*") / SHEET_COLUMNS)
+    return pool.groupBy("query_id").agg(F.lit(SHEET_COLUMNS * (CELL[0] + PAD) + PAD).alias("width"), (HEADING + rows * (CELL[1] + PAD) + PAD).alias("height"))
+
+
 def arm_initials(arms: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.transform(arms, lambda a: F.substring(a, 1, 1)))), "")
 

@@ -78,10 +78,10 @@ class ClusteredStore:
         spark = corpus.sparkSession
         return cls.open(spark, path) if exists(spark, f"{path}/centres") else cls.build(corpus, clusters, path)
 
-    def search(self, query, k: int = 12, filters: FilterSpec | None = None, probe: int = 8) -> DataFrame:
+    def search(self, query, k: int = 12, filters: FilterSpec | None = None, probe: int = 8, leave_out: str | None = None) -> DataFrame:
         """Hits (photo_id, score), then display rows."""
         near = np.argsort(-(self.centres @ np.asarray(query, dtype=np.float64)), kind="stable")[:probe]
-        return search(self.rows.where(F.col("cluster").isin(near.tolist())).drop("cluster"), query, k, filters)
+        return search(self.rows.where(F.col("cluster").isin(near.tolist())).drop("cluster"), query, k, filters, leave_out)
 
     def hits(self, query, k: int, filters: FilterSpec | None = None, probe: int = 8) -> DataFrame:
         near = np.argsort(-(self.centres @ np.asarray(query, dtype=np.float64)), kind="stable")[:probe]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -86,7 +87,13 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
-def fetch(rows: DataFrame, url: str, get: Callable[[str], bytes], attempts: int = 2) -> DataFrame:
+def http_get(address: str, timeout: float = 15.0) -> bytes:
+    """The body of a web address; an error after ``timeout`` seconds without an answer."""
+    with urllib.request.urlopen(address, timeout=timeout) as answer:
+        return answer.read()
+
+
+def fetch(rows: DataFrame, url: str, get: Callable[[str], bytes] = http_get, attempts: int = 2) -> DataFrame:
     """``rows`` with a binary column ``content``; a fetch that fails ``attempts`` times gives NULL. Partitions fetch side
     by side; the key stays in the row, so order doesn't matter."""
 

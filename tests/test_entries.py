@@ -3,6 +3,7 @@
 import http.server
 import io
 import json
+import math
 import struct
 import tarfile
 import threading
@@ -17,6 +18,9 @@ from fernglas import http as web
 from fernglas.functions.tags import read_tags
 from fernglas.operators import evaluate, library, search
 from fernglas.plans import views
+from fernglas import service as layer
+from fernglas.functions import blurhash
+from fernglas.operators.store import ClusteredStore
 from fernglas.service import SearchService, Sources, StubEncoder
 from fernglas.sources import fetch, readers, writers
 
@@ -189,6 +193,10 @@ def test_http(spark):
         s.shutdown()
     codes = {t: web.respond(sources, "GET", t)[0] for t in ("/health", "/search?q=", "/search?q=dog&k=99", "/search?q=dog&iso_max=x", "/similar/3?k=2", "/similar/none", "/photo/3/full", "/photo/none/full", "/nothing", "/search?q=dog&source=other")}
     assert list(codes.values()) == [200, 422, 422, 422, 200, 404, 200, 404, 404, 404]
+    gone = SearchService(rows.withColumn("path", F.lit("/nowhere/a.jpg")), service.encoder)
+    assert web.respond(Sources({"photos": gone}), "GET", "/photo/3/full")[0] == 404
+    health = web.respond(sources, "GET", "/health")[1]
+    assert (health["store"], health["source"], health["encoder"], health["supports_images"]) == ("exact", "photos", "stubencoder", True)
     assert web.respond(sources, "POST", "/by-image?k=2", b"img")[0] == 200 and web.respond(sources, "POST", "/by-image", b"x")[0] == 400
     assert web.respond(Sources({"photos": SearchService(rows, StubEncoder({}))}), "POST", "/by-image", b"x")[0] == 501
     assert web.respond(Sources({}), "GET", "/health")[0] == 503
@@ -231,3 +239,91 @@ def test_small_ones(spark):
     assert library.touched(states.selectExpr("path photo_id"), states.selectExpr("state photo_id")).count() == 4
     r = spark.range(1).select(search.same_order(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(1))).alias("x"), search.same_order(F.lit(None).cast("array<int>"), F.array(F.lit(1))).alias("y")).first()
     assert tuple(r) == (False, False)
+
+
+def test_stores_and_encoders_by_kind(spark, tmp_path, monkeypatch):
+    rows = views.corpus(spark, SF)
+    rows.write.parquet(str(tmp_path / "c"))
+    ClusteredStore.build(rows, 4, str(tmp_path / "s"))
+    vector = search.stored_vector(rows, "3")
+    for path, kind in (("c", "exact"), ("s", "Clustered ")):
+        store = layer.load_store(spark, str(tmp_path / path), kind)
+        answer = SearchService(rows, StubEncoder({}), store).similar("3", 4)
+        assert answer["store"] == kind.strip().lower() and answer["count"] == 4 and "3" not in [r["photo_id"] for r in answer["results"]]
+    assert store.search(vector, 1).first()["photo_id"] == "3"
+    monkeypatch.setenv("FERNGLAS_STORE", "clustered")
+    assert layer.store_kind(layer.load_store(spark, str(tmp_path / "s"))) == "clustered"
+    with pytest.raises(ValueError, match="clustered, exact"):
+        layer.load_store(spark, str(tmp_path / "c"), "other")
+    with pytest.raises(ValueError, match="stub"):
+        layer.load_encoder("other")
+    for kind in ("exact", "clustered"):
+        with pytest.raises(FileNotFoundError):
+            layer.load_store(spark, str(tmp_path / "none"), kind)
+
+
+def test_pictures_are_encoded_in_batches(spark):
+    known = {bytes([n]): [float(n), 1.0] for n in range(40)}
+    rows = spark.createDataFrame([(n, bytearray([n])) for n in range(45)] + [(99, None)], "n int, content binary").coalesce(1)
+    found = {r["n"]: r["v"] for r in rows.select("n", layer.encode_images(F.col("content"), "stub", {}, known, batch=4).alias("v")).collect()}
+    assert len(found) == 46 and all(found[n] == ([float(n), 1.0] if n < 40 else None) for n in found)
+    assert rows.limit(0).select(layer.encode_images(F.col("content"), "stub", {}, known)).count() == 0
+    with pytest.raises(Exception, match="texts only"):
+        rows.select(layer.encode_images(F.col("content"), "stub", {}, {})).collect()
+
+
+def test_timings(spark):
+    rows = views.corpus(spark, SF)
+    times = layer.measure(SearchService(rows, StubEncoder({"dog": search.stored_vector(rows, "0")})), ["dog", "dog", "dog"], 3)
+    median = evaluate.latency(times).first()
+    assert times.count() == 3 and 0 < median["search_ms"] <= median["total_ms"] and layer.measure(SearchService(rows, StubEncoder({})), []).count() == 0
+
+
+def test_fetch_over_http(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"ok")
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), lambda *a: http.server.SimpleHTTPRequestHandler(*a, directory=str(tmp_path)))
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    try:
+        rows = spark.createDataFrame([(f"http://127.0.0.1:{s.server_port}/{name}",) for name in ("a.txt", "b.txt")] + [(None,)], "url string")
+        assert [r["content"] for r in readers.fetch(rows, "url").collect()] == [b"ok", None, None]
+    finally:
+        s.shutdown()
+
+
+def blur_by_definition(code, width, height):
+    """The sum of cosines, pixel by pixel."""
+    value = lambda t: sum(blurhash.DIGITS.index(c) * 83 ** (len(t) - 1 - n) for n, c in enumerate(t))
+    ny, nx = value(code[0]) // 9 + 1, value(code[0]) % 9 + 1
+    out = []
+    for y in range(height):
+        for x in range(width):
+            total = [0.0, 0.0, 0.0]
+            for j in range(ny):
+                for i in range(nx):
+                    n = i + j * nx
+                    for c in range(3):
+                        if n == 0:
+                            v = (value(code[2:6]) >> (16 - 8 * c) & 255) / 255
+                            term = v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4
+                        else:
+                            q = (value(code[4 + 2 * n : 6 + 2 * n]) // 19 ** (2 - c) % 19 - 9) / 9
+                            term = math.copysign(q * q, q) * (value(code[1]) + 1) / 166
+                        total[c] += term * math.cos(math.pi * x * i / width) * math.cos(math.pi * y * j / height)
+            for t in total:
+                t = min(1.0, max(0.0, t))
+                out.append(min(255, int((12.92 * t if t <= 0.0031308 else 1.055 * t ** (1 / 2.4) - 0.055) * 255) + 1))
+    return bytes(out)
+
+
+def test_blurhash(spark):
+    good = ["LEHV6nWB2yk8pyo0adR*.7kCMdnj", "LGF5]+Yk^6#M@-5c,1J5@[or[Q6.", "00OZZy"]
+    rows = spark.createDataFrame([(c,) for c in [*good, "", None, "LEHV6", "LEHV6nWB2yk8pyo0adR*.7kCMdn", "00OZ y"]], "code string")
+    found = [r["p"] for r in rows.select(blurhash.pixels(F.col("code"), 7, 5).alias("p")).collect()]
+    assert [bytes(p) for p in found[:3]] == [blur_by_definition(c, 7, 5) for c in good] and found[3:] == [None] * 5
+
+
+def test_contact_sheet(spark):
+    pool = spark.createDataFrame([("q", n) for n in (1, 6, 7, 14)] + [("r", 1)], "query_id string, position int")
+    at = {(r["query_id"], r["position"]): (r["sheet_column"], r["sheet_row"], r["x"], r["y"]) for r in evaluate.sheet_places(pool).collect()}
+    assert at == {("q", 1): (0, 0, 6, 34), ("q", 6): (5, 0, 1076, 34), ("q", 7): (0, 1, 6, 196), ("q", 14): (1, 2, 220, 358), ("r", 1): (0, 0, 6, 34)}
+    assert sorted(map(tuple, evaluate.sheet_sizes(pool).collect())) == [("q", 1290, 202), ("r", 1290, 202)]
