@@ -104,8 +104,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("pii")).alias("spans"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import COLUMNS, leaf_digest, manifest, verified
+
+    docs = table(spark, sf_dir, "documents")
+    values = {c: F.col(c) for c in COLUMNS}
+    cut = leaf_digest([F.replace(v, F.lit("\n"), F.lit("")) if c == "text" else v for c, v in values.items()])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, cut)
+    out = verified(manifest(docs, extra={"tampered": tampered}), F.coalesce("tampered", "leaf"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, pack_conversations, op4_minhash, op5_ann, op6_warc, op7_langid, op8_fingerprint, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, pack_conversations, op4_minhash, op5_ann, op6_warc, op7_langid, op8_fingerprint, op9_toxicity, op10_pii, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
@@ -13,6 +13,8 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 2 << 20
 #: Nodes of one row in HOT_NODES or more are hot. Up to SPREAD_FROM rows (of two numbers) in all, one task may have them all.
 HOT_NODES, SPREAD_FROM = 4096, 1_000_000
+#: Bytes of a table's files for each range of `numbered`.
+RANGE_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,3 +92,23 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], at: str = "at", total: str = "n") -> DataFrame:
+    """``rows`` with their place from 0 in their group by ``order`` (nulls first) and the group's number of rows.
+
+    Rows are dealt out by ranges of (group, order), so a group of any size is spread over as many tasks as it fills; a place
+    is the rank within the range plus the counts of the group's ranges before. What meets in one task is a range, or the
+    counts of one group's ranges. ``rows`` is read three times, so it should be a table; its group columns hold no nulls.
+    """
+    spark = rows.sparkSession
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of the files, without a scan
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES if size < 1 << 60 else 0)
+    dealt = rows.repartitionByRange(ranges, *(F.col(c).asc_nulls_first() for c in [*group, *order])).withColumn("range", F.spark_partition_id())
+    dealt = materialise(dealt, "ranges")
+    counts = dealt.groupBy(*group, "range").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy(*group)).alias(total))
+    rank = F.row_number().over(Window.partitionBy(*group, "range").orderBy(*(F.col(c).asc_nulls_first() for c in order)))
+    found = dealt.withColumn("rank", rank).join(counts, [*group, "range"])
+    return found.select(*rows.columns, (F.col("rank") - 1 + F.col("before")).alias(at), F.col(total))
