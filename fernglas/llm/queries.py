@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -104,6 +106,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("pii")).alias("spans"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with faults by crc32 of ``conv_id:turn`` modulo 20: 0 drops a row, 1 empties its text, 2 takes its
+    ``[.!?]`` out, 3 repeats it, 4 makes it the user's. A null of any column counts as one space."""
+    part = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    rows = conversations.select("conv_id", "turn", part["role"].alias("role"), part["text"].alias("text"), (F.crc32(F.concat(part["conv_id"], F.lit(":"), part["turn"])) % 20).alias("fault"))
+    rows = rows.where("fault <> 0").withColumn("text", F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")))
+    rows = rows.withColumn("role", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.expr("if(fault = 3, array(0, 1), array(0))"))).drop("col")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repair, reports, with_ids
+
+    conversations = table(spark, sf_dir, "conversations")
+    out = with_ids(reports(materialise(repair(damaged(conversations)), "repaired")), conversations)
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .manifest import COLUMNS, leaf_digest, manifest, verified
 
@@ -116,7 +136,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, pack_conversations, op4_minhash, op5_ann, op6_warc, op7_langid, op8_fingerprint, op9_toxicity, op10_pii, op13_manifest)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, pack_conversations, op4_minhash, op5_ann, op6_warc, op7_langid, op8_fingerprint, op9_toxicity, op10_pii, op12_repair, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

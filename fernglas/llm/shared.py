@@ -112,3 +112,19 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], at: str = "at"
     rank = F.row_number().over(Window.partitionBy(*group, "range").orderBy(*(F.col(c).asc_nulls_first() for c in order)))
     found = dealt.withColumn("rank", rank).join(counts, [*group, "range"])
     return found.select(*rows.columns, (F.col("rank") - 1 + F.col("before")).alias(at), F.col(total))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, columns: list[str], by: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` of ``table``, which has one row a key and, in ``weight``, how many of ``rows`` have the key;
+    null where it has none. Keys of at least a HOT_NODES-th of those rows, of which there are at most HOT_NODES, are broadcast
+    and their rows are dealt out over all tasks by the columns ``by`` (no random number, which would differ when a task is run
+    again); the others meet in a shuffle. ``table`` is read three times, so it should be a table; keys hold no nulls."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    least = -(-total // HOT_NODES)
+    hot = table.where(F.col(weight) >= least).select(*keys, F.lit(True).alias("is_hot"), *(F.col(c).alias(f"hot_{c}") for c in columns))
+    spread = rows.join(F.broadcast(hot), keys, "left")
+    spread = spread.withColumn("spread", F.when(F.col("is_hot"), 1 + F.pmod(F.xxhash64(*by), F.lit(HOT_NODES)).cast("int")).otherwise(0))
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")  # a constant would be taken out of the join's keys, and the spreading with it
+    rest = table.where(F.col(weight) < least).select(*keys, zero.alias("spread"), *columns)
+    met = spread.join(rest, [*keys, "spread"], "left")
+    return met.select(*rows.columns, *(F.coalesce(F.col(f"hot_{c}"), F.col(c)).alias(c) for c in columns))
