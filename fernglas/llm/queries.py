@@ -106,6 +106,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("pii")).alias("spans"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """``conversations`` with faults by crc32 of ``conv_id:turn`` modulo 20: 0 drops a row, 1 empties its text, 2 takes its
     ``[.!?]`` out, 3 repeats it, 4 makes it the user's. A null of any column counts as one space."""
@@ -136,7 +142,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, pack_conversations, op4_minhash, op5_ann, op6_warc, op7_langid, op8_fingerprint, op9_toxicity, op10_pii, op12_repair, op13_manifest)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_packing, pack_conversations, op4_minhash, op5_ann, op6_warc, op7_langid, op8_fingerprint, op9_toxicity, op10_pii, op11_repeats, op12_repair, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
