@@ -32,13 +32,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder and read it from there: it cuts the lineage, and a lost executor costs
-    no recomputation of what stands before it."""
+    no recomputation of what stands before it. Returns the folder, too, for `remove`."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """stored() without the folder, which goes when the driver's JVM ends."""
+    return stored(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def files_state(spark: SparkSession, paths: list[str]) -> tuple:
