@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, components, materialise
+from .shared import bound_batches, components, materialise, spread_join
 from .textkit import blocks, mix64, release, shingle_sets
 
 ROWS, BANDS = 5, 40
@@ -43,6 +43,8 @@ MISS = 1e-6
 BATCH = 40
 #: Shingles (and 256 a text) that a block of a large group holds; bounds a task's memory.
 BLOCK_SHINGLES = 1_500_000
+#: Bytes (PLACE_BYTES a row) of where texts go that are broadcast to the texts; beyond it both meet in a shuffle.
+BROADCAST_BYTES, PLACE_BYTES = 32 << 20, 64
 
 _SEEDS = np.random.default_rng(90210)
 _FACTOR = (_SEEDS.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -162,16 +164,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         release()
 
     sketches = materialise(hashed.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, bands array<bigint>, text_hash long"), "sketches")
-    one = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n"))
+    one = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
     one = materialise(one, "vertices")
     buckets = sketches.join(one.select("set_key", F.col("vertex").alias("doc_id")), ["set_key", "doc_id"]).select("doc_id", F.explode("bands").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("most")).where("leader < most").drop("most")
-    ties = buckets.join(leaders, "bucket").where("doc_id <> leader").select("leader", "doc_id").distinct()
-    groups = components(ties, "leader", "doc_id")
+    leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("most"), F.count("*").alias("rows")).where("leader < most").drop("most")
+    ties = spread_join(buckets, materialise(leaders, "leaders"), ["bucket"], "rows", ["leader"], ["doc_id"])
+    groups = materialise(components(ties.where("leader <> doc_id").select("leader", "doc_id").distinct(), "leader", "doc_id"), "groups")
 
-    members = groups.join(one, F.col("node") == F.col("vertex")).select("node", "component", "n")
-    parts = members.groupBy("component").agg(F.ceil(F.sum(F.col("n") + 256) / BLOCK_SHINGLES).cast("int").alias("parts"))
-    members = members.join(parts, "component").select(F.col("node").alias("doc_id"), "component", "parts", "n")
+    parts = groups.join(one, F.col("node") == F.col("vertex")).groupBy("component").agg(F.ceil(F.sum(F.col("n") + 256) / BLOCK_SHINGLES).cast("int").alias("parts"), F.count("*").alias("rows"))
+    members = spread_join(groups, materialise(parts, "parts"), ["component"], "rows", ["parts"], ["node"])
+    members = materialise(members.join(one, F.col("node") == F.col("vertex")).select(F.col("node").alias("doc_id"), "component", "parts", "n"), "members")
     members = members.withColumn("side", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +206,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     def verified(placed: DataFrame) -> DataFrame:
         """Links of ``placed`` (doc_id, component, side, label, others): each text goes to the tasks (side, other)."""
-        sent = placed.join(texts, "doc_id").withColumn("other", F.explode("others"))
+        placed = materialise(placed, "places")
+        small = placed.count() * PLACE_BYTES <= BROADCAST_BYTES
+        sent = texts.join(F.broadcast(placed) if small else placed.hint("shuffle_merge"), "doc_id").withColumn("other", F.explode("others"))
         sent = sent.select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "label", "doc_id", "text")
         sent = sent.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
         return sent.mapInArrow(verify, "a long, b long")
@@ -216,8 +220,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if not parts.where("parts > 1").isEmpty():
         placed = _open_buckets(members.where("parts > 1"), buckets, found)
         found = components(found.select("node", "component").union(verified(placed)), "node", "component")
-    label = one.join(found, F.col("vertex") == F.col("node"), "left").select("set_key", F.coalesce("component", "vertex").alias("label"))
+    label = one.join(found, F.col("vertex") == F.col("node"), "left").select("set_key", "rows", F.coalesce("component", "vertex").alias("component_id"))
     hashes = ["text_hash"] if with_hash else []
-    linked = sketches.where("set_key is not null and doc_id is not null").join(label, "set_key").select("doc_id", "n_shingles", F.col("label").alias("component_id"), *hashes)
+    linked = sketches.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", "set_key", *hashes)
+    linked = spread_join(linked, materialise(label, "labels"), ["set_key"], "rows", ["component_id"], ["doc_id"]).select("doc_id", "n_shingles", "component_id", *hashes)
     alone = sketches.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *hashes)
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, spread_join
 
 #: Groups that a task differences at once.
 GROUPS = 200_000
@@ -73,7 +73,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("text_key"))
     rows = materialise(rows, "shard-rows")
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"))
+    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
@@ -86,7 +86,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
             sums[:, 0] = size[order]
             part = np.empty(size.size, dtype=np.int64)
             part[order] = difference(sums)[:, 0]
-            return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in table.columns), pa.array(np.full(size.size, task + run)), pa.array(part)], names=["text_key", "bytes", "task", "part"])
+            return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in table.columns), pa.array(np.full(size.size, task + run)), pa.array(part)], names=["text_key", "bytes", "rows", "task", "part"])
 
         some, run = [], 0
         for b in batches:
@@ -98,14 +98,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         if sum(map(len, some)):
             yield differenced(some, run)
 
-    local = materialise(groups.mapInArrow(parts, "text_key binary, bytes long, task long, part long"), "shard-parts")
+    local = materialise(groups.mapInArrow(parts, "text_key binary, bytes long, rows long, task long, part long"), "shard-parts")
     found = local.groupBy("task", "part").agg(F.sum("bytes").alias("bytes")).toArrow()  # groups / GROUPS x shards numbers
     tasks, row = np.unique(found["task"].to_numpy(), return_inverse=True)
     sums = np.zeros((tasks.size, shards), dtype=np.int64)
     sums[row, found["part"].to_numpy()] = found["bytes"].to_numpy()
     final = difference(sums)
     of_part = spark.createDataFrame([(t, p, int(final[k, p])) for k, t in enumerate(tasks.tolist()) for p in range(shards)], "task long, part long, shard int")
-    sharded = rows.join(local.join(F.broadcast(of_part), ["task", "part"]).select("text_key", "shard"), "text_key")
+    shard_of = materialise(local.join(F.broadcast(of_part), ["task", "part"]).select("text_key", "rows", "shard"), "shard-of-text")
+    sharded = spread_join(rows, shard_of, ["text_key"], "rows", ["shard"], ["doc_id"])
     return number_slots(sharded.drop("text_key"), "shard")
 
 

@@ -1,34 +1,22 @@
-"""Intermediate tables in the folder that the whole cluster shares, and small DataFrame helpers."""
+"""Small DataFrame helpers of the operators; tables in the shared folder are those of ``fernglas.sources.scratch``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
+from ..sources.scratch import materialise, remove, scratch, shared_dir, stored
+
+__all__ = ["bound_batches", "components", "materialise", "numbered", "scratch", "shared_dir", "spread_join"]
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 2 << 20
-#: Nodes of one row in HOT_NODES or more are hot. Up to SPREAD_FROM rows (of two numbers) in all, one task may have them all.
-HOT_NODES, SPREAD_FROM = 4096, 1_000_000
+#: Keys of one row in HOT_KEYS or more are hot.
+HOT_KEYS = 4096
 #: Bytes of a table's files for each range of `numbered`.
 RANGE_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset and all executors are threads of this machine (tests),
-    a local temporary one; on a cluster an error, as executors would write where nobody else reads."""
-    found = spark.conf.get(_SETTING, None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{_SETTING} must name a folder that the whole cluster shares")
-        found = "file://" + tempfile.mkdtemp(prefix="fernglas-")
-        spark.conf.set(_SETTING, found)
-    return found.rstrip("/")
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches of this session end at BATCH_BYTES: their size in the JVM and in Python workers then doesn't
     depend on how long the texts are. A smaller setting stays. It is left so, as results are computed after an operator has
@@ -37,55 +25,34 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/fernglas/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there: it cuts the lineage, and a lost executor costs
-    no recomputation of what stands before it."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _with_least(rows: DataFrame, least: DataFrame, hot: int) -> DataFrame:
-    """``rows`` (u, v) with m of their u. Nodes of at least ``hot`` rows, of which there are at most HOT_NODES, are broadcast
-    and their rows spread over all tasks; the others meet in a shuffle. hot = 0: all do."""
-    if not hot:
-        return rows.join(least, "u").select("u", "v", "m")
-    few = least.where(F.col("n") >= hot).select("u", F.col("m").alias("hot_m"))
-    spread = rows.join(F.broadcast(few), "u", "left").withColumn("s", F.when(F.col("hot_m").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(HOT_NODES)).cast("int")))
-    zero = F.pmod(F.xxhash64("u"), F.lit(1)).cast("int")  # a constant would be taken out of the join's keys, and the spreading with it
-    rest = least.where(F.col("n") < hot).select("u", zero.alias("s"), "m")
-    return spread.join(rest, ["u", "s"], "left").select("u", "v", F.coalesce("hot_m", "m").alias("m"))
-
-
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph as (node, component), component being the smallest node.
 
     Alternating large-star and small-star rounds: each is one aggregation, with partial sums on the map side, and one join,
-    in which the rows of hot nodes are spread; each round's edges are a table in the shared folder. Null ends are dropped;
-    loops and repeated edges do no harm; without edges the result is empty.
+    in which the rows of hot nodes are spread. Neighbours' minima and edges are tables in the shared folder, and those of a star
+    are removed when the next one is written. Null ends are dropped; loops and repeated edges do no harm; without edges the
+    result is empty.
     """
+    spark = edges.sparkSession
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    now = materialise(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now, old = stored(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = now.agg(F.count("*"), F.lit(None)).first()
+
+    def star(rows: DataFrame, least: DataFrame, total: int, name: str, large: bool) -> tuple[DataFrame, str]:
+        least, where = stored(least, "minima")
+        met = spread_join(rows, least, ["u"], "n", ["m"], ["v"], total)
+        met = (met.where("v > u") if large else met).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        made = stored(met.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
+        remove(spark, where)
+        return made
+
     for _ in range(most_rounds):
-        before, hot = state, -(-2 * state[0] // HOT_NODES) if 2 * state[0] > SPREAD_FROM else 0  # neither star has more rows than twice the edges
+        before, total = state, 2 * state[0]  # neither star has more rows than twice the edges
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both, least, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = materialise(small.where("u <> v").distinct(), "small-star")
+        large, next_to = star(both, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), total, "large-star", True)
+        remove(spark, old)
+        now, old = star(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), total, "small-star", False)
+        remove(spark, next_to)
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
@@ -114,16 +81,17 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], at: str = "at"
     return found.select(*rows.columns, (F.col("rank") - 1 + F.col("before")).alias(at), F.col(total))
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, columns: list[str], by: list[str]) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, columns: list[str], by: list[str], total: int | None = None) -> DataFrame:
     """``rows`` with ``columns`` of ``table``, which has one row a key and, in ``weight``, how many of ``rows`` have the key;
-    null where it has none. Keys of at least a HOT_NODES-th of those rows, of which there are at most HOT_NODES, are broadcast
+    null where it has none. Keys of at least a HOT_KEYS-th of those rows (``total``, or the sum of the weights), of which there are
+    at most HOT_KEYS, are broadcast
     and their rows are dealt out over all tasks by the columns ``by`` (no random number, which would differ when a task is run
     again); the others meet in a shuffle. ``table`` is read three times, so it should be a table; keys hold no nulls."""
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    least = -(-total // HOT_NODES)
+    total = total if total is not None else table.agg(F.sum(weight)).first()[0] or 0
+    least = max(1, -(-total // HOT_KEYS))
     hot = table.where(F.col(weight) >= least).select(*keys, F.lit(True).alias("is_hot"), *(F.col(c).alias(f"hot_{c}") for c in columns))
     spread = rows.join(F.broadcast(hot), keys, "left")
-    spread = spread.withColumn("spread", F.when(F.col("is_hot"), 1 + F.pmod(F.xxhash64(*by), F.lit(HOT_NODES)).cast("int")).otherwise(0))
+    spread = spread.withColumn("spread", F.when(F.col("is_hot"), 1 + F.pmod(F.xxhash64(*by), F.lit(HOT_KEYS)).cast("int")).otherwise(0))
     zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")  # a constant would be taken out of the join's keys, and the spreading with it
     rest = table.where(F.col(weight) < least).select(*keys, zero.alias("spread"), *columns)
     met = spread.join(rest, [*keys, "spread"], "left")

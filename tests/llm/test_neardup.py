@@ -120,11 +120,10 @@ def test_odd_rows(spark):
     assert {r["component_id"] for r in neardup.near_duplicates(table.where("doc_id = 9")).collect()} == {9}
 
 
-@pytest.mark.parametrize("spread", [0, 1_000_000])
-def test_components_of_hot_nodes(spark, monkeypatch, spread):
+@pytest.mark.parametrize("hot", [8, 4096])
+def test_components_of_hot_nodes(spark, monkeypatch, hot):
     """Stars of which one has most edges, chains and pairs, with few rows counting as hot."""
-    monkeypatch.setattr(shared, "HOT_NODES", 8)
-    monkeypatch.setattr(shared, "SPREAD_FROM", spread)
+    monkeypatch.setattr(shared, "HOT_KEYS", hot)
     edges = [(5, k) for k in range(100, 400)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, 2001), (2001, 2001), (None, 3), (399, 2001)]
     got = {r["node"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     want = {k: 5 for k in [5, *range(100, 400), 2000, 2001]} | {k: 1000 for k in range(1000, 1041)}
@@ -132,6 +131,21 @@ def test_components_of_hot_nodes(spark, monkeypatch, spread):
     assert shared.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_hot_buckets_and_sets(spark, monkeypatch, most):
+    """One set that most rows have, one band bucket of many texts, places broadcast or not, and a text of 5 MB with a near copy."""
+    monkeypatch.setattr(shared, "HOT_KEYS", 8)
+    monkeypatch.setattr(neardup, "BROADCAST_BYTES", most)
+    base = [f"w{j}" for j in range(100)]
+    rows = [(k, "the same words again and again") for k in range(200)]
+    rows += [(1000 + k, " ".join([*base, f"own{k}"])) for k in range(60)] + [(2000 + k, f"alone {k} of its kind {k * 7}") for k in range(40)]
+    long = [f"{k * 2654435761 % 1_000_003}" for k in range(750_000)]
+    rows += [(3000, " ".join(long)), (3001, " ".join(long[:-1000]))]
+    assert len(rows[-1][1]) > 5_000_000
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 2).collect()}
+    assert got == {**{k: 0 for k in range(200)}, **{1000 + k: 1000 for k in range(60)}, **{2000 + k: 2000 + k for k in range(40)}, 3000: 3000, 3001: 3000}
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     rows = [(1, "a b c d e f"), (3, "a b c d e f"), (3, "other words in here now"), (3, "other words in here now")]
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), with_hash=True).collect()
