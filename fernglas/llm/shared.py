@@ -13,6 +13,8 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 2 << 20
 #: Keys of one row in HOT_KEYS or more are hot.
 HOT_KEYS = 4096
+#: Nodes (of three numbers) whose minima are broadcast.
+BROADCAST_NODES = 1 << 18
 #: Bytes of a table's files for each range of `numbered`.
 RANGE_BYTES = 32 << 20
 
@@ -28,33 +30,39 @@ def bound_batches(spark: SparkSession) -> None:
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph as (node, component), component being the smallest node.
 
-    Alternating large-star and small-star rounds: each is one aggregation, with partial sums on the map side, and one join,
-    in which the rows of hot nodes are spread. Neighbours' minima and edges are tables in the shared folder, and those of a star
+    Alternating large-star and small-star rounds: each is one aggregation, with partial sums on the map side, and one join:
+    up to BROADCAST_NODES nodes their minima are broadcast, beyond it the rows of hot nodes are spread. Neighbours' minima and edges are tables in the shared folder, and those of a star
     are removed when the next one is written. Null ends are dropped; loops and repeated edges do no harm; without edges the
     result is empty.
     """
     spark = edges.sparkSession
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     now, old = stored(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = now.agg(F.count("*"), F.lit(None)).first()
-
-    def star(rows: DataFrame, least: DataFrame, total: int, name: str, large: bool) -> tuple[DataFrame, str]:
-        least, where = stored(least, "minima")
-        met = spread_join(rows, least, ["u"], "n", ["m"], ["v"], total)
+    total = 2 * now.count()  # neither star has more rows than twice the edges
+
+    def star(rows: DataFrame, least: DataFrame, name: str, large: bool) -> tuple[DataFrame, str]:
+        where = None
+        if total <= BROADCAST_NODES:  # as many nodes at most
+            met = rows.join(F.broadcast(least), "u")
+        else:
+            least, where = stored(least, "minima")
+            met = spread_join(rows, least, ["u"], "n", ["m"], ["v"], total)
         met = (met.where("v > u") if large else met).select(F.col("v").alias("u"), F.col("m").alias("v"))
         made = stored(met.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
-        remove(spark, where)
+        if where:
+            remove(spark, where)
         return made
 
     for _ in range(most_rounds):
-        before, total = state, 2 * state[0]  # neither star has more rows than twice the edges
         both = now.union(now.select("v", "u"))
-        large, next_to = star(both, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), total, "large-star", True)
+        large, next_to = star(both, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "large-star", True)
         remove(spark, old)
-        now, old = star(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), total, "small-star", False)
+        now, old = star(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small-star", False)
         remove(spark, next_to)
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        ends = now.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1))).groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        edges, not_yet = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+        total = 2 * edges
+        if not not_yet:  # every node has one edge, to a node that has none itself
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")

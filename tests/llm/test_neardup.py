@@ -120,10 +120,11 @@ def test_odd_rows(spark):
     assert {r["component_id"] for r in neardup.near_duplicates(table.where("doc_id = 9")).collect()} == {9}
 
 
-@pytest.mark.parametrize("hot", [8, 4096])
-def test_components_of_hot_nodes(spark, monkeypatch, hot):
-    """Stars of which one has most edges, chains and pairs, with few rows counting as hot."""
+@pytest.mark.parametrize(("hot", "nodes"), [(8, 0), (4096, 0), (4096, 1 << 18)])
+def test_components_of_hot_nodes(spark, monkeypatch, hot, nodes):
+    """Stars of which one has most edges, chains and pairs, with few rows counting as hot; minima broadcast or not."""
     monkeypatch.setattr(shared, "HOT_KEYS", hot)
+    monkeypatch.setattr(shared, "BROADCAST_NODES", nodes)
     edges = [(5, k) for k in range(100, 400)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, 2001), (2001, 2001), (None, 3), (399, 2001)]
     got = {r["node"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     want = {k: 5 for k in [5, *range(100, 400), 2000, 2001]} | {k: 1000 for k in range(1000, 1041)}
@@ -135,6 +136,7 @@ def test_components_of_hot_nodes(spark, monkeypatch, hot):
 def test_hot_buckets_and_sets(spark, monkeypatch, most):
     """One set that most rows have, one band bucket of many texts, places broadcast or not, and a text of 5 MB with a near copy."""
     monkeypatch.setattr(shared, "HOT_KEYS", 8)
+    monkeypatch.setattr(shared, "BROADCAST_NODES", most)
     monkeypatch.setattr(neardup, "BROADCAST_BYTES", most)
     base = [f"w{j}" for j in range(100)]
     rows = [(k, "the same words again and again") for k in range(200)]
