@@ -13,10 +13,12 @@ from .functions.exif import normalize_make, normalize_model, parse_taken_at
 from .functions.tags import SCHEMA, read_tags
 from .operators import bm25, evaluate, library, search
 from .operators.filters import FilterSpec, validate
-from .operators.store import ClusteredStore, verify
+from .operators.store import ClusteredStore, usable_rows, verify
+from .schema import MANIFEST
+from .sources.collection import Collection
 from .sources.readers import decode, exists, fetch, read_file, read_judgments, scan_images
 from .sources.scratch import materialise
-from .sources.writers import write_judgments, write_table
+from .sources.writers import write_judgments
 
 SHOWN = 10
 
@@ -47,21 +49,29 @@ def load_files(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 
 def run_index(spark: SparkSession, a: argparse.Namespace) -> list[str]:
-    """Bring a manifest up to date with a folder; --dry-run only tells what would be done."""
+    """Bring a manifest, which is a collection, up to date with a folder; --dry-run only tells what would be done."""
     if not exists(spark, a.root):
         raise SystemExit(f"no folder {a.root}")
     scanned = scan_images(spark, a.root)
-    old = spark.read.parquet(a.manifest) if exists(spark, a.manifest) and not a.reset else library.coerce_manifest(scanned.limit(0))
+    empty = library.coerce_manifest(scanned.limit(0))
+    kept = Collection.open(spark, a.manifest) if exists(spark, a.manifest) else None
+    old = empty if a.reset or kept is None else kept.snapshot()
     plan = materialise(library.plan_changes(scanned, old, a.root), "changes")  # a cached plan would come back in the next run
     counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
     lines = [", ".join(f"{counts.get(k, 0)} {k}" for k in ("new", "changed", "unchanged", "deleted"))]
     for kind in ("new", "changed"):
         lines += [f"  {kind} {r['path']}" for r in plan.where(F.col("action") == kind).orderBy("path").limit(SHOWN).collect()]
     todo = plan.where("action in ('new', 'changed')")
-    if not a.dry_run and (counts.get("new") or counts.get("changed") or counts.get("deleted")):
-        write_table(library.apply_plan(old, plan, load_files(spark, todo) if not todo.isEmpty() else old.limit(0)), a.manifest)
-    if exists(spark, a.manifest):
-        now = spark.read.parquet(a.manifest)
+    if not a.dry_run:
+        kept = kept or Collection.create(spark, a.manifest, MANIFEST)
+        if a.reset:
+            kept.clear()
+        if counts.get("deleted"):
+            kept.delete(plan.where("action = 'deleted'").select("photo_id"))
+        if counts.get("new") or counts.get("changed"):
+            kept.upsert(load_files(spark, todo))
+    now = empty if kept is None else kept.snapshot()
+    if not now.isEmpty():
         s = library.stats(now).first()
         lines.append(f"{s['photos']} photos in {s['folders']} folders, {s['exif_share']:.0%} with camera data")
         lines += [f"  {r['camera_make']}: {r['photos']}" for r in library.top_makes(now).collect()]
@@ -72,12 +82,12 @@ def run_ingest(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     """Build a clustered store, unless it is there, and hold it against exact search."""
     rows = spark.read.parquet(a.corpus)
     store = ClusteredStore.build(rows, a.clusters, a.store) if a.reset else ClusteredStore.get_or_create(rows, a.store, a.clusters)
-    if (there := store.rows.count()) != (given := rows.where("embedding is not null").count()):
+    if (there := store.rows.count()) != (given := usable_rows(rows, store.centres.shape[1]).count() if len(store.centres) else 0):
         raise SystemExit(f"{there} rows stored of {given}")
     lines = [f"{there} rows"]
     if a.verify:
-        probes = rows.where("embedding is not null").orderBy(F.xxhash64("photo_id", F.lit(a.seed)), "photo_id").limit(a.probes).select(F.col("photo_id").alias("query_id"), F.col("embedding").alias("query"))
-        r = verify(store, rows, probes, [FilterSpec(), FilterSpec(iso_max=400), FilterSpec(aperture_max=2.8)], probe=a.probe).first()
+        probes = usable_rows(rows, store.centres.shape[1]).orderBy(F.xxhash64("photo_id", F.lit(a.seed)), "photo_id").limit(a.probes).select(F.col("photo_id").alias("query_id"), F.col("embedding").alias("query"))
+        r = verify(store, rows, probes, [FilterSpec(), FilterSpec(iso_max=400), FilterSpec(aperture_max=2.8)], 10, a.probe).first()
         lines.append(f"largest gap {r['max_gap']:.2e}, mean overlap {r['mean_overlap']:.3f}: {'passed' if r['passed'] else 'FAILED'}")
         if not r["passed"]:
             raise SystemExit("\n".join(lines))

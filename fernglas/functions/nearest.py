@@ -1,4 +1,4 @@
-"""The k best rows of each Arrow batch for a block of query vectors."""
+"""The k best rows of a task for a block of query vectors."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Products that are held at once: rows of a step times queries.
-STEP = 1 << 22
+#: Products that are held at once (rows of a step times queries), and rows of a batch of hits.
+STEP, HITS_BATCH = 1 << 22, 1 << 16
 
 
 def inner_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -20,54 +20,88 @@ def inner_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: pa.Array, dims: int) -> np.ndarray:
-    """Which vectors have ``dims`` components and no null among them."""
+    """Which vectors have ``dims`` components, all of them finite numbers."""
     lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     good = lengths == dims
     values = vectors.flatten()
-    if values.null_count:
-        owner = np.repeat(np.arange(len(vectors)), np.maximum(lengths, 0))
-        good[np.unique(owner[values.is_null().to_numpy(zero_copy_only=False)])] = False
+    bad = ~np.isfinite(values.fill_null(np.nan).to_numpy(zero_copy_only=False))
+    if bad.any():
+        good[np.unique(np.repeat(np.arange(len(vectors)), np.maximum(lengths, 0))[bad])] = False
     return good
 
 
-def best_of(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, row number, score) of the k best rows for each query, ties by id. allowed: (queries x rows)."""
-    rows = []
-    place = np.empty(len(ids), dtype=np.int64)
-    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    for a in range(0, len(q), max(1, STEP // max(1, len(x)))):
-        some = q[a : a + max(1, STEP // max(1, len(x)))]
-        near = some @ x.T  # fast, but its last digits depend on the machine: only for choosing
-        if allowed is not None:
-            near = np.where(allowed[a : a + len(some)], near, -np.inf)
-        if k < len(x):
-            margin = 1e-9 * (1 + np.abs(x).max(initial=0.0) * np.abs(some).max(initial=0.0) * x.shape[1])
-            near = np.where(near >= np.partition(near, len(x) - k, axis=1)[:, len(x) - k][:, None] - margin, near, -np.inf)
-        of, row = np.nonzero(near > -np.inf)
-        score = inner_products(x[row], some[of])
-        order = np.lexsort((place[row], -score, of))
-        of, row, score = of[order], row[order], score[order]
-        first = np.arange(of.size) - np.searchsorted(of, of, side="left") < k
-        rows.append((of[first] + a, row[first], score[first]))
-    return tuple(np.concatenate(c) for c in zip(*rows))
+def matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+    """Usable vectors as rows of doubles."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+
+
+def finite(vectors: list, dims: int | None = None) -> np.ndarray:
+    """Which of a list of vectors hold finite numbers only, ``dims`` of them (of the first such one, if not given)."""
+    good = np.array([v is not None and len(v) > 0 and all(x is not None for x in v) and bool(np.isfinite(np.asarray(v, dtype=np.float64)).all()) for v in vectors], dtype=bool)
+    if dims is None and good.any():
+        dims = len(vectors[int(np.flatnonzero(good)[0])])
+    return good & np.array([v is not None and len(v) == dims for v in vectors], dtype=bool)
+
+
+class Best:
+    """The k best rows so far for each query, by score, then id."""
+
+    def __init__(self, q: np.ndarray, k: int) -> None:
+        self.q, self.k, self.scored = q, k, 0
+        self.of, self.score, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object)
+        self.least = np.full(len(q), -np.inf)  # the k-th score, once there are k
+        self._longest = np.abs(q).max(initial=0.0) * max(1, q.shape[1])
+
+    def add(self, ids: pa.Array, x: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """Rows with their vectors; allowed: (queries x rows)."""
+        margin = 1e-9 * (1 + np.abs(x).max(initial=0.0) * self._longest)
+        step = max(1, STEP // max(1, len(x)))
+        for a in range(0, len(self.q), step):
+            near = self.q[a : a + step] @ x.T  # fast, but its last digits depend on the machine: only for choosing
+            if allowed is not None:
+                near = np.where(allowed[a : a + step], near, -np.inf)
+            self.scored += near.size if allowed is None else int(np.count_nonzero(allowed[a : a + step]))
+            floor = self.least[a : a + step]
+            if self.k < len(x):
+                floor = np.maximum(floor, np.partition(near, len(x) - self.k, axis=1)[:, len(x) - self.k])
+            of, row = np.nonzero((near >= floor[:, None] - margin) & (near > -np.inf))
+            if of.size:
+                self.put(of + a, inner_products(x[row], self.q[of + a]), np.array(ids.take(pa.array(row)).to_pylist(), dtype=object))
+
+    def put(self, of: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Scored rows of some queries; what is no longer among a query's k best goes."""
+        again = np.isin(self.of, of)
+        of, score, ids = (np.concatenate([old[again], new]) for old, new in ((self.of, of), (self.score, score), (self.ids, ids)))
+        place = np.empty(ids.size, dtype=np.int64)
+        place[np.array(sorted(range(ids.size), key=ids.__getitem__), dtype=np.int64)] = np.arange(ids.size)
+        order = np.lexsort((place, -score, of))
+        of, score, ids = of[order], score[order], ids[order]
+        nth = np.arange(of.size) - np.searchsorted(of, of, side="left")
+        self.least[of[nth == self.k - 1]] = score[nth == self.k - 1]
+        kept = nth < self.k
+        self.of, self.score, self.ids = (np.concatenate([old[~again], new[kept]]) for old, new in ((self.of, of), (self.score, score), (self.ids, ids)))
+
+    def hits(self, query_ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        """(query_id, photo_id, score) of what is left."""
+        for a in range(0, self.of.size, HITS_BATCH):
+            part = slice(a, a + HITS_BATCH)
+            yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(self.of[part])), pa.array(self.ids[part], pa.string()), pa.array(self.score[part])], names=["query_id", "photo_id", "score"])
 
 
 def scanner(query_ids: list[str], q: np.ndarray, k: int, probes: np.ndarray | None = None):
     """For mapInArrow over (id, vector) or, with probes (queries x clusters), over (id, vector, cluster): the k best rows of
-    each batch as (query_id, photo_id, score). Vectors that are null, of another length or hold nulls take no part."""
-    names = pa.array(query_ids, pa.string())
+    each task as (query_id, photo_id, score). Vectors that are null, of another length or hold nulls, NaNs or infinities take no
+    part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(q, k)
         for batch in batches:
             good = usable(batch.column(1), q.shape[1])
             if not good.any():
                 continue
             kept = batch if good.all() else batch.filter(pa.array(good))
-            x = kept.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(kept), -1)
-            ids = kept.column(0)
-            allowed = None if probes is None else probes[:, kept.column(2).to_numpy()]
-            of, row, score = best_of(np.array(ids.to_pylist(), dtype=object), x, q, k, allowed)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), ids.take(pa.array(row)), pa.array(score)], names=["query_id", "photo_id", "score"])
+            best.add(kept.column(0), matrix(kept.column(1), q.shape[1]), None if probes is None else probes[:, kept.column(2).to_numpy()])
+        yield from best.hits(pa.array(query_ids, pa.string()))
 
     return run
 

@@ -1,4 +1,5 @@
-"""The service over HTTP: /search, /similar/ID, /by-image, /photo/ID/full and /health, with status codes for what goes wrong."""
+"""The service over HTTP: /api/search, /api/similar/ID, /api/search/by-image, /api/photo/ID/full and /api/health, with status
+codes for what goes wrong."""
 
 from __future__ import annotations
 
@@ -7,7 +8,9 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
 from .operators.filters import FilterSpec
+from .schema import API
 from .service import NotFound, Sources, Unavailable
+from .sources.readers import read_file
 
 #: The status of each kind of error, and the most bytes of an upload.
 STATUS = ((NotFound, 404), (FileNotFoundError, 404), (Unavailable, 503), (NotImplementedError, 501))
@@ -19,7 +22,9 @@ def respond(sources: Sources, method: str, target: str, body: bytes = b"") -> tu
     400; unknown items, files and paths: 404; no corpus: 503; a picture for an encoder of texts: 501."""
     parts = urlsplit(target)
     given = {k: v[-1] for k, v in parse_qs(parts.query, keep_blank_values=True).items()}
-    steps = [unquote(s) for s in parts.path.split("/") if s]
+    if not parts.path.startswith(f"{API}/"):
+        return 404, {"detail": "not found"}
+    steps = [unquote(s) for s in parts.path.removeprefix(API).split("/") if s]
     try:
         service = sources.get(given.get("source"))
         number = lambda name, kind: kind(given[name]) if name in given else None
@@ -33,7 +38,7 @@ def respond(sources: Sources, method: str, target: str, body: bytes = b"") -> tu
             return 200, service.similar(steps[1], k, spec)
         if method == "GET" and len(steps) == 3 and steps[0] == "photo" and steps[2] in ("full", "thumb"):
             return 200, service.file_path(steps[1])
-        if (method, steps) == ("POST", ["by-image"]):
+        if (method, steps) == ("POST", ["search", "by-image"]):
             if len(body) > UPLOAD:
                 return 413, {"detail": "the upload is too large"}
             return 200, service.search_by_image(given.get("name", "upload"), body, k, spec)
@@ -41,7 +46,7 @@ def respond(sources: Sources, method: str, target: str, body: bytes = b"") -> tu
     except tuple(kind for kind, _ in STATUS) as e:
         return next(code for kind, code in STATUS if isinstance(e, kind)), {"detail": str(e)}
     except ValueError as e:
-        return 400 if steps == ["by-image"] and "image" in str(e) else 422, {"detail": str(e)}
+        return 400 if steps == ["search", "by-image"] and "image" in str(e) else 422, {"detail": str(e)}
 
 
 def server(sources: Sources, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
@@ -52,8 +57,7 @@ def server(sources: Sources, host: str = "127.0.0.1", port: int = 8000) -> Threa
             length = int(self.headers.get("Content-Length") or 0)
             code, answer = respond(sources, method, self.path, self.rfile.read(min(length, UPLOAD + 1)))
             if isinstance(answer, str):
-                with open(answer, "rb") as f:
-                    data, kind = f.read(), "application/octet-stream"
+                data, kind = read_file(answer), "application/octet-stream"
             else:
                 data, kind = json.dumps(answer).encode(), "application/json"
             self.send_response(code)

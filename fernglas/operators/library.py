@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, parent_folder
-from ..schema import MANIFEST
+from ..schema import API, MANIFEST
 from .filters import has_exif, under_root
 
 #: Fixed value: times that differ by less are the same.
@@ -24,7 +24,7 @@ def plan_changes(scanned: DataFrame, manifest: DataFrame, root: str) -> DataFram
 
 def library_rows(files: DataFrame) -> DataFrame:
     """Display rows of local files."""
-    url = lambda kind: F.concat(F.lit("/api/photo/"), F.col("photo_id"), F.lit(f"/{kind}"))
+    url = lambda kind: F.concat(F.lit(f"{API}/photo/"), F.col("photo_id"), F.lit(f"/{kind}"))
     return files.withColumns({"photo_image_url": url("thumb"), "photo_url": url("full"), "photographer": parent_folder(F.col("path")), "photo_description": file_name(F.col("path"))})
 
 

@@ -1,24 +1,27 @@
 """Exact filtered top-k similarity search. Order is always score descending, then id.
 
 Rows are filtered in the scan, and id and vector alone go to the Python workers in Arrow batches, where one matrix product
-scores a batch for all queries; only the best k rows of a batch leave it, k rows a query. Display columns are joined to the
-rows that are left. Many queries go block by block, of at most QUERIES_BLOCK rows and HITS_BLOCK hits a batch, so that what
-is sent and held stays bounded whatever the number of queries.
+scores a batch for all queries; a task keeps the best k rows a query over all its batches, and only they leave it. Display
+columns are joined to the rows that are left. Many queries go block by block, of at most QUERIES_BLOCK rows and HITS_BLOCK hits
+a task, so that what is sent and held stays bounded whatever the number of queries.
 
-Vectors that are null, of another length than the query or hold nulls are never found.
+Vectors that are null, of another length than the query or hold nulls, NaNs or infinities are never found. A query vector must
+be finite; of many queries those that aren't, or whose length is not that of most of their block, find nothing.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nearest import HITS, scanner
+from ..functions.nearest import HITS, finite, scanner
 from ..functions.text import photographer
 from ..schema import EXIF, RESULT
+from ..sources.collection import Collection
 from ..sources.scratch import materialise
 from .filters import FilterSpec, has_any_number, has_exif
 
@@ -49,6 +52,8 @@ def search(corpus: DataFrame, query, k: int = 12, filters: FilterSpec | None = N
 
 def hits(rows: DataFrame, query, k: int) -> DataFrame:
     """(photo_id, score) of the k best rows."""
+    if not finite([query])[0]:
+        raise ValueError("a query vector holds finite numbers only")
     found = rows.select(ID, VECTOR).mapInArrow(scanner([""], np.asarray([query], dtype=np.float64), max(1, k)), HITS)
     return top_k(found.select(ID, "score"), k)
 
@@ -59,25 +64,30 @@ def with_display(hits: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return corpus.drop(VECTOR).join(found, ID).select(*result_columns()).orderBy(F.col("score").desc(), ID)
 
 
-def stored_vector(corpus: DataFrame, photo_id: str) -> list[float] | None:
-    row = corpus.where(F.col(ID) == photo_id).select(VECTOR).first()
-    return None if row is None else list(row[0])
+def stored_vector(corpus: DataFrame | Collection, photo_id: str) -> list[float] | None:
+    """The vector of an item; unknown or without a vector: None. Of a collection one file is read, of a table all."""
+    row = corpus.lookup(photo_id) if isinstance(corpus, Collection) else corpus.where(F.col(ID) == photo_id).select(VECTOR).first()
+    return None if row is None or row[VECTOR] is None else list(row[VECTOR])
 
 
-def similar(corpus: DataFrame, photo_id: str, k: int = 12, filters: FilterSpec | None = None) -> DataFrame | None:
-    """Neighbours of a stored item, itself left out by id; unknown: None. Filters hold for neighbours, not for the item."""
-    found = stored_vector(corpus, photo_id)
+def similar(corpus: DataFrame, photo_id: str, k: int = 12, filters: FilterSpec | None = None, stored: Collection | None = None) -> DataFrame | None:
+    """Neighbours of a stored item, itself left out by id; unknown: None. Filters hold for neighbours, not for the item.
+    stored: a collection of the same rows, from which the item's vector is looked up."""
+    found = stored_vector(corpus if stored is None else stored, photo_id)
     return None if found is None else search(corpus, found, k, filters, photo_id)
 
 
-def query_blocks(queries: DataFrame, k: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    """The queries (query_id, query) in order of their ids, in blocks that the driver holds one at a time."""
+def query_blocks(queries: DataFrame, k: int) -> Iterator[tuple[list[str], np.ndarray, bool]]:
+    """The queries (query_id, query) in order of their ids, in blocks that the driver holds one at a time; whether more
+    may come."""
     most, last = max(1, min(QUERIES_BLOCK, HITS_BLOCK // max(1, k))), None
     while True:
         more = queries if last is None else queries.where(F.col("query_id") > last)
-        block = more.select("query_id", "query").where("query_id is not null and query is not null").orderBy("query_id").limit(most).collect()  # at most QUERIES_BLOCK
-        if block:
-            yield [r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64)
+        block = more.select("query_id", "query").where("query_id is not null").orderBy("query_id").limit(most).collect()  # at most QUERIES_BLOCK
+        lengths = Counter(len(r[1]) for r in block if r[1])
+        good = finite([r[1] for r in block], lengths.most_common(1)[0][0] if lengths else 0)
+        if good.any():
+            yield [r[0] for r, g in zip(block, good) if g], np.array([r[1] for r, g in zip(block, good) if g], dtype=np.float64), len(block) == most
         if len(block) < most:
             return
         last = block[-1][0]
@@ -90,12 +100,17 @@ def search_many(corpus: DataFrame, queries: DataFrame, k: int, filters: FilterSp
     return ranked_blocks(queries, k, lambda ids, q: rows.mapInArrow(scanner(ids, q, k), HITS))
 
 
-def ranked_blocks(queries: DataFrame, k: int, scan: Callable[[list[str], np.ndarray], DataFrame]) -> DataFrame:
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, with their ranks."""
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), ID)
-    most, found = max(1, min(QUERIES_BLOCK, HITS_BLOCK // max(1, k))), None
-    for ids, q in query_blocks(queries, k):
-        best = scan(ids, q).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", ID, "score")
-        if found is not None or len(ids) == most:
+    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", ID, "score")
+
+
+def ranked_blocks(queries: DataFrame, k: int, scan: Callable[[list[str], np.ndarray], DataFrame]) -> DataFrame:
+    found = None
+    for ids, q, more in query_blocks(queries, k):
+        best = ranked(scan(ids, q), k)
+        if found is not None or more:
             best = materialise(best, "hits")
         found = best if found is None else found.union(best)
     return found if found is not None else queries.sparkSession.createDataFrame([], "query_id string, rank int, photo_id string, score double")

@@ -339,19 +339,60 @@ _add("snk12_states", lambda s, d: library.file_states(views.scanned(s, d).withCo
 # ---- approximate store and encoders: no SQL says what they return ----
 
 
-#: Of 16 clusters; on these vectors, which have little structure, 8 share 0.84 of the first ten with exact search, 10 0.88, 12 0.95.
+#: Least clusters probed, of as many as the square root of the rows; these vectors have little structure.
 PROBE = 12
 _PARITY_FILTERS = [FilterSpec(), FilterSpec(iso_max=3200), FilterSpec(aperture_max=8, focal_min=10)]
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.query_vectors(spark, sf_dir).select("query_id", "query")
+
+
+def _ranked_sql(k: int, where: str) -> str:
+    scores = f"select query_id, photo_id, {_DOT.format('embedding', 'query')} as score from corpus, q where {where}"
+    rank = "cast(row_number() over (partition by query_id order by score desc, photo_id) as integer)"
+    return f"{_MANY} select query_id, {rank} as rank, photo_id, round(score, 6) as score from ({scores}) qualify rank <= {k}"
+
+
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = views.clustered_store(spark, sf_dir)
-    return _rounded(store.search_many(views.query_vectors(spark, sf_dir).select("query_id", "query"), 10, FilterSpec(iso_max=3200), PROBE), "score")
+    return _rounded(store.search_many(_asked(spark, sf_dir), 10, FilterSpec(iso_max=3200), PROBE), "score")
+
+
+def _certain(spec: FilterSpec) -> Query:
+    """Probing that goes on until the hits are certain."""
+    return lambda spark, sf_dir: _rounded(views.clustered_store(spark, sf_dir).search_many(_asked(spark, sf_dir), 10, spec, 4, certain=True), "score")
 
 
 def _parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = views.query_vectors(spark, sf_dir).select("query_id", "query")
-    return _rounded(verify(views.clustered_store(spark, sf_dir), views.corpus(spark, sf_dir), probes, _PARITY_FILTERS, 10, PROBE), "max_gap", "mean_overlap")
+    return _rounded(verify(views.clustered_store(spark, sf_dir), views.corpus(spark, sf_dir), _asked(spark, sf_dir), _PARITY_FILTERS, 10, PROBE), "max_gap", "mean_overlap")
+
+
+def _graph_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(verify(views.graph_store(spark, sf_dir), views.corpus(spark, sf_dir), _asked(spark, sf_dir), _PARITY_FILTERS, 10), "max_gap", "mean_overlap")
+
+
+_add("ret2_certain", _certain(FilterSpec(iso_max=3200)), _ranked_sql(10, "iso <= 3200"))
+_add("ret2_certain_make", _certain(FilterSpec(camera_make="Brand#13 O'Neil-Corp")), _ranked_sql(10, "lower(camera_make) = 'brand#13 o''neil-corp'"))
+_add("ret2_graph", lambda s, d: _rounded(views.graph_store(s, d).search_many(_asked(s, d), 10, FilterSpec(iso_max=3200)), "score"))
+_add("ret9_graph_parity", _graph_parity)
+_ODD = "vec_id % 11 <> 3 and vec_id % 13 <> 5 and vec_id % 17 <> 7 and vec_id % 19 <> 9 and vec_id % 23 <> 4"
+_add("jn2_odd_vectors", lambda s, d: _rounded(search.search_many(views.odd_corpus(s, d), _asked(s, d), 10), "score"), _ranked_sql(10, _ODD))
+
+# ---- collections ----
+
+
+def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest after a run, kept as a collection: deletions, then an upsert."""
+    kept, plan = views.manifest_collection(spark, sf_dir), _plan(spark, sf_dir)
+    kept.delete(plan.where("action = 'deleted'").select("photo_id"))
+    kept.upsert(library.coerce_manifest(library.library_rows(plan.where("action in ('new', 'changed')").where("size % 3 <> 0"))))
+    return kept.snapshot().select("photo_id", "path", "mtime", "size", "photographer", "photo_description", "photo_width", "iso")
+
+
+_add("snk6_collection", _collected, _SQL["snk6_merged"])
+_LOOKED_UP = ["photo_id", "photo_url", "aperture", "focal_length", "iso", "camera_make"]
+_add("jn5_lookup", lambda s, d: views.photo_collection(s, d).lookups(["3", "77", "412", "none"]).select(*_LOOKED_UP), f"{_CORPUS} select {', '.join(_LOOKED_UP)} from corpus where photo_id in ('3', '77', '412', 'none')")
 
 
 def _half(spark: SparkSession, sf_dir: str) -> DataFrame:

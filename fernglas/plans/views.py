@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import caption, photo_id_for
 from ..operators import bm25
+from ..operators.graph import GraphStore
+from ..operators.library import coerce_manifest
 from ..operators.store import ClusteredStore
+from ..sources.collection import Collection
 from ..sources.prepare import parse_exif
+from ..sources.readers import exists
 from ..sources.scratch import made_once, scratch
 
 #: Columns of the raw corpus over embeddings left join part on p_partkey = vec_id.
@@ -108,12 +112,48 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.union(other).withColumn("photo_id", photo_id_for(F.col("path")))
 
 
-def clustered_store(spark: SparkSession, sf_dir: str, clusters: int = 16) -> ClusteredStore:
+def clustered_store(spark: SparkSession, sf_dir: str, clusters: int | None = None) -> ClusteredStore:
     """The corpus in a partitioned table, built once."""
-    key = (spark.sparkContext.applicationId, sf_dir, clusters)
+    return ClusteredStore.get_or_create(corpus(spark, sf_dir), _folder(spark, "store", sf_dir, clusters), clusters)
+
+
+def graph_store(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The corpus with links between near rows, built once."""
+    path = _folder(spark, "graph", sf_dir)
+    return GraphStore.open(spark, path) if exists(spark, f"{path}/graph") else GraphStore.build(corpus(spark, sf_dir), path)
+
+
+def photo_collection(spark: SparkSession, sf_dir: str) -> Collection:
+    """The corpus as a collection, filled once."""
+    rows = corpus(spark, sf_dir)
+    made = Collection.open_or_create(spark, _folder(spark, "collection", sf_dir), rows.schema)
+    if not made.entry()["version"]:
+        made.upsert(rows)
+        made.compact()
+    return made
+
+
+def manifest_collection(spark: SparkSession, sf_dir: str) -> Collection:
+    """A new collection that holds the manifest."""
+    rows = coerce_manifest(manifest(spark, sf_dir))
+    made = Collection.create(spark, scratch(spark, "manifest"), rows.schema)
+    made.upsert(rows)
+    return made
+
+
+def odd_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with vectors that can't be searched among the others: NaN, infinite and null components, short ones, none."""
+    n, v = F.col("vec_id"), F.col("embedding")
+    with_first = lambda x: F.concat(F.array(F.lit(x).cast("float")), F.slice(v, 2, 1000))
+    odd = F.when(n % 11 == 3, with_first(float("nan"))).when(n % 13 == 5, with_first(float("inf"))).when(n % 17 == 7, with_first(None)).when(n % 19 == 9, F.slice(v, 1, 5)).when(n % 23 == 4, None).otherwise(v)
+    return corpus(spark, sf_dir).withColumn("embedding", odd)
+
+
+def _folder(spark: SparkSession, name: str, sf_dir: str, *more) -> str:
+    key = (spark.sparkContext.applicationId, name, sf_dir, *more)
     if key not in _STORES:
-        _STORES[key] = scratch(spark, "store")
-    return ClusteredStore.get_or_create(corpus(spark, sf_dir), _STORES[key], clusters)
+        _STORES[key] = scratch(spark, name)
+    return _STORES[key]
 
 
 _STORES: dict[tuple, str] = {}

@@ -35,3 +35,6 @@ MANIFEST = T.StructType(
 )
 JUDGMENTS = T.MapType(T.StringType(), T.StructType([T.StructField("query", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("judged", T.ArrayType(T.StringType())), T.StructField("relevant", T.ArrayType(T.StringType()))]))
 QUERIES = T.StructType([T.StructField("id", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("query", T.StringType()), T.StructField("rephrasings", T.ArrayType(T.StringType()))])
+
+#: Where the service's paths begin, in the URLs of rows and on the server.
+API = "/api"

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .operators import search as exact
 from .operators.filters import FilterSpec, validate
+from .operators.graph import GraphStore
 from .operators.store import ClusteredStore
+from .sources.collection import Collection
 from .sources.readers import exists
 
 
@@ -86,7 +88,7 @@ def open_exact(spark: SparkSession, path: str) -> ExactStore:
 
 #: Encoders by kind (a class) and stores by kind (opened from a session and a path); applications register theirs.
 ENCODERS: dict[str, Callable[..., Encoder]] = {"stub": StubEncoder}
-STORES: dict[str, Callable[..., ExactStore | ClusteredStore]] = {"exact": open_exact, "clustered": ClusteredStore.open}
+STORES: dict[str, Callable[..., ExactStore | ClusteredStore | GraphStore]] = {"exact": open_exact, "clustered": ClusteredStore.open, "graph": GraphStore.open}
 
 
 def _of_kind(known: dict, kind: str | None, variable: str, default: str):
@@ -101,7 +103,7 @@ def load_encoder(kind: str | None = None, *args, **kwargs) -> Encoder:
     return _of_kind(ENCODERS, kind, "FERNGLAS_ENCODER", "stub")(*args, **kwargs)
 
 
-def load_store(spark: SparkSession, path: str, kind: str | None = None) -> ExactStore | ClusteredStore:
+def load_store(spark: SparkSession, path: str, kind: str | None = None) -> ExactStore | ClusteredStore | GraphStore:
     """The store at ``path`` of ``kind``, or of that in FERNGLAS_STORE."""
     return _of_kind(STORES, kind, "FERNGLAS_STORE", "exact")(spark, path)
 
@@ -115,8 +117,9 @@ def store_kind(store: object) -> str:
 class SearchService:
     corpus: DataFrame
     encoder: Encoder
-    store: ExactStore | ClusteredStore | None = None  # exact search over the corpus
+    store: ExactStore | ClusteredStore | GraphStore | None = None  # exact search over the corpus
     source: str = "photos"
+    collection: Collection | None = None  # of the same rows, for lookups by id
 
     def __post_init__(self) -> None:
         self.store = self.store or ExactStore(self.corpus)
@@ -143,7 +146,7 @@ class SearchService:
 
     def similar(self, photo_id: str, k: int = 12, spec: FilterSpec = FilterSpec()) -> dict:
         validate(None, k, spec)
-        vector = exact.stored_vector(self.corpus, photo_id)
+        vector = exact.stored_vector(self.collection or self.corpus, photo_id)
         if vector is None:
             raise NotFound(photo_id)
         return self._timed(f"similar:{photo_id}", vector, 0.0, k, spec, photo_id)
@@ -154,7 +157,9 @@ class SearchService:
 
     def file_path(self, photo_id: str) -> str:
         """The file of an item of the corpus, which must still be there."""
-        row = self.corpus.where(F.col("photo_id") == photo_id).select("path").first() if "path" in self.corpus.columns else None
+        row = None
+        if "path" in self.corpus.columns:
+            row = self.collection.lookup(photo_id) if self.collection else self.corpus.where(F.col("photo_id") == photo_id).select("path").first()
         if row is None or row["path"] is None or not exists(self.corpus.sparkSession, row["path"]):
             raise NotFound(photo_id)
         return row["path"]

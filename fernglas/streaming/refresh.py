@@ -1,4 +1,4 @@
-"""A stream of files into an index: each micro-batch is upserted by id. Deletions need the snapshot difference."""
+"""A stream of files into an index: each micro-batch is one upsert of a collection. Deletions need the snapshot difference."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import photo_id_for
-from ..operators.library import coerce_manifest, library_rows, upsert
-from ..sources.readers import exists
-from ..sources.writers import write_table
+from ..operators.library import coerce_manifest, library_rows
+from ..sources.collection import Collection
 
 
 def follow_files(spark: SparkSession, root: str) -> DataFrame:
@@ -20,12 +19,11 @@ def follow_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(path.alias("path"), (F.unix_millis("modificationTime") / 1000.0).alias("mtime"), F.col("length").alias("size"), photo_id_for(path).alias("photo_id"))
 
 
-def refresh(stream: DataFrame, manifest: str, checkpoint: str, load: Callable[[DataFrame], DataFrame] = library_rows):
-    """Keep ``manifest`` up to date. A batch that is run again after a failure changes nothing more."""
+def refresh(stream: DataFrame, manifest: Collection, checkpoint: str, load: Callable[[DataFrame], DataFrame] = library_rows):
+    """Keep the collection ``manifest`` up to date: each micro-batch is one change of it, of the batch's size. A batch that is run
+    again after a failure changes nothing more."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = coerce_manifest(load(batch.dropDuplicates(["photo_id"])))
-        write_table(upsert(spark.read.parquet(manifest), new) if exists(spark, manifest) else new, manifest)
+    def merge(batch: DataFrame, number: int) -> None:
+        manifest.upsert(coerce_manifest(load(batch.dropDuplicates(["photo_id"]))), f"{checkpoint} {number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

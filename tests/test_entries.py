@@ -20,9 +20,11 @@ from fernglas.operators import evaluate, library, search
 from fernglas.plans import views
 from fernglas import service as layer
 from fernglas.functions import blurhash
+from fernglas.operators.graph import GraphStore
 from fernglas.operators.store import ClusteredStore
 from fernglas.service import SearchService, Sources, StubEncoder
 from fernglas.sources import fetch, readers, writers
+from fernglas.sources.collection import Collection
 
 SF = "/root/testdata/sf0.01"
 
@@ -102,7 +104,7 @@ def test_cli_index(spark, tmp_path):
     assert run("--dry-run")[0].startswith("3 new") and not (tmp_path / "m").exists()
     lines = run()
     assert lines[0].startswith("3 new, 0 changed") and "2 photos in 1 folders, 50% with camera data" in lines and "  Nikon Corporation: 1" in lines
-    rows = {r["photo_description"]: r for r in spark.read.parquet(str(tmp_path / "m")).collect()}
+    rows = {r["photo_description"]: r for r in Collection.open(spark, str(tmp_path / "m")).snapshot().collect()}
     assert sorted(rows) == ["a.jpg", "c.gif"]  # what is no picture comes again next time
     assert rows["a.jpg"]["taken_at"] == "2024-07-14 18:32:01" and rows["a.jpg"]["photo_width"] == 640 and rows["c.gif"]["iso"] is None
     assert run()[0] == "1 new, 0 changed, 2 unchanged, 0 deleted"
@@ -186,20 +188,23 @@ def test_http(spark):
     s = web.server(sources, port=0)
     threading.Thread(target=s.serve_forever, daemon=True).start()
     try:
-        with urllib.request.urlopen(f"http://127.0.0.1:{s.server_port}/search?q=dog&k=3") as r:
+        with urllib.request.urlopen(f"http://127.0.0.1:{s.server_port}/api/search?q=dog&k=3") as r:
             answer = json.load(r)
+        own = library.library_rows(rows.where("photo_id = '3'")).first()  # a row's own address is answered
+        with urllib.request.urlopen(f"http://127.0.0.1:{s.server_port}{own['photo_url']}") as r:
+            assert r.status == 200 and b"def test_http" in r.read()
         assert answer["count"] == 3 and answer["results"][0]["photo_id"] == "0" and answer["filtered"] is False
     finally:
         s.shutdown()
-    codes = {t: web.respond(sources, "GET", t)[0] for t in ("/health", "/search?q=", "/search?q=dog&k=99", "/search?q=dog&iso_max=x", "/similar/3?k=2", "/similar/none", "/photo/3/full", "/photo/none/full", "/nothing", "/search?q=dog&source=other")}
-    assert list(codes.values()) == [200, 422, 422, 422, 200, 404, 200, 404, 404, 404]
+    codes = {t: web.respond(sources, "GET", t)[0] for t in ("/api/health", "/api/search?q=", "/api/search?q=dog&k=99", "/api/search?q=dog&iso_max=x", "/api/similar/3?k=2", "/api/similar/none", "/api/photo/3/full", "/api/photo/none/full", "/api/nothing", "/api/search?q=dog&source=other", "/health")}
+    assert list(codes.values()) == [200, 422, 422, 422, 200, 404, 200, 404, 404, 404, 404]
     gone = SearchService(rows.withColumn("path", F.lit("/nowhere/a.jpg")), service.encoder)
-    assert web.respond(Sources({"photos": gone}), "GET", "/photo/3/full")[0] == 404
-    health = web.respond(sources, "GET", "/health")[1]
+    assert web.respond(Sources({"photos": gone}), "GET", "/api/photo/3/full")[0] == 404
+    health = web.respond(sources, "GET", "/api/health")[1]
     assert (health["store"], health["source"], health["encoder"], health["supports_images"]) == ("exact", "photos", "stubencoder", True)
-    assert web.respond(sources, "POST", "/by-image?k=2", b"img")[0] == 200 and web.respond(sources, "POST", "/by-image", b"x")[0] == 400
-    assert web.respond(Sources({"photos": SearchService(rows, StubEncoder({}))}), "POST", "/by-image", b"x")[0] == 501
-    assert web.respond(Sources({}), "GET", "/health")[0] == 503
+    assert web.respond(sources, "POST", "/api/search/by-image?k=2", b"img")[0] == 200 and web.respond(sources, "POST", "/api/search/by-image", b"x")[0] == 400
+    assert web.respond(Sources({"photos": SearchService(rows, StubEncoder({}))}), "POST", "/api/search/by-image", b"x")[0] == 501
+    assert web.respond(Sources({}), "GET", "/api/health")[0] == 503
 
 
 def test_downloads(tmp_path):
@@ -245,19 +250,20 @@ def test_stores_and_encoders_by_kind(spark, tmp_path, monkeypatch):
     rows = views.corpus(spark, SF)
     rows.write.parquet(str(tmp_path / "c"))
     ClusteredStore.build(rows, 4, str(tmp_path / "s"))
+    GraphStore.build(rows, str(tmp_path / "g"))
     vector = search.stored_vector(rows, "3")
-    for path, kind in (("c", "exact"), ("s", "Clustered ")):
+    for path, kind in (("c", "exact"), ("g", "graph"), ("s", "Clustered ")):
         store = layer.load_store(spark, str(tmp_path / path), kind)
         answer = SearchService(rows, StubEncoder({}), store).similar("3", 4)
         assert answer["store"] == kind.strip().lower() and answer["count"] == 4 and "3" not in [r["photo_id"] for r in answer["results"]]
     assert store.search(vector, 1).first()["photo_id"] == "3"
     monkeypatch.setenv("FERNGLAS_STORE", "clustered")
     assert layer.store_kind(layer.load_store(spark, str(tmp_path / "s"))) == "clustered"
-    with pytest.raises(ValueError, match="clustered, exact"):
+    with pytest.raises(ValueError, match="clustered, exact, graph"):
         layer.load_store(spark, str(tmp_path / "c"), "other")
     with pytest.raises(ValueError, match="stub"):
         layer.load_encoder("other")
-    for kind in ("exact", "clustered"):
+    for kind in ("exact", "clustered", "graph"):
         with pytest.raises(FileNotFoundError):
             layer.load_store(spark, str(tmp_path / "none"), kind)
 

@@ -181,13 +181,15 @@ def test_sources(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
+    from fernglas.sources.collection import Collection
     from fernglas.streaming.refresh import follow_files, refresh
 
+    kept = Collection.create(spark, str(tmp_path / "m"), schema.MANIFEST)
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jpg").write_bytes(b"1")
     for n in (1, 2):
-        refresh(follow_files(spark, str(tmp_path / "in")), str(tmp_path / "m"), str(tmp_path / "c")).awaitTermination(120)
-        assert spark.read.parquet(str(tmp_path / "m")).count() == n
+        refresh(follow_files(spark, str(tmp_path / "in")), kept, str(tmp_path / "c")).awaitTermination(120)
+        assert kept.snapshot().count() == n
         (tmp_path / "in/b.jpg").write_bytes(b"2")
 
 

