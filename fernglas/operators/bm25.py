@@ -4,16 +4,24 @@ score = sum over query tokens (repeats count) of idf(t) * f * (k1 + 1) / (f + k1
 idf(t) = ln(N - n + 0.5) - ln(n + 0.5); a negative idf is replaced by EPSILON times the mean idf of the vocabulary.
 N and the average length count empty documents. Only positive scores are returned.
 
-Texts are tokenised once, into postings (key, length, term, f) that are a table; document frequencies and averages are
-counted from it. A search reads the postings of its own terms: few terms are pushed down to the scan, and all joins are
-left to the planner, which broadcasts a side only by its size. Keys are distinct; rows of a null key are left out.
+Texts are tokenised once, into postings (key, length, term, f). They are stored a second time by term, in blocks: the documents of
+a term in one slice (documents are dealt out to slices of about SLICE by a hash of the key), with the greatest f and the least
+length, which bound what the block can add to a score. Blocks lie in the order of terms, so a search of few terms reads the row
+groups of its terms, and a word that every document has is many blocks. A search brings the blocks of its terms together by slice.
+A task adds up a slice term by term, those that can add most first; once the k-th score so far is more than all terms left can add
+to a document, only documents that still may reach it are looked up in them.
+
+An index is changed without tokenising what stays: document frequencies, lengths and blocks of new documents are added, documents
+that go are marked in the blocks and taken out of the counts. Keys are distinct; rows of a null key are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +29,10 @@ from ..functions.text import tokenize
 from ..sources.scratch import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Terms up to which a search pushes them down to the scan.
-PUSHED = 2000
+#: Terms up to which a search pushes them down to the scan; queries of a block; documents of a slice.
+PUSHED, QUERIES_BLOCK, SLICE = 2000, 512, 1024
+#: Terms after which a slice's k-th score is looked at, for the first time.
+LOOK = 8
 
 
 def tokens_of(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -42,49 +52,188 @@ def _idf(df: DataFrame, documents: int, epsilon: float) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """What a search needs: (key, length, terms) of all documents, (key, length, term, f) and (term, df, idf)."""
+    """What a search needs: (key, length, terms) of all documents, (key, length, term, f), (term, df, idf), and blocks (term, slice,
+    part, most_f, least_length, keys, fs, lengths). A block of a null term marks keys that are gone from earlier parts."""
 
     lengths: DataFrame
     postings: DataFrame
     terms: DataFrame
+    blocks: DataFrame
+    slices: int
+    part: int = 0
 
 
-def build_index(docs: DataFrame, key: str, text: Column, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None, epsilon: float = EPSILON) -> Index:
-    """Tokenise ``docs`` in one pass. keep(name, make) stores a table and gives it back; by default in the shared folder."""
-    keep = keep or (lambda name, make: materialise(make(), name))
+def _postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    tokens = tokens_of(docs.where(F.col(key).isNotNull()), key, text)
+    # a document's tokens lie together, so partial sums on the map side leave a row a term
+    return tokens.select("key", "length", F.explode_outer("tokens").alias("term")).groupBy("key", "length", "term").agg(F.count("*").alias("f"))
 
-    def postings() -> DataFrame:
-        tokens = tokens_of(docs.where(F.col(key).isNotNull()), key, text)
-        # a document's tokens lie together, so partial sums on the map side leave a row a term
-        return tokens.select("key", "length", F.explode_outer("tokens").alias("term")).groupBy("key", "length", "term").agg(F.count("*").alias("f"))
 
-    rows = keep("postings", postings)
-    lengths = rows.groupBy("key", "length").agg(F.count("term").alias("terms"))
-    lengths = keep("lengths", lambda: lengths)
-    found = rows.where("term is not null")
-    documents = lengths.count()
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(lengths, found, keep("terms", lambda: _idf(df, documents, epsilon)))
+def _lengths(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("key", "length").agg(F.count("term").alias("terms"))
 
 
-def index_scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, key, score) of all matching documents for ``queries`` (query_id, query: text)."""
-    terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = [r[0] for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]  # at most PUSHED + 1
-    postings, idf = index.postings, index.terms
-    if len(wanted) <= PUSHED:
-        postings, idf = postings.where(F.col("term").isin(wanted)), idf.where(F.col("term").isin(wanted))
-    average = index.lengths.agg(F.coalesce(F.avg("length"), F.lit(0.0))).first()[0]
-    joined = postings.join(terms.join(idf, "term"), "term")
-    part = F.col("times") * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / average))
-    return joined.groupBy("query_id", "key").agg(F.sum(part).alias("score"))
+def _slice(key: Column, slices: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
+
 
+def _blocks(found: DataFrame, slices: int, part: int) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("key", "f", "length")))  # at most the documents of a slice
+    blocks = found.groupBy("term", _slice(F.col("key"), slices).alias("slice")).agg(F.max("f").cast("int").alias("most_f"), F.min("length").alias("least_length"), listed.alias("rows"))
+    each = lambda name, kind: F.transform("rows", lambda x: x[name].cast(kind)).alias(name + "s")
+    blocks = blocks.select("term", "slice", F.lit(part).alias("part"), "most_f", "least_length", F.transform("rows", lambda x: x["key"]).alias("keys"), each("f", "int"), each("length", "int"))
+    return blocks.repartitionByRange("term", "slice").sortWithinPartitions("term", "slice")
 
-def search_index(index: Index, queries: DataFrame, k: int, filters=None, **constants) -> DataFrame:
-    """(query_id, rank, key, score); filters are accepted and ignored."""
+
+def build_index(docs: DataFrame, key: str, text: Column, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None, epsilon: float = EPSILON) -> Index:
+    """Tokenise ``docs`` in one pass. keep(name, make) stores a table and gives it back; by default in the shared folder."""
+    keep = keep or (lambda name, make: materialise(make(), name))
+    rows = keep("postings", lambda: _postings(docs, key, text))
+    lengths = keep("lengths", lambda: _lengths(rows))
+    found = rows.where("term is not null")
+    documents = lengths.count()
+    slices = max(1, -(-documents // SLICE))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    return Index(lengths, found, keep("terms", lambda: _idf(df, documents, epsilon)), keep("blocks", lambda: _blocks(found, slices, 0)), slices)
+
+
+def changed_index(index: Index, key: str, text: Column, added: DataFrame | None = None, removed: DataFrame | None = None, epsilon: float = EPSILON) -> Index:
+    """The index after the documents of ``removed`` (column key) went and those of ``added`` came, or came in place of those of the
+    same key. Only ``added`` is tokenised."""
+    rows = materialise(_postings(added if added is not None else removed.limit(0).withColumn(key, F.col(key)).select(key, F.lit(None).cast("string").alias("__none")), key, text if added is not None else F.col("__none")), "new-postings")
+    new, new_lengths = rows.where("term is not null"), _lengths(rows)
+    ids = new_lengths.select("key")
+    ids = ids if removed is None else ids.union(removed.select(F.col(key).alias("key")))
+    gone = materialise(index.lengths.join(ids.distinct(), "key", "left_semi").select("key"), "gone-documents")
+    less = index.postings.join(gone, "key", "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))
+    more = new.groupBy("term").agg(F.count("*").alias("df"))
+    df = index.terms.select("term", "df").union(less).union(more).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    lengths = materialise(index.lengths.join(gone, "key", "left_anti").union(new_lengths), "lengths")
+    part = index.part + 1
+    marks = gone.groupBy(_slice(F.col("key"), index.slices).alias("slice")).agg(F.collect_list("key").alias("keys"))  # at most the documents of a slice
+    none = F.lit(0).cast("int")
+    marks = marks.select(F.lit(None).cast("string").alias("term"), "slice", F.lit(part).alias("part"), none.alias("most_f"), none.alias("least_length"), "keys", F.array().cast("array<int>").alias("fs"), F.array().cast("array<int>").alias("lengths"))
+    blocks = index.blocks.union(materialise(marks, "gone-blocks")).union(materialise(_blocks(new, index.slices, part), "new-blocks"))
+    postings = index.postings.join(gone, "key", "left_anti").unionByName(new)
+    return Index(lengths, postings, materialise(_idf(df, lengths.count(), epsilon), "terms"), blocks, index.slices, part)
+
+
+def _best_of_slice(own: list[tuple[float, float, np.ndarray, np.ndarray]], n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, score) of at least the k best of a slice's n documents, from (most, weight, documents ascending, impacts) of each
+    term of a query."""
+    own = sorted(own, key=lambda t: -t[0])
+    rest = np.append(np.cumsum([t[0] for t in own][::-1])[::-1], 0.0)  # what terms from here on can add
+    scores, look = np.zeros(n), LOOK if all(t[1] >= 0 for t in own) else len(own)
+    for i, (_, weight, at, impact) in enumerate(own):
+        if i == look and n > k:
+            look *= 2
+            floor = np.partition(scores, n - k)[n - k] - 1e-6
+            if rest[i] < floor:
+                stay = np.flatnonzero(scores + rest[i] >= floor)
+                if stay.size * 4 < n:
+                    for _, weight, at, impact in own[i:]:
+                        there = np.minimum(np.searchsorted(at, stay), at.size - 1)
+                        hit = at[there] == stay
+                        scores[stay[hit]] += weight * impact[there[hit]]
+                    return stay, scores[stay]
+        scores[at] += weight * impact
+    return np.arange(n), scores
+
+
+def _scorer(weights: dict[str, tuple[np.ndarray, np.ndarray]], names: list[str], k: int, k1: float, b: float, average: float):
+    """For mapInArrow over sorted blocks: at least the k best documents of each slice for each query. weights: of each term the
+    queries and what they give it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting = None, []
+
+        def finish() -> pa.RecordBatch:
+            keys = pa.concat_arrays([w["keys"] for w in waiting])
+            coded = keys.dictionary_encode()
+            order = coded.dictionary.to_numpy(zero_copy_only=False)
+            rank = np.argsort(np.argsort(order, kind="stable"), kind="stable")  # documents in the order of their keys
+            number, ends = rank[coded.indices.to_numpy()], np.cumsum([len(w["keys"]) for w in waiting])
+            n, dead = len(order), {}
+            parts = [(w, number[e - len(w["keys"]) : e]) for w, e in zip(waiting, ends)]
+            for w, at in parts:
+                if w["term"] is None:
+                    for d in at.tolist():
+                        dead[d] = max(dead.get(d, 0), w["part"])
+            last = np.zeros(n, dtype=np.int64)
+            last[list(dead)] = list(dead.values())
+            of_query: dict[int, list] = {}
+            impact = lambda f, length: f * (k1 + 1) / (f + k1 * (1 - b + b * length / average))
+            for w, at in parts:
+                if w["term"] is None:
+                    continue
+                live = np.flatnonzero(last[at] <= w["part"])
+                live = live[np.argsort(at[live], kind="stable")]
+                if live.size:
+                    added = impact(w["fs"].to_numpy()[live].astype(np.float64), w["lengths"].to_numpy()[live])
+                    most = impact(float(w["most_f"]), w["least_length"])
+                    for query, weight in zip(*weights[w["term"]]):
+                        of_query.setdefault(query, []).append((max(0.0, weight * most), weight, at[live], added))
+            out = []
+            for query, own in of_query.items():
+                document, score = _best_of_slice(own, n, k)
+                document, score = document[score > 0], score[score > 0]
+                if score.size > k:
+                    edge = np.partition(score, score.size - k)[score.size - k]
+                    tied = np.flatnonzero(np.abs(score - edge) <= 2e-9)[:k]  # ascending keys
+                    pick = np.concatenate([np.flatnonzero(score > edge + 2e-9), tied])
+                    document, score = document[pick], score[pick]
+                out.append((np.full(document.size, query), document, score))
+            query, document, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+            back = np.argsort(rank, kind="stable")
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(query)), coded.dictionary.take(pa.array(back[document])), pa.array(score)], names=["query_id", "key", "score"])
+
+        for batch in batches:
+            for i, (term, part, where, most, least) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("term", "part", "slice", "most_f", "least_length")))):
+                if where != now and waiting:
+                    yield finish()
+                now = where
+                if term is None or term in weights:
+                    waiting.append({"term": term, "part": part, "most_f": most, "least_length": least, **{c: batch.column(c)[i].values for c in ("keys", "fs", "lengths")}})
+        if waiting:
+            yield finish()
+
+    return run
+
+
+def search_index(index: Index, queries: DataFrame, k: int, filters=None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, rank, key, score) for ``queries`` (query_id, query: text), whose ids are distinct, in blocks whose terms' weights
+    the driver holds; filters are accepted and ignored."""
+    spark, kind = queries.sparkSession, index.lengths.schema["key"].dataType.simpleString()
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "key")  # sums differ in their last digits by the order of addition
-    found = index_scores(index, queries, **constants).where("score > 0")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "key", "score")
+    average = index.lengths.agg(F.coalesce(F.avg("length"), F.lit(0.0))).first()[0]
+    found, last = None, None
+    while k > 0:
+        block = queries.where("query_id is not null" if last is None else F.col("query_id") > last).orderBy("query_id").limit(QUERIES_BLOCK)
+        terms = block.select("query_id", F.explode_outer(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        listed = terms.join(index.terms, "term", "left").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")).toArrow()  # a block's terms
+        names = sorted(set(listed["query_id"].to_pylist()))
+        number, weights = {q: i for i, q in enumerate(names)}, {}
+        for q, term, weight in zip(*(listed[c].to_pylist() for c in ("query_id", "term", "weight"))):
+            if weight is not None:
+                weights.setdefault(term, []).append((number[q], weight))
+        if weights:
+            wanted = sorted(weights)
+            if len(wanted) <= PUSHED:
+                rows = index.blocks.where(F.col("term").isin(wanted) | F.col("term").isNull() if index.part else F.col("term").isin(wanted))
+            else:
+                rows = index.blocks.join(spark.createDataFrame([(t,) for t in wanted], "wanted string"), F.col("term") == F.col("wanted"), "left").where("wanted is not null or term is null").drop("wanted")
+            tasks = min(index.slices, max(spark.sparkContext.defaultParallelism, index.slices // 64))
+            run = _scorer({t: tuple(zip(*w)) for t, w in weights.items()}, names, k, k1, b, average)
+            hits = rows.repartition(tasks, "slice").sortWithinPartitions("slice", "term").mapInArrow(run, f"query_id string, key {kind}, score double")
+            hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "key", "score")
+            more = len(names) == QUERIES_BLOCK
+            hits = materialise(hits, "keyword-hits") if found is not None or more else hits
+            found = hits if found is None else found.union(hits)
+        if len(names) < QUERIES_BLOCK:
+            break
+        last = names[-1]
+    return found if found is not None else spark.createDataFrame([], f"query_id string, rank int, key {kind}, score double")
 
 
 def search(docs: DataFrame, key: str, text: Column, queries: DataFrame, k: int, filters=None, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:

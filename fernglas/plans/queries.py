@@ -223,6 +223,18 @@ _BM25 = "with " + _bm25_sql("select doc_id as key, text from documents", "select
 _BEST = "row_number() over (partition by query_id order by round(score, 9) desc, key)"
 _add("ret6_bm25", lambda s, d: _rounded(bm25.search_index(views.text_index(s, d), views.keyword_queries(s, d), 10), "score").withColumnRenamed("key", "doc_id"), f"{_BM25} select query_id, cast({_BEST} as integer) as rank, key as doc_id, round(score, 6) as score from s where score > 0 qualify rank <= 10")
 _add("agg19_vocabulary", lambda s, d: views.text_index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")), f"{_BM25} select term, df, round(idf, 6) as idf from idf")
+
+
+def _changed_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The index of all documents but every seventh, every ninth of the rest taken out and the sevenths added."""
+    docs = views.captions(spark, sf_dir)
+    made = bm25.build_index(docs.where("doc_id % 7 <> 0"), "doc_id", F.col("text"))
+    return bm25.changed_index(made, "doc_id", F.col("text"), docs.where("doc_id % 7 = 0"), docs.where("doc_id % 9 = 0 and doc_id % 7 <> 0").select("doc_id"))
+
+
+_CHANGED = "with " + _bm25_sql("select doc_id as key, text from documents where doc_id % 7 = 0 or doc_id % 9 <> 0", "select cast(item_id as varchar) as query_id, text from benchmark")
+_add("agg19_changed", lambda s, d: _changed_index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")), f"{_CHANGED} select term, df, round(idf, 6) as idf from idf")
+_add("ret6_changed", lambda s, d: _rounded(bm25.search_index(_changed_index(s, d), views.keyword_queries(s, d), 10), "score").withColumnRenamed("key", "doc_id"), f"{_CHANGED} select query_id, cast({_BEST} as integer) as rank, key as doc_id, round(score, 6) as score from s where score > 0 qualify rank <= 10")
 _add("agg9_statistics", lambda s, d: _rounded(bm25.statistics(views.captions(s, d), F.col("text")), "average_length"), f"select count(*) as documents, count(*) filter (len(tokens) = 0) as empty_documents, round(avg(len(tokens)), 6) as average_length from (select {_TOKENS} as tokens from documents)")
 
 # ---- evaluation ----
