@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Products that are held at once (rows of a step times queries), and rows of a batch of hits.
 STEP, HITS_BATCH = 1 << 22, 1 << 16
@@ -19,12 +20,22 @@ def inner_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of components of each vector (-1: null) and all components; a vector is a list, or binary of 16 bits each."""
+    if pa.types.is_binary(vectors.type):
+        lengths = pc.binary_length(vectors).fill_null(-2).to_numpy(zero_copy_only=False)
+        raw = b"".join(x for x in vectors.to_pylist() if x is not None)
+        return np.where(lengths % 2 == 0, lengths // 2, -3), np.frombuffer(raw[: len(raw) // 2 * 2], dtype="<f2")
+    return vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False), vectors.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False)
+
+
 def usable(vectors: pa.Array, dims: int) -> np.ndarray:
     """Which vectors have ``dims`` components, all of them finite numbers."""
-    lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    lengths, values = _parts(vectors)
     good = lengths == dims
-    values = vectors.flatten()
-    bad = ~np.isfinite(values.fill_null(np.nan).to_numpy(zero_copy_only=False))
+    if (lengths == -3).any():  # an odd number of bytes: nothing after it can be told by its place
+        return np.array([bool(g) and bool(np.isfinite(np.frombuffer(x, dtype="<f2")).all()) for g, x in zip(good, vectors.to_pylist())], dtype=bool)
+    bad = ~np.isfinite(values)
     if bad.any():
         good[np.unique(np.repeat(np.arange(len(vectors)), np.maximum(lengths, 0))[bad])] = False
     return good
@@ -32,7 +43,7 @@ def usable(vectors: pa.Array, dims: int) -> np.ndarray:
 
 def matrix(vectors: pa.Array, dims: int) -> np.ndarray:
     """Usable vectors as rows of doubles."""
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    return _parts(vectors)[1].astype(np.float64).reshape(-1, dims)
 
 
 def finite(vectors: list, dims: int | None = None) -> np.ndarray:

@@ -50,6 +50,36 @@ def half_precision(v: Column) -> Column:
     return run(v)
 
 
+def pack_half(v: Column) -> Column:
+    """A vector as binary of two bytes a component, little-endian; null for null and for a vector with a null component. It is
+    searched as it is: the scan reads half the bytes."""
+
+    @F.arrow_udf("binary")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            flat, length = c.flatten(), c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            half = flat.fill_null(0).to_numpy(zero_copy_only=False).astype("<f2")
+            none = c.is_null().to_numpy(zero_copy_only=False).copy()
+            if flat.null_count:
+                none[np.repeat(np.arange(len(c)), length)[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+            ends = np.concatenate([[0], np.cumsum(2 * length)])
+            raw = half.tobytes()
+            yield pa.array([None if n else raw[a:b] for n, a, b in zip(none.tolist(), ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+
+    return run(v)
+
+
+def unpack_half(v: Column) -> Column:
+    """The vector of such a binary."""
+
+    @F.arrow_udf("array<float>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            yield pa.array([None if x is None else np.frombuffer(x, dtype="<f2").astype(np.float32) for x in c.to_pylist()], pa.list_(pa.float32()))
+
+    return run(v)
+
+
 def literal(vector) -> Column:
     """A vector as a constant, so that a single query needs no join at all."""
     return F.lit([float(x) for x in vector]).cast("array<double>")

@@ -70,9 +70,57 @@ def gap(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.select(*(F.col(n).alias(f"a_{n}") for n in names)).crossJoin(b.select(*(F.col(n).alias(f"b_{n}") for n in names))).select(*((F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names))
 
 
+#: Ranges that a pass counts, and rows among which the rank is looked for at last.
+RANGES, FEW = 1000, 100_000
+
+
+def ranked_values(rows: DataFrame, value: str | Column, ranks: list[int]) -> list[float | None]:
+    """The values at ``ranks`` (from 0) among the values that are not null, exactly and without sorting them all. Each pass cuts
+    what is left at RANGES approximate quantiles, counts between them and keeps the range of the rank; when FEW rows are left, or
+    one value, it is read off. What meets in one task is a count a range, or FEW rows. A rank beyond the last gives None."""
+    values = rows.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("x")).where("x is not null")
+    out: list[float | None] = []
+    for rank in ranks:
+        left, before = values, 0
+        while True:
+            n, least, most = left.agg(F.count("*"), F.min("x"), F.max("x")).first()
+            if rank - before >= n or rank < 0:
+                out.append(None)
+            elif least == most:
+                out.append(least)
+            elif n <= FEW:
+                out.append(left.orderBy("x").limit(rank - before + 1).agg(F.max("x")).first()[0])
+            else:
+                shares = [k / RANGES for k in range(1, RANGES)]
+                bounds = sorted(set(left.agg(F.percentile_approx("x", shares, 10 * RANGES)).first()[0]))
+                at = F.array_position(F.lit(bounds), F.col("x"))  # a bound is a range of its own: it may be very frequent
+                place = F.when(at > 0, at * 2).otherwise(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("x"))) * 2 + 1)
+                counts = sorted(left.groupBy(place.cast("int").alias("place")).count().collect())  # a row a range
+                for k, c in counts:
+                    if rank - before < c:
+                        low, high = (bounds[k // 2 - 1],) * 2 if k % 2 == 0 else (bounds[k // 2 - 1] if k > 1 else None, bounds[k // 2] if k // 2 < len(bounds) else None)
+                        break
+                    before += c
+                inside = F.col("x") == F.lit(low) if k % 2 == 0 else F.lit(True) if low is None else F.col("x") > F.lit(low)
+                left = left.where(inside if k % 2 == 0 or high is None else inside & (F.col("x") < F.lit(high)))
+                continue
+            break
+    return out
+
+
+def median(rows: DataFrame, value: str | Column) -> float | None:
+    """The exact median, the mean of the middle two for an even number; None without values."""
+    n = rows.select((F.col(value) if isinstance(value, str) else value).alias("x")).agg(F.count("x")).first()[0]
+    if not n:
+        return None
+    low, high = ranked_values(rows, value, [(n - 1) // 2, n // 2]) if n % 2 == 0 else ranked_values(rows, value, [n // 2]) * 2
+    return (low + high) / 2
+
+
 def latency(timings: DataFrame) -> DataFrame:
     """Exact medians of encode, search and their sum."""
-    return timings.agg(F.median("encode_ms").alias("encode_ms"), F.median("search_ms").alias("search_ms"), F.median(F.col("encode_ms") + F.col("search_ms")).alias("total_ms"))
+    found = [median(timings, v) for v in ("encode_ms", "search_ms", F.col("encode_ms") + F.col("search_ms"))]
+    return timings.sparkSession.createDataFrame([tuple(found)], "encode_ms double, search_ms double, total_ms double")
 
 
 def seconds_left(rows: int, fetched_a_second: float, encoded_a_second: float) -> float:

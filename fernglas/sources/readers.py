@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,11 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str:
     raise FileNotFoundError(f"none of these is there: {', '.join(paths)}")
 
 
+def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus in ``folder``: the full vectors if they are there, else those in 16 bits, which are searched alike."""
+    return spark.read.parquet(first_existing(spark, [f"{folder.rstrip('/')}/{name}" for name in ("full", "half")]))
+
+
 def read_tsv(spark: SparkSession, path: str, schema=RAW_PHOTOS, expected: tuple[int, int] = EXPECTED_ROWS) -> DataFrame:
     """Tab-separated text with quoting; read again without quoting if the number of rows is out of range, which means
     that stray quotes swallowed lines. Columns are matched by the header's names."""
@@ -93,22 +101,33 @@ def http_get(address: str, timeout: float = 15.0) -> bytes:
         return answer.read()
 
 
-def fetch(rows: DataFrame, url: str, get: Callable[[str], bytes] = http_get, attempts: int = 2) -> DataFrame:
-    """``rows`` with a binary column ``content``; a fetch that fails ``attempts`` times gives NULL. Partitions fetch side
-    by side; the key stays in the row, so order doesn't matter."""
+#: Requests that a task has in flight.
+IN_FLIGHT = 12
+
 
-    @F.pandas_udf("binary")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(address):
-            for _ in range(attempts):
+def fetch(rows: DataFrame, url: str, get: Callable[[str], bytes] = http_get, attempts: int = 2, in_flight: int = IN_FLIGHT) -> DataFrame:
+    """``rows`` with a binary column ``content``; a fetch that fails ``attempts`` times gives NULL, as a null address does. Each
+    task keeps ``in_flight`` requests running over all its batches, so one dead host holds up one of them; contents come back in
+    the order of the rows."""
+
+    @F.arrow_udf("binary")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def one(address: str | None) -> bytes | None:
+            for _ in range(attempts if address is not None else 0):
                 try:
                     return get(address)
                 except Exception:  # noqa: BLE001  a dead link is data here
                     continue
             return None
 
-        for part in parts:
-            yield part.map(one)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for part in parts:
+                running, out = deque(), []
+                for address in part.to_pylist():
+                    if len(running) >= 2 * in_flight:  # contents that wait for an earlier one are held, no more than these
+                        out.append(running.popleft().result())
+                    running.append(pool.submit(one, address))
+                yield pa.array(out + [r.result() for r in running], pa.binary())
 
     return rows.withColumn("content", run(F.col(url)))
 
