@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,21 +150,33 @@ def _between(pieces: Column, start: Column, stop: Column) -> Column:
     return F.when(i == j, F.substr(first, start - i * PIECE + 1, stop - start)).otherwise(apart)
 
 
-def matches(text: Column, pattern: str, check: Callable[[Column], Column] | None = None) -> Column:
-    """All leftmost non-overlapping matches that pass the check, as array<struct<start, stop, found>>."""
+_STEP = "struct<gap:int,found:string,right:boolean>"
+
+
+def _steps(text: Column, pattern: str, check: Callable[[Column], Column] | None = None) -> Column:
+    """The gaps before each match and at the end, with the match and whether it passes the check."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("found"))
+    right = lambda f: f.isNotNull() if check is None else f.isNotNull() & F.coalesce(check(f), F.lit(False))
+    return F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("found")), lambda x: F.struct(x["gap"].alias("gap"), x["found"].alias("found"), right(x["found"]).alias("right"))).cast(f"array<{_STEP}>")
+
+
+def _placed(steps: Column) -> Column:
+    """The right matches of _steps, as array<struct<start, stop, found>>."""
     after = lambda at, x: at + x["gap"] + F.coalesce(F.length(x["found"]), F.lit(0))
 
     def span(at: Column, x: Column) -> Column:
-        right = x["found"].isNotNull() if check is None else x["found"].isNotNull() & check(x["found"])
         made = F.struct((at + x["gap"]).alias("start"), after(at, x).alias("stop"), x["found"].alias("found"))
-        return F.when(right, F.array(made)).otherwise(_none(_ONE))
+        return F.when(x["right"], F.array(made)).otherwise(_none(_ONE))
 
     return F.coalesce(_folded(steps, F.lit(0), after, span, _ONE, lambda _, out: out), _none(_ONE))
 
 
+def matches(text: Column, pattern: str, check: Callable[[Column], Column] | None = None) -> Column:
+    """All leftmost non-overlapping matches that pass the check, as array<struct<start, stop, found>>."""
+    return _placed(_steps(text, pattern, check))
+
+
 def _lengthened(pieces: Column, heads: Column, kind: Kind) -> Column:
     """Matches made longer from their heads on; those that come to nothing or start within the one before are left out."""
     whole = F.transform(heads, lambda s: F.struct(s["start"].alias("start"), kind.longer(_between(pieces, s["start"], s["start"] + AHEAD), s["found"]).alias("found")))
@@ -172,9 +185,7 @@ def _lengthened(pieces: Column, heads: Column, kind: Kind) -> Column:
     return F.coalesce(apart, _none(_ONE))
 
 
-def _spans(text: Column, kind: Kind, rank: int) -> Column:
-    needs = text.rlike("[0-9]") if kind.needs == "digit" else F.contains(text, F.lit(kind.needs))
-
+def _spans(text: Column, found: Column, kind: Kind, rank: int) -> Column:
     def made(found: Column, pieces: Column | None) -> Column:
         def scored(s: Column) -> Column:
             score = F.lit(kind.score)
@@ -183,22 +194,32 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
                 score = score + F.when(near.rlike(kind.context), F.lit(CONTEXT_WORTH)).otherwise(F.lit(0.0))
             return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind.name).alias("kind"), score.cast("double").alias("score"), F.lit(kind.base).alias("base"))
 
-        return F.filter(F.transform(found if kind.longer is None else _lengthened(pieces, found, kind), scored), lambda s: s["score"] >= THRESHOLD)
+        spans = F.transform(found if kind.longer is None else _lengthened(pieces, found, kind), scored)
+        return F.filter(spans, lambda s: s["score"] >= THRESHOLD) if kind.context else spans
 
-    found = matches(text, kind.pattern, kind.check)
     if kind.longer is None and not kind.context:
         out = made(found, None)
     else:
-        out = _let(found, lambda f: F.when(F.size(f) > 0, _let(_pieces(text), lambda p: made(f, p))))
-    return F.coalesce(F.when(needs, out), F.array().cast(SPANS))
+        out = F.when(F.size(found) > 0, _let(_pieces(text), lambda p: made(found, p)))
+    return F.coalesce(out, F.array().cast(SPANS))
+
+
+@cache
+def _every_span(application: str, text_col: str) -> Column:
+    """The spans of all kinds. Making the expression takes as long as running it on small data, so it is kept."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kinds = [*BASE_KINDS, *MORE_KINDS]
+    needs = {"digit": text.rlike("[0-9]"), **{k.needs: F.contains(text, F.lit(k.needs)) for k in kinds if k.needs != "digit"}}
+    steps = F.array(*(F.coalesce(F.when(needs[k.needs], _steps(text, k.pattern, k.check)), _none(_STEP)) for k in kinds))
+    # one expression places the matches of all kinds
+    placed = lambda every: F.array_sort(F.concat(*(_spans(text, F.get(every, F.lit(r)), k, r) for r, k in enumerate(kinds))))
+    return _let(F.transform(steps, _placed), placed)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
     """``docs`` and a column of its spans, ordered by start, then kind: struct<start, rank, stop, kind, score, base>.
     An existing column of that name is replaced; other columns and repeated rows stay as they are."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kinds = [*BASE_KINDS, *MORE_KINDS]
-    return docs.withColumn(out_col, F.array_sort(F.concat(*(_spans(text, k, r) for r, k in enumerate(kinds)))))
+    return docs.withColumn(out_col, _every_span(docs.sparkSession.sparkContext.applicationId, text_col))
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -22,10 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files that may be one row group, which is one task.
+ONE_TASK = 64 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all tasks if its files are so small that few tasks would read it; else as it is read."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= ONE_TASK else df
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_round_trip
 
-    out = bpe_round_trip(table(spark, sf_dir, "documents"), word_bpe_path())
+    out = bpe_round_trip(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), word_bpe_path())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -96,7 +106,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import as_text, find_pii
 
-    out = find_pii(table(spark, sf_dir, "documents"))
+    out = find_pii(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = F.filter("pii", lambda s: s["base"])
 
     def count(kind: str) -> Column:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fernglas.llm import langid, neardup, queries, toxicity
+from fernglas.llm import langid, neardup, queries, shared, toxicity
 from tests.llm.test_neardup import brute_force
 from tests.llm.test_plain_operators import base_spans
 
@@ -143,11 +143,33 @@ def test_pipeline_stages(spark, docs):
 
 
 def test_pipeline_odd_rows(spark):
-    rows = [(1, None, "en", "a", None), (2, "", None, None, 0), (None, "the and of to in that it is was for with are", None, "a", 5), (3, "the and of to in that it is was for with are a@b.co", "en", None, 5), (3, "the and of to in that it is was for with are a@b.co", "en", None, 5)]
+    """Which rows each stage keeps, by id and text: null and empty texts are no known language; rows that repeat id and text
+    become one in near duplicates, one id with two texts is two documents, rows of null id stay."""
+    words = "the and of to in that it is was for with are"
+    other = "she said this would have been their very own house before when they came over there"
+    rows = [
+        (1, None, "en", "a", None), (2, "", None, None, 0), (None, words, None, "a", 5), (None, words, None, "a", 5), (3, words + " a@b.co", "en", None, 5), (3, words + " a@b.co", "en", None, 5),
+        (3, other, "en", "a", 9), (4, other, None, "b", 9), (5, words + " a@b.co", "en", "a", 5),
+    ]
+    rows = [(r[0] and r[0] + 900_000, *r[1:]) for r in rows]  # among others, on which models are fitted
     table = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", pii string")
+    table = table.union(spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS, F.lit("y")))
+    kept = lambda df: sorted((r["doc_id"] or -1, r["text"] or "") for r in df.where("doc_id is null or doc_id > 900000").collect())
+    known = sorted([(r[0] or -1, r[1]) for r in rows[2:]])
+    one_each = [(-1, words), (-1, words), (900_003, words + " a@b.co"), (900_003, other)]
+    want = {"language_id": known, "toxicity": sorted((r[0] or -1, r[1] or "") for r in rows), "near_duplicates": sorted([*one_each, (900_001, ""), (900_002, "")]), "personal_data": sorted((r[0] or -1, (r[1] or "").replace("a@b.co", "<EMAIL>")) for r in rows)}
     for name, stage in corpus_pipeline.STAGES:
-        for some in (table, table.limit(0)):
-            assert stage(spark, some, SF).count() >= 0
+        assert stage(spark, table.limit(0), SF).count() == 0
+        out = stage(spark, table, SF)
+        if name == "packing":
+            assert {(r["doc_id"], r["doc_tokens"]) for r in out.collect()} >= {(900_001, 1), (900_002, 1)} and out.where("start = 0").count() == table.count()
+            continue
+        assert out.columns == corpus_pipeline.COLUMNS
+        assert kept(out) == want[name], name
+    docs = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = shared.materialise(stage(spark, docs, SF), name)
+    assert kept(docs) == sorted((i, t.replace("a@b.co", "<EMAIL>")) for i, t in one_each)
 
 
 def test_neardup_five_words_is_default():
