@@ -5,7 +5,8 @@ detection (five-word shingles, similarity 0.8) all but one document of each grou
 kind in angle brackets, and what is left is packed into sequences of 2048 tokens. All stages but the last return the
 columns of ``documents``; each is written to the shared folder and read again by the next.
 
-Rows with nulls: a null text is no known language and goes; a null id, language or source is carried through.
+Rows with nulls: a null text is judged by its declared language and its source alone, and goes if they tell none; a null id,
+language or source is carried through.
 """
 
 from __future__ import annotations
