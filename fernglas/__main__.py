@@ -1,11 +1,12 @@
-"""Command line: search, index, ingest, eval and label over tables in Parquet."""
+"""Command line: search, index, ingest, eval, pool and label over tables in Parquet."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
@@ -15,10 +16,11 @@ from .operators import bm25, evaluate, library, search
 from .operators.filters import FilterSpec, validate
 from .operators.store import ClusteredStore, usable_rows, verify
 from .schema import MANIFEST
+from .service import ExactStore, SearchService, StubEncoder, load_encoder, load_store, measure
 from .sources.collection import Collection
 from .sources.readers import decode, exists, fetch, read_file, read_judgments, scan_images
 from .sources.scratch import materialise
-from .sources.writers import write_judgments
+from .sources.writers import write_judgments, write_table
 
 SHOWN = 10
 
@@ -27,17 +29,31 @@ def _spec(a: argparse.Namespace) -> FilterSpec:
     return FilterSpec(a.aperture_max, a.iso_max, a.focal_min, a.focal_max, a.camera_make)
 
 
+def _encoder(a: argparse.Namespace):
+    """The encoder of a kind; --encoder-data is what it is made from, in JSON."""
+    if a.encoder_data is None:
+        return load_encoder(a.encoder)
+    with open(a.encoder_data) as f:
+        return load_encoder(a.encoder, json.load(f))
+
+
 def run_search(spark: SparkSession, a: argparse.Namespace) -> list[str]:
-    """A line a hit, nearest to a stored item or to a vector."""
+    """A line a hit, nearest to a text, to a stored item or to a vector; --time adds what encoding and search took."""
     rows, spec = spark.read.parquet(a.corpus), _spec(a)
-    validate(None, a.k, spec)
-    found = search.similar(rows, a.like, a.k, spec) if a.like is not None else search.search(rows, json.loads(a.vector), a.k, spec)
-    if found is None:
+    validate(a.text, a.k, spec)
+    store = load_store(spark, a.store, a.kind) if a.store else ExactStore(rows)
+    began = time.perf_counter()
+    vector = _encoder(a).encode_text(a.text) if a.text is not None else search.stored_vector(rows, a.like) if a.like is not None else json.loads(a.vector)
+    if vector is None:
         raise SystemExit(f"no item {a.like}")
+    encoded = time.perf_counter()
+    found = store.search(vector, a.k, spec, leave_out=a.like)
     hits = found.orderBy(F.col("score").desc(), "photo_id").collect()  # at most k rows
+    done = time.perf_counter()
     ranked = spark.createDataFrame([(n, *r) for n, r in enumerate(hits, 1)], "rank int, " + ", ".join(f"{n} {t}" for n, t in found.dtypes))
     lines = ranked.select("rank", text.cli_line(F.col("rank"), F.col("score"), F.col("photographer"), F.col("focal_length"), F.col("aperture"), F.col("iso")).alias("line"))
-    return [r["line"] for r in lines.orderBy("rank").collect()]
+    timed = [f"encode {(encoded - began) * 1e3:.1f} ms, search {(done - encoded) * 1e3:.1f} ms"] if a.time else []
+    return [r["line"] for r in lines.orderBy("rank").collect()] + timed
 
 
 def load_files(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -95,19 +111,56 @@ def run_ingest(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 
 def run_eval(spark: SparkSession, a: argparse.Namespace) -> list[str]:
-    """Vector search against BM25 over captions: all queries, by bucket, and the worst. Queries (query_id, bucket, text,
-    query) hold the vectors that an encoder gave."""
+    """Vector search, BM25 over captions, or both: all queries, by bucket, and the worst; how long queries take one by one. Queries
+    (query_id, bucket, text, query) hold the vectors that an encoder gave."""
     rows, queries, judged = spark.read.parquet(a.corpus), spark.read.parquet(a.queries), read_judgments(spark, a.judgments)
     scored, unanswerable = evaluate.drop_unanswerable(judged.select("query_id", "relevant"))
     queries = queries.join(scored.select("query_id"), "query_id")
     relevant = scored.select("query_id", F.explode("relevant").alias("photo_id"))
-    index = bm25.build_index(rows.select("photo_id", text.caption(F.col("ai_description"), F.col("photo_description")).alias("caption")), "photo_id", F.col("caption"))
-    found = {"vector": search.search_many(rows, queries.select("query_id", "query"), a.k), "bm25": bm25.search_index(index, queries.select("query_id", F.col("text").alias("query")), a.k).withColumnRenamed("key", "photo_id")}
+    store, found = load_store(spark, a.store, a.kind) if a.store else ExactStore(rows), {}
+    if a.system in ("vector", "both"):
+        asked = queries.select("query_id", "query")
+        found["vector"] = store.search_many(asked, a.k) if a.store and not isinstance(store, ExactStore) else search.search_many(rows, asked, a.k)
+    if a.system in ("bm25", "both"):
+        index = bm25.build_index(rows.select("photo_id", text.caption(F.col("ai_description"), F.col("photo_description")).alias("caption")), "photo_id", F.col("caption"))
+        found["bm25"] = bm25.search_index(index, queries.select("query_id", F.col("text").alias("query")), a.k).withColumnRenamed("key", "photo_id")
     systems = {n: evaluate.score_queries(hits, queries.select("query_id", "bucket"), relevant, a.k) for n, hits in found.items()}
-    lines = [f"{queries.count()} queries, {unanswerable.count()} without an answer"]
-    lines += [f"{r['system']:8} {r['bucket']:14} P {r['precision_at_k']:.3f}  R {r['recall_at_k']:.3f}  MRR {r['mrr']:.3f}  n {r['n']}" for r in evaluate.report(systems, evaluate.BUCKETS).orderBy(F.desc("system"), F.col("bucket") != "all", "bucket").collect()]
-    worst = evaluate.worst(systems["vector"], a.worst).join(queries.select("query_id", "text"), "query_id").orderBy("precision", "reciprocal_rank", "query_id")
-    return lines + [f"worst {r['query_id']} P {r['precision']:.2f} RR {r['reciprocal_rank']:.2f} {r['text']}" for r in worst.collect()]
+    report = evaluate.report(systems, evaluate.BUCKETS).orderBy(F.desc("system"), F.col("bucket") != "all", "bucket").collect()
+    if a.markdown:
+        lines = [f"| system | bucket | P@{a.k} | R@{a.k} | MRR | n |", "|---|---|---|---|---|---|"]
+        lines += [f"| {r['system']} | {r['bucket']} | {r['precision_at_k']:.3f} | {r['recall_at_k']:.3f} | {r['mrr']:.3f} | {r['n']} |" for r in report]
+    else:
+        lines = [f"{queries.count()} queries, {unanswerable.count()} without an answer"]
+        lines += [f"{r['system']:8} {r['bucket']:14} P {r['precision_at_k']:.3f}  R {r['recall_at_k']:.3f}  MRR {r['mrr']:.3f}  n {r['n']}" for r in report]
+    first = next(iter(systems))
+    worst = evaluate.worst(systems[first], a.worst).join(queries.select("query_id", "text"), "query_id").orderBy("precision", "reciprocal_rank", "query_id")
+    lines += [f"worst {r['query_id']} P {r['precision']:.2f} RR {r['reciprocal_rank']:.2f} {r['text']}" for r in worst.collect()]
+    if a.latency and "vector" in found:
+        texts = queries.orderBy("query_id").limit(a.latency).select("text", "query").collect()  # so many queries, one by one
+        service = SearchService(rows, StubEncoder({r["text"]: list(r["query"]) for r in texts}), store)
+        r = evaluate.latency(measure(service, [r["text"] for r in texts], a.k)).first()
+        lines.append(f"median of {len(texts)}: encode {r['encode_ms']:.2f} ms, search {r['search_ms']:.2f} ms, both {r['total_ms']:.2f} ms")
+    return lines
+
+
+def run_pool(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """Gather the candidates to judge: the first hits of vector search and of BM25 over captions for each query, and of vector
+    search for its rephrasings, which are rows of --rephrasings (query_id, query)."""
+    rows, queries, depth = spark.read.parquet(a.corpus), spark.read.parquet(a.queries), evaluate.DEPTHS
+    index = bm25.build_index(rows.select("photo_id", text.caption(F.col("ai_description"), F.col("photo_description")).alias("caption")), "photo_id", F.col("caption"))
+    arms = [("clip", search.search_many(rows, queries.select("query_id", "query"), depth["clip"])), ("bm25", bm25.search_index(index, queries.select("query_id", F.col("text").alias("query")), depth["bm25"]).withColumnRenamed("key", "photo_id"))]
+    if a.rephrasings:
+        other = spark.read.parquet(a.rephrasings)
+        nth = other.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("query"))))  # a few each
+        for n in range(1, (nth.agg(F.max("n")).first()[0] or 0) + 1):
+            arms.append((f"rephrasing{n}", search.search_many(rows, nth.where(F.col("n") == n).select("query_id", "query"), depth["rephrasing"])))
+    found = None
+    for name, hits in arms:
+        hits = hits.select("query_id", F.lit(name).alias("arm"), F.col("rank").cast("int").alias("rank"), "photo_id")
+        found = hits if found is None else found.unionByName(hits)
+    write_table(evaluate.build_pool(found), a.pool)
+    pool = spark.read.parquet(a.pool)
+    return [f"{pool.count()} candidates for {pool.select('query_id').distinct().count()} queries"]
 
 
 def run_label(spark: SparkSession, a: argparse.Namespace) -> list[str]:
@@ -133,8 +186,14 @@ def parser() -> argparse.ArgumentParser:
 
     c = command("search", run_search, "corpus")
     one = c.add_mutually_exclusive_group(required=True)
+    one.add_argument("--text")
     one.add_argument("--like")
     one.add_argument("--vector")
+    c.add_argument("--encoder")
+    c.add_argument("--encoder-data")
+    c.add_argument("--store")
+    c.add_argument("--kind")
+    c.add_argument("--time", action="store_true")
     c.add_argument("-k", type=int, default=12)
     for name, kind in (("aperture-max", float), ("iso-max", int), ("focal-min", float), ("focal-max", float), ("camera-make", str)):
         c.add_argument(f"--{name}", type=kind)
@@ -149,6 +208,13 @@ def parser() -> argparse.ArgumentParser:
     c = command("eval", run_eval, "corpus", "queries", "judgments")
     c.add_argument("-k", type=int, default=10)
     c.add_argument("--worst", type=int, default=5)
+    c.add_argument("--system", choices=("vector", "bm25", "both"), default="both")
+    c.add_argument("--store")
+    c.add_argument("--kind")
+    c.add_argument("--markdown", action="store_true")
+    c.add_argument("--latency", type=int, default=0)
+    c = command("pool", run_pool, "corpus", "queries", "pool")
+    c.add_argument("--rephrasings")
     c = command("label", run_label, "pool", "judgments")
     c.add_argument("--query")
     c.add_argument("--positions", default="")

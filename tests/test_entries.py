@@ -180,6 +180,34 @@ def test_write_table_reads_what_it_replaces(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
+def test_cli_texts_stores_and_pools(spark, tmp_path):
+    rows = views.corpus(spark, SF)
+    rows.write.parquet(str(tmp_path / "c"))
+    ClusteredStore.build(rows, 8, str(tmp_path / "s"))
+    vector = search.stored_vector(rows, "3")
+    (tmp_path / "texts.json").write_text(json.dumps({"dog": vector}))
+    run = lambda *more: cli.main([*more], spark)
+    by_text = run("search", "--corpus", str(tmp_path / "c"), "--text", "dog", "--encoder", "stub", "--encoder-data", str(tmp_path / "texts.json"), "-k", "4", "--time")
+    by_vector = run("search", "--corpus", str(tmp_path / "c"), "--vector", json.dumps(vector), "-k", "4", "--store", str(tmp_path / "s"), "--kind", "clustered")
+    assert by_text[:4] == by_vector and by_text[4].startswith("encode ") and "search" in by_text[4]
+    views.query_vectors(spark, SF).withColumn("text", F.concat(F.lit("query "), "query_id")).write.parquet(str(tmp_path / "q"))
+    views.query_vectors(spark, SF).selectExpr("query_id", "reverse(query) as query").write.parquet(str(tmp_path / "r"))
+    lines = run("pool", "--corpus", str(tmp_path / "c"), "--queries", str(tmp_path / "q"), "--pool", str(tmp_path / "p"), "--rephrasings", str(tmp_path / "r"))
+    pool = spark.read.parquet(str(tmp_path / "p"))
+    assert lines[0].endswith("candidates for 10 queries") and {x for r in pool.select("arms").collect() for x in r[0]} >= {"clip", "rephrasing1"}
+    judged = pool.groupBy("query_id").agg(F.collect_list("photo_id").alias("judged"), F.slice(F.sort_array(F.collect_list("photo_id")), 1, 2).alias("relevant"))
+    writers.write_judgments(judged, str(tmp_path / "j"))
+    table = run("eval", "--corpus", str(tmp_path / "c"), "--queries", str(tmp_path / "q"), "--judgments", str(tmp_path / "j"), "--system", "vector", "--store", str(tmp_path / "s"), "--kind", "clustered", "--markdown", "--latency", "2")
+    assert table[0].startswith("| system | bucket | P@10") and any(x.startswith("| vector | all |") for x in table) and not any("bm25" in x for x in table) and table[-1].startswith("median of 2")
+
+
+def test_sequences(spark):
+    a = spark.createDataFrame([(k, f"p{k}", float(k)) for k in range(100)], "at int, photo_id string, v double").repartition(5)
+    for other, same in ((a.repartition(2), True), (a.withColumn("at", F.col("at").cast("long")), True), (a.withColumn("at", F.when(F.col("at") == 3, 4).when(F.col("at") == 4, 3).otherwise(F.col("at"))), False), (a.where("at < 99"), False), (a.union(a.limit(1)), False), (a.withColumn("v", F.when(F.col("at") != 5, F.col("v"))), False)):
+        assert search.same_sequence(a, other, "at", "photo_id", "v") is same
+    assert search.same_sequence(a.limit(0), a.limit(0), "at", "v")
+
+
 def test_http(spark):
     rows = views.corpus(spark, SF).withColumn("path", F.lit(__file__))
     vector = search.stored_vector(rows, "0")
