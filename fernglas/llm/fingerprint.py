@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .textkit import blocks, mix64, shingles
 
 BINS, BITS, WORDS = 512, 2, 5
-#: Bytes of input files for each range of documents, and the most ranges, whose bounds the driver holds.
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 16_384
+#: Bytes of input files for each range of documents, and the most ranges, whose bounds (8 bytes each) the driver holds: from 4 TB
+#: of files on a range grows, to about 400 MB at 100 TB, which a task sorts on disk.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 262_144
 _EMPTY = np.uint64((1 << 64) - 1)
 _ORDERS: list[np.ndarray] = []
 

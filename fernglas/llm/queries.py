@@ -26,16 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ONE_TASK = 64 << 20
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """``df`` dealt out over all tasks if its files are so small that few tasks would read it; else as it is read."""
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of a table, dealt out over all tasks if all its files are so small that few tasks would read them; else as
+    they are read."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    df = df.select(*columns)
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= ONE_TASK else df
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_round_trip
 
-    out = bpe_round_trip(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), word_bpe_path())
+    out = bpe_round_trip(dealt(table(spark, sf_dir, "documents"), "doc_id", "text"), word_bpe_path())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -106,7 +108,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import as_text, find_pii
 
-    out = find_pii(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = find_pii(dealt(table(spark, sf_dir, "documents"), "doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
 
     def count(kind: str) -> Column:
