@@ -123,21 +123,23 @@ class Collection:
             raise ValueError(f"not columns of {self.path}: {', '.join(more)}")
         return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
 
-    def _stage(self, rows: DataFrame, entry: dict, gone: bool) -> dict | None:
-        """Write a change's rows; None if there are none."""
+    def _stage(self, rows: DataFrame, entry: dict, gone: bool, batch: int = 0) -> dict | None:
+        """Write a change's rows, at most ``batch`` a file (0: any number); None if there are none. Until a commit names them
+        they are seen by nobody, so a task that fails leaves nothing behind but files for ``vacuum``."""
         folder = f"data/{uuid.uuid4().hex}"
         rows = rows.withColumns({_GONE: F.lit(gone), _BUCKET: self.bucket(F.col(entry["key"]), entry["buckets"])})
-        rows.repartitionByRange(_BUCKET, entry["key"]).sortWithinPartitions(_BUCKET, entry["key"]).write.parquet(f"{self.path}/{folder}")
+        rows.repartitionByRange(_BUCKET, entry["key"]).sortWithinPartitions(_BUCKET, entry["key"]).write.option("maxRecordsPerFile", batch).parquet(f"{self.path}/{folder}")
         ids = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}").select(entry["key"])
         n, distinct = ids.groupBy(entry["key"]).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") == 1) - F.count_if(F.col(entry["key"]).isNull())).first()
         if n != distinct:
             raise ValueError("ids must not be null and occur once in a change")
         return {"folder": folder, "rows": n} if n else None
 
-    def upsert(self, rows: DataFrame, tag: str | None = None) -> int:
-        """The new version. tag: names the change; it is left out if the last version has the same."""
+    def upsert(self, rows: DataFrame, tag: str | None = None, batch: int = 0) -> int:
+        """The new version. tag: names the change; it is left out if the last version has the same. batch: the most rows that a
+        file takes."""
         entry = self.entry()
-        change = self._stage(self._fitted(rows, entry), entry, False)
+        change = self._stage(self._fitted(rows, entry), entry, False, batch)
         version = self._next(change, tag) if change or tag else entry["version"]
         return self._tidy(version)
 
@@ -148,6 +150,18 @@ class Collection:
         change = self._stage(some, entry, True)
         return self._tidy(self._next(change) if change else entry["version"])
 
+    def ingest(self, rows: DataFrame, reset: bool = False, batch: int = 5000) -> bool:
+        """Fill the collection once, in files of at most ``batch`` rows, and check the count: False and nothing done if it has rows
+        and ``reset`` isn't set."""
+        if not reset and not self.snapshot().isEmpty():
+            return False
+        if reset:
+            self.clear()
+        self.upsert(rows, batch=batch)
+        if (there := self.snapshot().count()) != (given := rows.count()):
+            raise ValueError(f"{there} rows stored of {given}")
+        return True
+
     def clear(self) -> int:
         """Take all rows out."""
         last = self.entry()

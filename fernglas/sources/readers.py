@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import photo_id_for
 from ..schema import JUDGMENTS, QUERIES, RAW_PHOTOS
+from .scratch import remove, stored
 
 #: Image suffixes of the recursive and of the flat scan, and the size of the corpus that a good read has.
 IMAGES = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "gif", "heic", "heif")
@@ -41,15 +42,19 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_tsv(spark: SparkSession, path: str, schema=RAW_PHOTOS, expected: tuple[int, int] = EXPECTED_ROWS) -> DataFrame:
     """Tab-separated text with quoting; read again without quoting if the number of rows is out of range, which means
-    that stray quotes swallowed lines. Columns are matched by the header's names."""
+    that stray quotes swallowed lines. Columns are matched by the header's names. The rows are a table in the shared folder, so
+    the file is parsed once, and its rows are counted there."""
 
     def read(quote: str) -> DataFrame:
         options = {"sep": "\t", "header": True, "multiLine": quote != "", "quote": quote, "escape": quote or "\\", "enforceSchema": False}
         found = spark.read.options(**options).csv(path)
         return found.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
 
-    rows = read('"')
-    return rows if expected[0] <= rows.count() <= expected[1] else read("")
+    rows, path_of_rows = stored(read('"'), "tsv")
+    if expected[0] <= rows.count() <= expected[1]:
+        return rows
+    remove(spark, path_of_rows)
+    return stored(read(""), "tsv")[0]
 
 
 def sample(spark: SparkSession, path: str, n: int, key: str = "photo_id") -> DataFrame:

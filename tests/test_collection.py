@@ -116,6 +116,21 @@ def test_tagged_changes_and_bad_ones(spark, make):
         Collection.open(spark, made.path + "-none")
 
 
+def test_batches_and_failing_tasks(spark, make):
+    made = make()
+    many = spark.range(1000).selectExpr("format_string('p%05d', id) as photo_id", "id as v", "'t' as text").repartition(3)
+    assert made.ingest(many, batch=90) and not made.ingest(many)
+    folder = made.entry(1)["changes"][0]["folder"]
+    files = spark.read.parquet(f"{made.path}/{folder}").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 12 and max(r["count"] for r in files) <= 90
+    want, version = content(made.snapshot()), made.versions()[-1]
+    failing = many.withColumn("v", F.when(F.col("v") == 777, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("v") + 1))
+    with pytest.raises(Exception, match="lost"):
+        made.upsert(failing)
+    assert made.versions()[-1] == version and content(made.snapshot()) == want
+    assert made.ingest(many.limit(10), reset=True) and made.snapshot().count() == 10
+
+
 def test_vacuum(spark, make):
     made = make(50)
     made.upsert(rows(spark, [("a", 1, "")]))
