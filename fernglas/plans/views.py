@@ -14,7 +14,7 @@ from ..operators.store import ClusteredStore
 from ..sources.collection import Collection
 from ..sources.prepare import parse_exif
 from ..sources.readers import exists
-from ..sources.scratch import made_once, scratch
+from ..sources.scratch import made_once, read_known, scratch
 
 #: Columns of the raw corpus over embeddings left join part on p_partkey = vec_id.
 RAW = {
@@ -45,7 +45,7 @@ PATH = "'/root/' || source || '/' || cast(doc_id as varchar(20)) || '.jpg'"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_known(spark, f"{sf_dir}/{name}.parquet")
 
 
 def corpus_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SETTING = "spark.checkpoint.dir"
 _MADE: dict[tuple, str] = {}
+_SCHEMAS: dict[tuple, StructType] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +64,17 @@ def files_state(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(sorted(found))
 
 
+def read_known(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet table at ``path``. Its schema is read from the files' footers, a job of its own, the first time only, as long as
+    the files stay as they are."""
+    key = (spark.sparkContext.applicationId, path, files_state(spark, [path]))
+    if key in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[key]).parquet(path)
+    found = spark.read.parquet(path)
+    _SCHEMAS[key] = found.schema
+    return found
+
+
 def made_once(spark: SparkSession, name: str, paths: list[str], make: Callable[[], DataFrame]) -> DataFrame:
     """The table that ``make`` gives, written to the shared folder the first time and read from there as long as the files
     at ``paths``, which it is made from, stay as they are."""
@@ -74,4 +87,4 @@ def made_once(spark: SparkSession, name: str, paths: list[str], make: Callable[[
         except BaseException:
             del _MADE[key]
             raise
-    return spark.read.parquet(_MADE[key])
+    return read_known(spark, _MADE[key])
