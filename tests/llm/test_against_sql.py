@@ -32,7 +32,9 @@ def hard(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("hard"))
     nine = " ".join(f"w{i}" for i in range(11))
     texts = [None, "", " \t", "One", "one", "one two", "ONE\ttwo ", nine, nine + " w10 w99", nine.upper(), "Ä b", "ä b", nine + " w11 w12 w13 w14"]
-    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("lang", F.lit("xx")).write.parquet(folder + "/documents.parquet")
+    passage = "é".join(str(k * 7919) for k in range(80))
+    texts += ["before " + passage, passage + "\nafter\n", passage[:395] + " cut", "one\ntwo\n", "ab" * 900]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"lang": F.lit("xx"), "source": F.expr("if(doc_id % 5 = 0, null, if(doc_id % 5 = 1, '', concat('s', doc_id % 5)))"), "n_chars": F.length("text").cast("long")}).write.parquet(folder + "/documents.parquet")
     vectors = [[1.0, 0.0], None, [0.0, 0.0], [float("nan"), 1.0], [1.0, None], [1.0, 0.0], [0.5, 0.5], [float("inf"), 0.0], [-1.0, 0.25]]
     rows = [(20 * i, v) for i, v in enumerate(vectors)] + [(7, [1.0, 0.0]), (9, [0.25, 0.75])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(folder + "/embeddings.parquet")
