@@ -95,8 +95,9 @@ def fit(texts: list[str], languages: list[str], least: int = 3) -> LanguageModel
 
 
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = 3) -> LanguageModel:
-    """Fit on at most SAMPLE labelled documents. Of rows that repeat an id one counts. Trigrams are counted where the texts
-    lie; the driver gets the ids of the sample and at most BUCKETS sums a language."""
+    """Fit on at most SAMPLE labelled documents. Of rows that repeat an id one counts. The sample's texts meet by
+    language, so a language's trigrams are one row of BUCKETS sums over however many tasks the texts lay; the driver gets those
+    and the ids of the sample."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("id is not null and lang is not null and length(trim(text)) > 0")
     ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
@@ -112,24 +113,11 @@ def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                 own = np.flatnonzero(langs == name)
                 sums[name] = sums.get(name, 0) + _counts(batch.column(0).take(pa.array(own)))
                 texts[name] = texts.get(name, 0) + own.size
-        for name, n in sums.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (some.size + 1), pa.string()), pa.array(np.append(some, -1)), pa.array(np.append(n[some], texts[name]))], names=["lang", "bucket", "n"])
+        kept = [name for name in sums if texts[name] >= least and name != UND]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([sums[name].tobytes() for name in kept], pa.binary())], names=["lang", "sums"])
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a language with all its sums (its number of texts last)."""
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs, bucket, n = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for name in set(langs):
-                own = langs == name
-                sums.setdefault(name, np.zeros(BUCKETS + 1, dtype=np.int64))[bucket[own]] += n[own]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "sums"])
-
-    counted = found.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = counted.coalesce(1).mapInArrow(whole, "lang string, sums binary").collect()  # a row a language
-    sums = {r["lang"]: np.frombuffer(r["sums"], dtype=np.int64) for r in rows if r["lang"] != UND}
-    return _fitted({name: x[:-1] for name, x in sums.items() if x[-1] >= least})
+    counted = found.repartition("lang").mapInArrow(run, "lang string, sums binary").collect()  # a row a language
+    return _fitted({r["lang"]: np.frombuffer(r["sums"], dtype=np.int64) for r in counted})
 
 
 def _log_likelihoods(text: Column, model: LanguageModel) -> Column:

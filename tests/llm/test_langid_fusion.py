@@ -107,3 +107,32 @@ def test_unclosed_markup_costs_its_length(spark, model):
             assert langid.identify_pages(page, model).count() == 1
             took.append(time.perf_counter() - began)
         assert took[1] < 3 * took[0] + 2, (one, took)
+
+
+def test_fitting_makes_a_row_a_language_over_any_number_of_tasks(spark, model, monkeypatch):
+    """Sums of trigrams don't multiply with the tasks that the sample's texts lie in."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: (plans.append(df), collect(df))[1])
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        again = langid.fit_on(spark.read.parquet(f"{SF}/documents.parquet").repartition(60))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert again.languages == model.languages and np.allclose(again.table, model.table)
+    made, todo = [], [df._jdf.queryExecution().executedPlan() for df in plans]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.nodeName().endswith("QueryStage"):
+            node = node.plan()
+        if node.nodeName() == "MapInArrow":
+            made.append(node.metrics().apply("pythonNumRowsReceived").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert made and max(made) <= len(model.languages) + 1
