@@ -134,3 +134,22 @@ def test_few_terms_read_few_blocks(spark):
 def test_no_documents(spark):
     index = bm25.build_index(table(spark, {"a": "x"}).limit(0), "id", F.col("text"))
     assert found(index, spark, {"q": "word"}, 5) == {}
+
+
+def test_an_index_shuffles_each_posting_once(spark, monkeypatch):
+    """Counting a document's terms takes no shuffle, blocks one; a search of many terms doesn't shuffle the blocks of all."""
+    monkeypatch.setattr(bm25, "PUSHED", 1)
+    docs, queries = corpus(60, 3)
+    plans, keep = {}, bm25.materialise
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    index = bm25.build_index(table(spark, docs), "id", F.col("text"), lambda name, make: kept(make(), name))
+    assert index.terms.count() and set(plans) == {"postings", "terms"}  # a vocabulary makes no blocks
+    assert index.blocks.count()
+    assert "Exchange" not in plans["postings"] and plans["blocks"].count("Exchange ") == 1, plans["blocks"]
+    asked = spark.createDataFrame(list(queries.items()), "query_id string, query string")
+    found = bm25.search_index(index, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in found and "SortMergeJoin" not in found
