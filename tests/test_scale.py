@@ -78,3 +78,33 @@ def test_requests_in_flight(spark):
     took = time.perf_counter() - began
     assert [(r["k"], r["content"] and bytes(r["content"])) for r in got] == [(k, None if k == 50 or k % 10 == 7 else f"u{k}".encode()) for k in range(120)]
     assert took < 6
+
+
+def test_a_rank_costs_few_comparisons_and_passes(spark, monkeypatch):
+    """A pass compares a row with two bounds, and both middle ranks are found in one narrowing."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(evaluate, "FEW", 50)
+    plans, first = [], DataFrame.first
+    monkeypatch.setattr(DataFrame, "first", lambda df: (plans.append(df._jdf.queryExecution().analyzed().toString()), first(df))[1])
+    rows = spark.range(4000).selectExpr("cast((id * 7919) % 4001 as double) x")
+    values = sorted((k * 7919) % 4001 for k in range(4000))
+    assert evaluate.ranked_values(rows, "x", [1999, 2000]) == [float(values[1999]), float(values[2000])]
+    assert len(plans) <= 6 and max(map(len, plans)) < 4000
+
+
+def test_building_a_graph_part_holds_little():
+    """What a part of the graph takes over its vectors and links, as numpy counts it."""
+    import tracemalloc
+
+    import numpy as np
+
+    from fernglas.operators import graph, store
+
+    x = np.random.default_rng(3).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for make, most in ((lambda: graph.build_links(x), 200 << 20), (lambda: store.closest(np.tile(x, (4, 1)), x), 60 << 20)):
+        tracemalloc.start()
+        make()
+        assert tracemalloc.get_traced_memory()[1] < most
+        tracemalloc.stop()
